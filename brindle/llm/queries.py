@@ -8,10 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import table
+from brindle.llm.chat_format import format_chats, read_back
 from brindle.llm.exact_dedup import exact_groups
+from brindle.llm.quality_rules import judged
 from brindle.llm.sharding import shard_rows
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold the template's own control strings."""
+    tricky = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.sql("SELECT -7L AS conv_id, id AS turn, CASE id WHEN 0 THEN 'user' ELSE 'assistant' END AS role FROM range(2)").withColumn("text", F.lit(tricky)))
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
+    chats = read_back(format_chats(events))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"]
+    return judged(table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -21,11 +43,45 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": r"""
+        WITH rows AS (
+          SELECT conv_id, turn, role, text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows),
+        e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '\e'), '###', '\h') AS body FROM r)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+               sum(4 + length(role) + 2 + length(body) + 8)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op6_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+        q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g),
+        v AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8)))::BIGINT AS rep
+              FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM q WHERE n > 1) GROUP BY 1),
+        ln AS (SELECT doc_id, host, t, trim(regexp_replace(lower(x), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS l FROM (SELECT doc_id, host, t, unnest(ls) AS x FROM w)),
+        lc AS (SELECT host, l, count(DISTINCT t) AS texts, min(doc_id) AS carrier FROM ln GROUP BY 1, 2),
+        hs AS (SELECT host, count(DISTINCT t) AS host_texts FROM d GROUP BY 1),
+        fr AS (SELECT lc.* FROM lc JOIN hs USING (host) WHERE texts > 5 AND texts > 0.1 * host_texts),
+        rm AS (SELECT ln.doc_id, sum(length(l) - length(replace(l, ' ', '')) + 1)::BIGINT AS removed FROM ln JOIN fr USING (host, l) WHERE ln.doc_id <> fr.carrier GROUP BY 1),
+        b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines FROM w),
+        f AS (SELECT b.*, coalesce(rep, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(rep, 0) > 30 * n_words AS base_failed, coalesce(removed, 0) AS removed_words
+              FROM b LEFT JOIN v USING (doc_id) LEFT JOIN rm USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+               NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words < 20) AS kept FROM f""",
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         r AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
