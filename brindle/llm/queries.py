@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import crc_mod, table
 from brindle.llm.chat_format import format_chats, read_back
 from brindle.llm.exact_dedup import exact_groups
+from brindle.llm.language_id import identify, train
 from brindle.llm.quality_rules import judged
 from brindle.llm.sharding import shard_rows
 
@@ -29,6 +30,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
+    found = identify(docs, model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"]
     return judged(table(spark, sf_dir, "documents")).select(*columns)
@@ -44,6 +52,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_sharding": op9_sharding,
