@@ -11,6 +11,7 @@ from brindle.llm.common import crc_mod, table
 from brindle.llm.chat_format import format_chats, read_back
 from brindle.llm.exact_dedup import exact_groups
 from brindle.llm.language_id import identify, train
+from brindle.llm.lm_scoring import score as lm_score
 from brindle.llm.quality_model import fit, labelled_sample, score
 from brindle.llm.quality_rules import judged
 from brindle.llm.sharding import shard_rows
@@ -39,6 +40,12 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score(docs, crc_mod(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
@@ -62,6 +69,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_model": op2_quality_model,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
