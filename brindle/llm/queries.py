@@ -14,8 +14,12 @@ from brindle.llm.language_id import identify, train
 from brindle.llm.lm_scoring import score as lm_score
 from brindle.llm.quality_model import fit, labelled_sample, score
 from brindle.llm.quality_rules import judged
+from brindle.llm.sentence_pieces import decode, encode
 from brindle.llm.sharding import shard_rows
 
+#: The public vocabulary that the queries encode with.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold the template's own control strings."""
@@ -62,6 +66,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text64"))
+    back = decode(encode(docs, PIECE_MODEL), PIECE_MODEL)
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), (F.xxhash64("text") == F.col("text64")).alias("round_trip"), "token_ids")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
@@ -73,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_sharding": op9_sharding,
 }
 
