@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import shared_table, ship_by_value
 
-GIANT = 1 << 15
-CHUNK = 1 << 13
+#: Scores of so many characters still add up exactly in the library's single precision.
+GIANT = 1 << 16
+CHUNK = 1 << 14
 #: Texts given to the library at a time, by characters.
 GROUP = 1 << 20
 #: No path: far below any score, far from overflow.
@@ -118,12 +119,30 @@ def transfer(pieces: _Pieces, text: str, core: int) -> np.ndarray:
     """
     states = pieces.longest
     best = np.full((core + states, states), NEVER, dtype=np.int64)
-    for s in range(min(states, core + states)):
+    for s in range(states):
         best[s, s] = 0
     for at in range(core):
+        if at >= states and at % 64 == 0:
+            # Once all open places rank the entry states alike, one number a place says it all.
+            open_places = best[at : at + states]
+            top = open_places.max(axis=1)
+            profile = np.maximum(open_places - top[:, None], NEVER)
+            profile[profile < NEVER // 2] = NEVER
+            reached = np.flatnonzero(top > NEVER // 2)
+            if (profile[reached] == profile[reached[0]]).all():
+                line = [int(x) for x in top] + [NEVER] * (core - at)
+                for here in range(at, core):
+                    score = line[here - at]
+                    if score > NEVER // 2:
+                        for n, gain in pieces.edges(text, here):
+                            if score + gain > line[here - at + n]:
+                                line[here - at + n] = score + gain
+                ends = np.array(line[core - at : core - at + states], dtype=np.int64)
+                return np.where((profile[reached[0]][:, None] > NEVER // 2) & (ends > NEVER // 2), profile[reached[0]][:, None] + ends, NEVER)
         for n, score in pieces.edges(text, at):
             np.maximum(best[at + n], best[at] + score, out=best[at + n])
-    return np.maximum(best[core : core + states].T, NEVER)
+    found = best[core : core + states].T
+    return np.where(found > NEVER // 2, found, NEVER)
 
 
 def best_paths(pieces: _Pieces, text: str, core: int, entry: np.ndarray) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
@@ -136,7 +155,7 @@ def best_paths(pieces: _Pieces, text: str, core: int, entry: np.ndarray) -> tupl
         score[s] = max(NEVER, int(entry[s]))
     for at in range(core):
         here = score[at]
-        if here <= NEVER:
+        if here <= NEVER // 2:
             continue
         for n, gain in pieces.edges(text, at):
             if here + gain > score[at + n]:
@@ -147,7 +166,7 @@ def best_paths(pieces: _Pieces, text: str, core: int, entry: np.ndarray) -> tupl
     out = []
     for exit_state in range(states):
         at, tail = core + exit_state, []
-        if score[at] <= NEVER or (at < core + states and back[at] < 0):
+        if score[at] <= NEVER // 2 or (back[at] < 0 and at >= states):
             out.append((-1, 0, []))
             continue
         while back[at] >= 0 and at not in shared:
@@ -169,17 +188,17 @@ def best_paths(pieces: _Pieces, text: str, core: int, entry: np.ndarray) -> tupl
     return trunk, out
 
 
-def _encode_giants(texts: DataFrame, model, longest: int) -> DataFrame:
+def _encode_giants(texts: DataFrame, model, longest: int, chunk: int) -> DataFrame:
     """`texts` (row, text) as (row, token_ids), by chunks."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = " " + text
-                for at in range(0, len(text), CHUNK * 64):
-                    starts = range(at, min(len(text), at + CHUNK * 64), CHUNK)
+                for at in range(0, len(text), chunk * 64):
+                    starts = range(at, min(len(text), at + chunk * 64), chunk)
                     yield pa.RecordBatch.from_pydict({
-                        "row": [row] * len(starts), "k": [s // CHUNK for s in starts], "core": [min(CHUNK, len(text) - s) for s in starts], "text": [text[s : s + CHUNK + longest - 1] for s in starts],
+                        "row": [row] * len(starts), "k": [s // chunk for s in starts], "core": [min(chunk, len(text) - s) for s in starts], "text": [text[s : s + chunk + longest - 1] for s in starts],
                     }, schema=pa.schema([("row", pa.int64()), ("k", pa.int32()), ("core", pa.int32()), ("text", pa.string())]))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +214,8 @@ def _encode_giants(texts: DataFrame, model, longest: int) -> DataFrame:
         found = []
         for matrix in group["matrix"]:
             found.append(best)
-            best = np.maximum((best[:, None] + np.asarray(matrix, dtype=np.int64).reshape(longest, longest)).max(axis=0), NEVER)
+            step = best[:, None] + np.asarray(matrix, dtype=np.int64).reshape(longest, longest)
+            best = np.where(step.max(axis=0) > NEVER // 2, step.max(axis=0), NEVER)
         return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": found})
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +241,7 @@ def _encode_giants(texts: DataFrame, model, longest: int) -> DataFrame:
     return found.groupBy("row").applyInPandas(together, "row bigint, token_ids array<int>")
 
 
-def encode(docs: DataFrame, model_path: str, text_column: str = "text", giant: int = GIANT) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_column: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """`docs` with the text column replaced by `token_ids`; other columns stay."""
     spark: SparkSession = docs.sparkSession
     proto = piece_model(model_path)
@@ -252,7 +272,7 @@ def encode(docs: DataFrame, model_path: str, text_column: str = "text", giant: i
     out = rows.where(F.length("text") <= giant).mapInArrow(run, schema)
     giants = shared_table(rows.where(F.length("text") > giant).withColumn("row", F.monotonically_increasing_id()), "piece-giants")
     if not giants.isEmpty():
-        ids = _encode_giants(giants.select("row", "text"), model, longest)
+        ids = _encode_giants(giants.select("row", "text"), model, longest, max(chunk, longest))
         out = out.unionByName(giants.drop("text").join(ids, "row").drop("row"))
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], "token_ids")
 
