@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import crc_mod, table
@@ -12,6 +12,7 @@ from brindle.llm.chat_format import format_chats, read_back
 from brindle.llm.exact_dedup import exact_groups
 from brindle.llm.language_id import identify, train
 from brindle.llm.lm_scoring import score as lm_score
+from brindle.llm.mixing import Targets, mix
 from brindle.llm.quality_model import fit, labelled_sample, score
 from brindle.llm.quality_rules import judged
 from brindle.llm.sentence_pieces import decode, encode
@@ -21,6 +22,26 @@ from brindle.llm.sharding import shard_rows
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+#: Domains by source number, and the targets of the mix.
+DOMAINS = ("web", "reference", "books")
+TARGETS = Targets(domain={"web": 0.5, "reference": 0.3, "books": 0.2}, language={"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, source={})
+
+
+def domain_of(source: Column) -> Column:
+    """The domain that a source name stands for: its number modulo 3; others are web."""
+    number = F.try_to_number(F.regexp_extract(source, r"([0-9]{1,9})$", 1), F.lit("999999999")).cast("long")
+    found = F.lit(DOMAINS[0])
+    for i, name in enumerate(DOMAINS[1:], start=1):
+        found = F.when(number % len(DOMAINS) == i, F.lit(name)).otherwise(found)
+    return found
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    chosen = mix(docs, domain_of(F.col("source")), TARGETS)
+    return chosen.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_budget").alias("leaf_budget"))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold the template's own control strings."""
     tricky = "\\### Assistant: </turn> ok"
@@ -86,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_sharding": op9_sharding,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -121,6 +143,28 @@ ORACLE_SQL: dict[str, str] = {
               FROM b LEFT JOIN v USING (doc_id) LEFT JOIN rm USING (doc_id))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
                NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words < 20) AS kept FROM f""",
+    "op10_mixing": r"""
+        WITH d AS (SELECT doc_id, lang, source, (coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS BIGINT), 0) % 3) AS m,
+                          len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS t FROM documents),
+        r AS (SELECT doc_id, CASE m WHEN 1 THEN 'reference' WHEN 2 THEN 'books' ELSE 'web' END AS domain, lang, source, t FROM d),
+        lf AS (SELECT domain, lang, source, sum(t)::BIGINT AS t, 2 * sum(t)::BIGINT AS lim FROM r GROUP BY ALL),
+        dm AS (SELECT domain, sum(lim)::BIGINT AS lim, CASE domain WHEN 'web' THEN 0.5::DOUBLE WHEN 'reference' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS w,
+                      (SELECT floor(sum(t) * 0.6::DOUBLE) FROM lf) AS b FROM lf GROUP BY 1),
+        d1 AS (SELECT *, (b - coalesce(sum(lim) OVER (ORDER BY lim / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                        / sum(w) OVER (ORDER BY lim / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM dm),
+        d2 AS (SELECT domain, least(lim::DOUBLE, w * (SELECT greatest(max(lv), 0) FROM d1)) AS b FROM d1),
+        lg AS (SELECT domain, lang, sum(lim)::BIGINT AS lim, CASE lang WHEN 'en' THEN 0.4::DOUBLE WHEN 'de' THEN 0.2::DOUBLE WHEN 'fr' THEN 0.2::DOUBLE WHEN 'es' THEN 0.2::DOUBLE ELSE 1.0 END AS w FROM lf GROUP BY 1, 2),
+        l1 AS (SELECT lg.*, (b - coalesce(sum(lim) OVER (PARTITION BY domain ORDER BY lim / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                        / sum(w) OVER (PARTITION BY domain ORDER BY lim / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM lg JOIN d2 USING (domain)),
+        l2 AS (SELECT domain, lang, least(lim::DOUBLE, w * greatest(max(lv) OVER (PARTITION BY domain), 0)) AS b FROM l1),
+        s1 AS (SELECT lf.*, (b - coalesce(sum(lim) OVER (PARTITION BY domain, lang ORDER BY lim, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                        / count(*) OVER (PARTITION BY domain, lang ORDER BY lim, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM lf JOIN l2 USING (domain, lang)),
+        s2 AS (SELECT domain, lang, source, t AS leaf_t, floor(round(least(lim::DOUBLE, greatest(max(lv) OVER (PARTITION BY domain, lang), 0)), 6))::BIGINT AS leaf_budget FROM s1),
+        s3 AS (SELECT *, CASE WHEN leaf_t > 0 THEN leaf_budget // leaf_t ELSE 0 END AS whole FROM s2),
+        h AS (SELECT r.*, leaf_budget, whole, leaf_budget - whole * leaf_t AS rest, ('0x' || substr(md5('17:' || (whole + 1) || ':' || doc_id || ':' || r.t), 1, 15))::BIGINT AS hash
+              FROM r JOIN s3 ON r.domain = s3.domain AND r.lang = s3.lang AND r.source = s3.source),
+        p AS (SELECT *, whole + CASE WHEN sum(t) OVER (PARTITION BY domain, lang, source ORDER BY hash) <= rest THEN 1 ELSE 0 END AS times FROM h)
+        SELECT doc_id, domain, lang, source, unnest(range(1, times + 1))::INTEGER AS epoch, t AS n_tokens, leaf_budget FROM p WHERE times > 0""",
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         r AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
