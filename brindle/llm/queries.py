@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import crc_mod, table
 from brindle.llm.chat_format import format_chats, read_back
 from brindle.llm.exact_dedup import exact_groups
+from brindle.llm.jaccard_join import jaccard_groups
 from brindle.llm.language_id import identify, train
 from brindle.llm.lm_scoring import score as lm_score
 from brindle.llm.mixing import Targets, mix
@@ -71,6 +72,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), percent=90, n=3)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_model": op2_quality_model,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
