@@ -187,8 +187,7 @@ def _common(rows: DataFrame, n: int, percent: int) -> np.ndarray:
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id, and links, the number of other
-    classes with a verified link to the row's class (those that were needed to find components)."""
+    """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     common = spark.sparkContext.broadcast(_common(rows, n, percent))
@@ -259,14 +258,12 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
     rest = shared_table(met.select(F.col("node").alias("a"), "b").distinct().join(starred, ["a", "b"], "left_anti"), "jaccard-rest")
     links = shared_table(links.unionByName(_verified(rest, sets, percent)), "jaccard-links")
     grouped = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-
-    named = classes.join(grouped, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    named = shared_table(named.join(lows, "component").select("k1", "k2", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "jaccard-named")
+    named = shared_table(named.join(lows, "component").select("k1", "k2", "component_id"), "jaccard-named")
     out = found.select("id", "k1", "k2", "size").join(named, ["k1", "k2"], "left")
     component_id = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), component_id.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), component_id.alias("component_id"))
 
 
 def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, common, n: int) -> DataFrame:
