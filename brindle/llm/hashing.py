@@ -75,7 +75,7 @@ def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial in its bytes, finished by `mix`.
 
     Sums of byte * M**place are differences of a running sum, brought back to place 0 by the

@@ -37,7 +37,9 @@ STATES = 8
 ROUNDS = 2
 SAMPLE_ROWS, SAMPLE_ROUNDS = 600, 12
 #: Bytes of text, and words, handled at a time; words of one sequence in training.
-BLOCK, WORDS, SEGMENT = 1 << 22, 1 << 20, 1 << 18
+BLOCK, WORDS, SEGMENT = 1 << 21, 1 << 19, 1 << 18
+#: Words that a task of a Baum-Welch round has at least, so that the counts it emits stay small beside them.
+TASK_WORDS = 1_500_000
 #: Weight of the overall word distribution in each state's emissions.
 PRIOR = 200.0
 
@@ -216,7 +218,7 @@ def _first_model(sample: list[np.ndarray], overall: np.ndarray, end: int, states
     return model
 
 
-def _round(encoded: DataFrame, model: Hmm, overall: np.ndarray) -> Hmm:
+def _round(encoded: DataFrame, model: Hmm, overall: np.ndarray, n_tokens: int) -> Hmm:
     """One Baum-Welch round over all training rows."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     k, size = model.emit.shape[1], len(model.emit)
@@ -233,7 +235,8 @@ def _round(encoded: DataFrame, model: Hmm, overall: np.ndarray) -> Hmm:
             hit = np.flatnonzero(flat > 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(flat[hit])], names=["place", "x"])
 
-    rows = encoded.where("training").select("symbols").mapInArrow(run, "place bigint, x double")
+    tasks = max(encoded.sparkSession.sparkContext.defaultParallelism, n_tokens // TASK_WORDS)
+    rows = encoded.where("training").select("symbols").coalesce(tasks).mapInArrow(run, "place bigint, x double")
     got = rows.groupBy("place").agg(F.sum("x").alias("x")).toArrow()
     flat = np.zeros(size * k + k * k + k)
     flat[got["place"].to_numpy()] = got["x"].to_numpy()
@@ -248,7 +251,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
     sample = [np.array(x, dtype=np.int64) for x in picked["symbols"].to_pylist()]
     model = _first_model(sample, overall, len(overall) - 1, states)
     for _ in range(rounds):
-        model = _round(encoded, model, overall)
+        model = _round(encoded, model, overall, vocab.n_tokens)
     return model
 
 
