@@ -266,6 +266,14 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
     return out.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), component_id.alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`docs` with one document of each component, the one with the smallest id; columns as they are."""
+    groups = jaccard_groups(docs, percent, n, id_column, text_column)
+    dropped = groups.where(~F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("dropped_id")).distinct()
+    dropped = shared_table(dropped, "jaccard-dropped")
+    return docs.join(dropped, docs[id_column].eqNullSafe(dropped["dropped_id"]), "left_anti")
+
+
 def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, common, n: int) -> DataFrame:
     """The whole sets of the classes of `nodes`, in the global order, with a parity sketch each."""
     wanted = shared_table(classes.join(nodes, "node").select("node", "low_id", "k1", "k2"), "jaccard-wanted")

@@ -140,12 +140,14 @@ def count_tokens(text: Column) -> Column:
 def mix(docs: DataFrame, domain: Column, targets: Targets, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", source_column: str = "source") -> DataFrame:
     """The chosen rows of `docs`, all columns, once per epoch they are in, with mix_domain, mix_epoch
     (from 1), mix_tokens and mix_budget, the budget of the leaf.  `domain` gives a row's domain."""
-    named = docs.withColumns({"mix_domain": domain, "mix_tokens": count_tokens(F.col(text_column))})
-    keys = [F.col("mix_domain").alias("domain"), F.col(language_column).cast("string").alias("language"), F.col(source_column).cast("string").alias("source")]
-    cuts = leaf_cuts(named.select(F.col(id_column).alias("id"), *keys, F.col("mix_tokens").alias("tokens")), targets)
-    leaf = cuts.select(*[F.col(k).alias(f"mix_of_{k}") for k in LEVELS], F.col("budget").alias("mix_budget"), F.col("epochs").alias("mix_epochs"), F.col("cut").alias("mix_cut"))
-    same = named["mix_domain"].eqNullSafe(leaf["mix_of_domain"]) & named[language_column].cast("string").eqNullSafe(leaf["mix_of_language"]) & named[source_column].cast("string").eqNullSafe(leaf["mix_of_source"])
-    met = named.join(leaf, same).drop(*[f"mix_of_{k}" for k in LEVELS])
-    extra = (order_hash(F.col("mix_epochs") + 1, F.col(id_column), F.col("mix_tokens"), targets.seed) <= F.col("mix_cut")).cast("int")
-    met = met.withColumn("mix_times", F.col("mix_epochs") + extra).where(F.col("mix_times") > 0)
-    return met.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).drop("mix_epochs", "mix_cut", "mix_times")
+    # The row travels whole, so that no column of `docs` can clash with the names used here.
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).alias("id"), domain.alias("domain"),
+        F.col(language_column).cast("string").alias("language"), F.col(source_column).cast("string").alias("source"), count_tokens(F.col(text_column)).alias("tokens"),
+    )
+    cuts = leaf_cuts(named.drop("row"), targets)
+    met = _with_leaf(named, cuts, ["budget", "epochs", "cut"])
+    extra = (order_hash(F.col("epochs") + 1, F.col("id"), F.col("tokens"), targets.seed) <= F.col("cut")).cast("int")
+    met = met.withColumn("times", F.col("epochs") + extra).where(F.col("times") > 0)
+    kept = [F.col("row")[c].alias(c) for c in docs.columns]
+    return met.select(*kept, F.col("domain").alias("mix_domain"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("mix_epoch"), F.col("tokens").alias("mix_tokens"), F.col("budget").alias("mix_budget"))
