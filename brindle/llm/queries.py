@@ -16,7 +16,7 @@ from brindle.llm.lm_scoring import score as lm_score
 from brindle.llm.mixing import Targets, mix
 from brindle.llm.quality_model import fit, labelled_sample, score
 from brindle.llm.quality_rules import judged
-from brindle.llm.sentence_pieces import decode, encode
+from brindle.llm.sentence_pieces import encode
 from brindle.llm.sharding import shard_rows
 
 #: The public vocabulary that the queries encode with.
@@ -94,9 +94,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, and whether decoding them gives the text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text64"))
-    back = decode(encode(docs, PIECE_MODEL), PIECE_MODEL)
-    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), (F.xxhash64("text") == F.col("text64")).alias("round_trip"), "token_ids")
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, check=True)
+    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip", "token_ids")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

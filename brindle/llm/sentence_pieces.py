@@ -33,8 +33,8 @@ from brindle.llm.common import shared_table, ship_by_value
 #: Scores of so many characters still add up exactly in the library's single precision.
 GIANT = 1 << 16
 CHUNK = 1 << 14
-#: Texts given to the library at a time, by characters.
-GROUP = 1 << 20
+#: Characters of texts given to the library, and ids decoded, at a time.
+GROUP, DECODED = 1 << 19, 1 << 18
 #: No path: far below any score, far from overflow.
 NEVER = -(1 << 60)
 
@@ -241,40 +241,61 @@ def _encode_giants(texts: DataFrame, model, longest: int, chunk: int) -> DataFra
     return found.groupBy("row").applyInPandas(together, "row bigint, token_ids array<int>")
 
 
-def encode(docs: DataFrame, model_path: str, text_column: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """`docs` with the text column replaced by `token_ids`; other columns stay."""
+def _decoded(table: list[bytes], flat: np.ndarray, cut: np.ndarray) -> Iterator[str]:
+    """The texts of ids that lie one after the other; a bounded number of ids is listed at a time."""
+    at = 0
+    while at < len(cut) - 1:
+        to = max(at + 1, int(np.searchsorted(cut, cut[at] + DECODED, side="right")) - 1)
+        ids = flat[cut[at] : cut[to]].tolist()
+        for a, b in zip((cut[at:to] - cut[at]).tolist(), (cut[at + 1 : to + 1] - cut[at]).tolist()):
+            yield b"".join(map(table.__getitem__, ids[a:b])).decode("utf-8", "surrogatepass")[1:]
+        at = to
+
+
+def encode(docs: DataFrame, model_path: str, text_column: str = "text", giant: int = GIANT, chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """`docs` with the text column replaced by `token_ids`; other columns stay.
+
+    With `check`, `round_trip` tells whether decoding the ids gives the text back.
+    """
     spark: SparkSession = docs.sparkSession
     proto = piece_model(model_path)
     longest = _Pieces(proto).longest
     model = spark.sparkContext.broadcast(proto)
     kept = [c for c in docs.columns if c != text_column]
     names = [f"c{i}" for i in range(len(kept))]
+    extra = ["round_trip"] if check else []
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = _pieces(model.value).processor
+        import pyarrow.compute as pc
+
+        pieces = _pieces(model.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            column = batch.column(batch.num_columns - 1)
+            ends = np.cumsum(np.concatenate([[0], pc.utf8_length(column).to_numpy(zero_copy_only=False)]))
             at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP):
-                    size += len(texts[to])
-                    to += 1
-                ids = processor.encode([" " + t if t else "" for t in texts[at:to]], num_threads=1)
+            while at < len(column):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP, side="right")) - 1)
+                texts = column.slice(at, to - at).to_pylist()
+                ids = pieces.processor.encode([" " + t if t else "" for t in texts], num_threads=1)
                 flat = np.fromiter((i for x in ids for i in x), dtype=np.int32)
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, to - at) for i in range(batch.num_columns - 1)], pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=[*names, "token_ids"])
+                del ids
+                found = [pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))]
+                if check:
+                    found.append(pa.array([a == b for a, b in zip(texts, _decoded(pieces.bytes, flat, cut))], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, to - at) for i in range(batch.num_columns - 1)], *found], names=[*names, "token_ids", *extra])
                 at = to
 
-    types = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    schema = f"{types}{', ' if types else ''}token_ids array<int>"
-    out = rows.where(F.length("text") <= giant).mapInArrow(run, schema)
+    types = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + ["token_ids array<int>"] + ["round_trip boolean"] * check
+    out = rows.where(F.length("text") <= giant).mapInArrow(run, ", ".join(types))
     giants = shared_table(rows.where(F.length("text") > giant).withColumn("row", F.monotonically_increasing_id()), "piece-giants")
     if not giants.isEmpty():
-        ids = _encode_giants(giants.select("row", "text"), model, longest, max(chunk, longest))
-        out = out.unionByName(giants.drop("text").join(ids, "row").drop("row"))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], "token_ids")
+        ids = giants.join(_encode_giants(giants.select("row", "text"), model, longest, max(chunk, longest)), "row").drop("row")
+        if check:
+            ids = decode(ids, model_path, "decoded_text").withColumn("round_trip", F.col("text") == F.col("decoded_text")).drop("decoded_text")
+        out = out.unionByName(ids.drop("text"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], "token_ids", *extra)
 
 
 def decode(encoded: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
@@ -289,8 +310,7 @@ def decode(encoded: DataFrame, model_path: str, text_column: str = "text") -> Da
         table = _pieces(model.value).bytes
         for batch in batches:
             column = batch.column(place)
-            flat, cut = column.values.to_numpy().tolist(), column.offsets.to_pylist()
-            texts = [b"".join(map(table.__getitem__, flat[a:b])).decode("utf-8", "surrogatepass")[1:] for a, b in zip(cut[:-1], cut[1:])]
+            texts = _decoded(table, column.values.to_numpy(), column.offsets.to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     types = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
