@@ -137,14 +137,23 @@ class PrefixTree:
         return found
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, walked through prefix trees of the b of each a."""
-    sketch = sets.select("node", "size", "sketch")
-    a = sketch.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
-    b = sketch.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches differ in no more places than the sets of similar classes can."""
+    a = classes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    b = classes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     may = apart <= F.col("size_a") + F.col("size_b") - 2 * needed(F.col("size_a"), F.col("size_b"), percent)
-    pairs = shared_table(pairs.join(a, "a").join(b, "b").where(may).select("a", "b"), "jaccard-pairs")
+    return shared_table(pairs.join(a, "a").join(b, "b").where(may).select("a", "b"), "jaccard-pairs")
+
+
+def _sketch(found: np.ndarray) -> np.ndarray:
+    """1024 bits; bit i tells whether an odd number of elements falls on i, so two sets differ in at
+    least as many elements as their sketches in bits."""
+    return np.packbits((np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar, walked through prefix trees of the b of each a."""
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
     tree = F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / TREE)).cast("int")
     pairs = pairs.join(many, "a").select("a", "b", tree.alias("tree"))
@@ -195,7 +204,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got: dict[str, list] = {"id_at": [], "k1": [], "k2": [], "size": []}
-            items, cut = [], [0]
+            items, cut, sketches = [], [0], []
 
             def flush():
                 ids = batch.column(0).take(pa.array(got["id_at"], pa.int64()))
@@ -203,22 +212,24 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
                 return pa.RecordBatch.from_arrays([
                     ids, pa.array(got["k1"], pa.int64()), pa.array(got["k2"], pa.int64()), pa.array(got["size"], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.array(cut, dtype=np.int32)), pa.array(flat.view(np.int64))),
-                ], names=["id", "k1", "k2", "size", "prefix"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * 16), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))),
+                ], names=["id", "k1", "k2", "size", "prefix", "sketch"])
 
             for i, found in _sets(batch.column(1), n):
                 k1, k2 = _key(found)
                 got["id_at"].append(i), got["k1"].append(k1), got["k2"].append(k2), got["size"].append(len(found))
                 items.append(_ordered(found, common.value, _prefix_length(len(found), percent)))
                 cut.append(cut[-1] + len(items[-1]))
+                sketches.append(_sketch(found))
                 if cut[-1] > 1 << 20:
                     yield flush()
                     got = {k: [] for k in got}
-                    items, cut = [], [0]
+                    items, cut, sketches = [], [0], []
             yield flush()
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = shared_table(rows.mapInArrow(prefixes, f"id {kind}, k1 bigint, k2 bigint, size bigint, prefix array<bigint>"), "jaccard-prefixes")
-    classes = found.where("size > 0").groupBy("k1", "k2").agg(F.min("id").alias("low_id"), F.first("size").alias("size"))
+    found = shared_table(rows.mapInArrow(prefixes, f"id {kind}, k1 bigint, k2 bigint, size bigint, prefix array<bigint>, sketch array<bigint>"), "jaccard-prefixes")
+    classes = found.where("size > 0").groupBy("k1", "k2").agg(F.min("id").alias("low_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     classes = shared_table(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
 
     # Buckets: one row per class and element; copies fall together on the map side.
@@ -240,8 +251,12 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
     starred = shared.where(F.col("node") != F.col("lead_node")).where(possible(F.col("lead_size"), F.col("lead_place"), F.col("size"), F.col("place")))
     starred = shared_table(starred.select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
 
-    sets = _looked_up(rows, classes, shared.select("node").distinct(), common, n)
-    links = shared_table(_verified(starred, sets, percent), "jaccard-links")
+    def similar(pairs: DataFrame) -> DataFrame:
+        likely = _likely(pairs, classes, percent)
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return shared_table(_verified(likely, _looked_up(rows, classes, ends, common, n), percent), "jaccard-links")
+
+    links = similar(starred)
     grouped = shared_table(components(links), "jaccard-components")
 
     # Buckets that still hold several components: all pairs across components, by bands of length.
@@ -256,8 +271,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
     first = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("node") < F.col("b")))
     met = met.where(first & (F.col("component") != F.col("component_b")) & possible(F.col("size"), F.col("place"), F.col("size_b"), F.col("place_b")))
     rest = shared_table(met.select(F.col("node").alias("a"), "b").distinct().join(starred, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = shared_table(links.unionByName(_verified(rest, sets, percent)), "jaccard-links")
-    grouped = components(links)
+    grouped = components(links.unionByName(similar(rest)))
     named = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
     named = shared_table(named.join(lows, "component").select("k1", "k2", "component_id"), "jaccard-named")
@@ -275,7 +289,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80, n: int = 5, id_column:
 
 
 def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, common, n: int) -> DataFrame:
-    """The whole sets of the classes of `nodes`, in the global order, with a parity sketch each."""
+    """The whole sets of the classes of `nodes`, in the global order."""
     wanted = shared_table(classes.join(nodes, "node").select("node", "low_id", "k1", "k2"), "jaccard-wanted")
     ids = wanted.select(F.col("low_id").alias("wanted_id")).distinct()
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
@@ -286,16 +300,13 @@ def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, common, n:
         for batch in batches:
             for _, found in _sets(batch.column(0), n):
                 k1, k2 = _key(found)
-                # Bit i tells whether an odd number of elements falls on i: sets differ at least
-                # where their sketches do.
-                bits = np.packbits((np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k1]), pa.array([k2]), pa.array([len(found)]), pa.array([_ordered(found, common.value, None).view(np.int64)], pa.list_(pa.int64())), pa.array([bits], pa.list_(pa.int64())),
-                ], names=["k1", "k2", "size", "items", "sketch"])
+                    pa.array([k1]), pa.array([k2]), pa.array([_ordered(found, common.value, None).view(np.int64)], pa.list_(pa.int64())),
+                ], names=["k1", "k2", "items"])
 
-    got = texts.mapInArrow(again, "k1 bigint, k2 bigint, size bigint, items array<bigint>, sketch array<bigint>")
+    got = texts.mapInArrow(again, "k1 bigint, k2 bigint, items array<bigint>")
     got = got.join(wanted.select("k1", "k2", "node"), ["k1", "k2"]).dropDuplicates(["node"])
-    return shared_table(got.select("node", "size", "items", "sketch"), "jaccard-sets")
+    return shared_table(got.select("node", "items"), "jaccard-sets")
 
 
 ship_by_value(__name__)
