@@ -44,7 +44,8 @@ def binary_scores(rows: DataFrame, gold: Column, predicted: Column) -> DataFrame
 def confusion(rows: DataFrame, gold: str, predicted: str, labels: list[str]) -> DataFrame:
     """Counts of gold by predicted label; labels that are not listed count as `other`."""
     fixed = lambda c: F.when(F.col(c).isin(labels), F.col(c)).otherwise("other")
-    return rows.groupBy(fixed(gold).alias("gold")).pivot("pred_label", [*labels, "other"]).count().na.fill(0) if "pred_label" in rows.columns else confusion(rows.withColumn("pred_label", fixed(predicted)), gold, predicted, labels)
+    pairs = rows.select(fixed(gold).alias("gold"), fixed(predicted).alias("predicted"))
+    return pairs.groupBy("gold").pivot("predicted", [*labels, "other"]).count().na.fill(0)
 
 
 def per_label_scores(rows: DataFrame, gold: str, predicted: str) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from brindle.plans import relational, search, state
+
+QUERIES: dict = {**relational.QUERIES, **search.QUERIES, **state.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.SQL, **search.SQL, **state.SQL}
