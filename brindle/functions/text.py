@@ -49,9 +49,12 @@ def cjk_grams(text: Column, widths: tuple[int, ...]) -> Column:
     """The distinct substrings of the given widths of every run of CJK characters."""
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CJK_PATTERN), F.lit(0))
 
+    def of_width(run: Column, width: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - width + 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(width)))
+        return F.filter(found, lambda g: F.length(g) == width)
+
     def grams(run: Column) -> Column:
-        parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - w + 1, F.lit(1))), lambda i, w=w: F.substr(run, i, F.lit(w))) for w in widths]
-        return F.filter(F.concat(*parts), lambda g: F.length(g) >= min(widths))
+        return F.concat(*[of_width(run, w) for w in widths])
 
     return F.array_distinct(F.flatten(F.transform(runs, grams)))
 
