@@ -1,34 +1,39 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap by a share or more.
 
-Sets are globally ordered: n-grams that many documents have come last, all else by hash.  Two sets
-that are similar enough share one of their first n - ceil(share * n) + 1 elements, so candidates
-meet in buckets by those elements.
-
 1. Documents with equal sets are one class; all further work is on classes.
-2. In every bucket each member is paired with the smallest member.  Pairs that may be similar by
-   their lengths, by the places of the shared element, and by the parity sketches of their sets
-   are verified: the partners' sets are put into a prefix tree, which the other set walks once,
-   sharing the overlap of common beginnings and leaving a subtree when the elements that remain
-   cannot reach the overlap that is needed.
-3. Linked classes become components.  Members of a bucket that are in one component need no further
-   pairs; all others are paired, by bands of length, filtered and verified alike.  So no link
-   between different components is lost, and large groups of copies are not expanded into pairs.
+2. Candidates.  Sets of similar size that are similar enough differ in at most D elements.  Each
+   set, ordered by hash, is cut at fixed places into D + 1 + s parts, so that two similar sets agree
+   in s + 1 parts at least; classes that agree in a part meet in a bucket.  Empty parts are left
+   out as long as a set has at most s of them; a set with more has a bucket for every choice of
+   s + 1 of them, so no pair is lost.  s grows with the number of empty parts that is to be
+   expected.  A part holds several n-grams: a common passage alone brings nothing together.
+3. In every bucket each member is paired with one leader.  Pairs whose parity sketches differ in
+   more bits than similar sets can differ in elements are dropped; the others are verified: the
+   partners' sets are put into a prefix tree in the global order (by hash), which the other set
+   walks once, sharing the overlap of common beginnings and leaving a subtree when the elements
+   that remain cannot reach the overlap that is needed.
+4. Linked classes become components.  Members of a bucket that are in one component need no further
+   pairs; all others are paired, filtered and verified alike.  So no link between different
+   components is lost, and large groups of near copies are not expanded into pairs.
 
 Defined results.  Words are split at white space, A-Z lowered.  A document with fewer words than n
 has its whole sequence as its one element; one without words has an empty set and no links.
 Repeated rows are in one class.  A null id takes part; the component of only null ids is null.
-64-bit hashes stand for n-grams, 128-bit digests for sets.  An empty table gives an empty result.
+64-bit hashes stand for n-grams and for classes.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import shared_table, ship_by_value
@@ -37,12 +42,12 @@ from brindle.llm.hashing import mix, text_bytes, word_hashes, word_spans
 
 #: Bytes of text handled at a time.
 BLOCK = 1 << 22
-#: At most so many common n-grams are moved to the end of the order, of those counted this often.
-COMMON, COMMON_FROM = 1 << 18, 16
+#: Ratio of the largest to the smallest size that share a way of cutting.
+BAND = 1.4
 #: Ids of documents to look at again are broadcast up to this many, else joined.
 BROADCAST_IDS = 1 << 20
-#: Partners put into one prefix tree.
-TREE = 256
+#: Partners put into one prefix tree, and pairs verified in one group.
+TREE, GROUP = 256, 256
 #: A bucket with more members has its pairs dealt over several tasks.
 WIDE = 64
 
@@ -75,29 +80,53 @@ def _sets(column, n: int) -> Iterator[tuple[int, np.ndarray]]:
         at = to
 
 
-def _prefix_length(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1 if size else 0
-
-
-def _ordered(found: np.ndarray, common: np.ndarray, need: int | None) -> np.ndarray:
-    """The first `need` elements of a set (all: None) in the global order."""
-    if need is not None:
-        start = found[: 2 * need]
-        plain = start[~_is_common(start, common)]
-        if len(plain) >= need:
-            return plain[:need]
-    late = _is_common(found, common)
-    return np.concatenate([found[~late], found[late]])[:need]
-
-
-def _is_common(values: np.ndarray, common: np.ndarray) -> np.ndarray:
-    if not len(common):
-        return np.zeros(len(values), dtype=bool)
-    return common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
-
-
-def _key(found: np.ndarray) -> tuple[int, int]:
-    return tuple(np.frombuffer(hashlib.md5(found.tobytes()).digest(), dtype=np.int64).tolist())
+def _key(found: np.ndarray) -> int:
+    return int(np.frombuffer(hashlib.md5(found.tobytes()).digest()[:8], dtype=np.int64)[0])
+
+
+@lru_cache(maxsize=4096)
+def _cutting(band: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The slack s, the places of the cuts, and a salt per part, for sizes from BAND ** band up to
+    BAND ** (band + 1)."""
+    low, high = math.ceil(BAND**band), math.ceil(BAND ** (band + 1)) - 1
+    apart = (100 - percent) * 2 * high // (100 + percent)
+    slack = 0
+    if apart:
+        for _ in range(20):
+            parts = apart + 1 + slack
+            empty = parts * math.exp(-low / parts)
+            slack = max(1, math.ceil(empty + 5 * math.sqrt(empty)))
+    parts = apart + 1 + slack
+    cuts = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+    salts = mix((np.uint64(band) << np.uint64(40)) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return slack, cuts, salts
+
+
+def _bands(size: int, percent: int) -> list[int]:
+    """The bands in which a set meets all sets that can be similar to it: its own, and the one above
+    or below where that begins or ends within reach.  A pair meets in the band of its larger set."""
+    own = max(0, math.floor(math.log(size) / math.log(BAND) + 1e-9))
+    while BAND ** (own + 1) <= size:
+        own += 1
+    while own and BAND**own > size:
+        own -= 1
+    top = 100 * size // percent
+    return [own] + ([own + 1] if top >= BAND ** (own + 1) else [])
+
+
+def _keys(found: np.ndarray, percent: int) -> np.ndarray:
+    """The buckets of a set."""
+    out = []
+    for band in _bands(len(found), percent):
+        slack, cuts, salts = _cutting(band, percent)
+        edges = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
+        full = np.flatnonzero(np.diff(edges))
+        sums = np.add.reduceat(mix(found), edges[full])
+        out.append(mix(sums + salts[full]))
+        empty = np.flatnonzero(np.diff(edges) == 0)
+        if len(empty) > slack:
+            out.append(np.array([int(np.bitwise_xor.reduce(mix(salts[list(c)]))) for c in itertools.combinations(empty.tolist(), slack + 1)], dtype=np.uint64))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def needed(size_a: Column, size_b: Column, percent: int) -> Column:
@@ -106,34 +135,47 @@ def needed(size_a: Column, size_b: Column, percent: int) -> Column:
 
 
 class PrefixTree:
-    """Sets in the global order; inner nodes know the smallest and largest set below."""
+    """Sets in the global order; a node has the elements that all sets below share next, the sets
+    that end there, the smallest and largest size below, and children by their first element."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.root: list = [{}, 1 << 60, 0, []]
-        for i, values in enumerate(sets):
-            node, size = self.root, len(values)
-            node[1], node[2] = min(node[1], size), max(node[2], size)
-            for v in values.tolist():
-                node = node[0].setdefault(v, [{}, size, size, []])
-                node[1], node[2] = min(node[1], size), max(node[2], size)
-            node[3].append(i)
+        self.sets = sets
+        self.root = self._node([i for i in range(len(sets))], 0)
+
+    def _node(self, below: list[int], depth: int) -> tuple:
+        first = self.sets[below[0]] if below else np.zeros(0, np.int64)
+        upto = len(first)
+        for i in below[1:]:
+            other = self.sets[i]
+            n = min(upto, len(other))
+            differ = np.flatnonzero(first[depth:n] != other[depth:n])
+            upto = depth + int(differ[0]) if len(differ) else n
+        ends, rest = [], {}
+        for i in below:
+            if len(self.sets[i]) == upto:
+                ends.append(i)
+            else:
+                rest.setdefault(int(self.sets[i][upto]), []).append(i)
+        sizes = [len(self.sets[i]) for i in below] or [0]
+        return first[depth:upto], upto, ends, min(sizes), max(sizes), [self._node(x, upto) for x in rest.values()]
 
     def similar(self, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
         """(index, overlap) of the sets similar to `values`."""
-        place = {v: i for i, v in enumerate(values.tolist())}
         size, found = len(values), []
         stack = [(self.root, 0, 0, 0)]
         while stack:
-            node, depth, overlap, after = stack.pop()
-            children, least, most, ends = node
+            (edge, depth, ends, least, most, children), above, overlap, after = stack.pop()
             need = -(-percent * (size + least) // (100 + percent))
-            if overlap + min(size - after, most - depth) < need:
+            if overlap + min(size - after, most - above) < need:
                 continue
+            if len(edge):
+                at = np.searchsorted(values, edge)
+                met = values[np.minimum(at, size - 1)] == edge
+                overlap += int(met.sum())
+                after = int(at[-1] + met[-1])
             if ends and overlap >= -(-percent * (size + depth) // (100 + percent)):
                 found += [(i, overlap) for i in ends]
-            for value, child in children.items():
-                at = place.get(value)
-                stack.append((child, depth + 1, overlap, after) if at is None else (child, depth + 1, overlap + 1, at + 1))
+            stack += [(child, depth, overlap, after) for child in children]
         return found
 
 
@@ -154,128 +196,100 @@ def _sketch(found: np.ndarray) -> np.ndarray:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar, walked through prefix trees of the b of each a."""
+    groups = max(1, pairs.count() // GROUP)
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
     tree = F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / TREE)).cast("int")
     pairs = pairs.join(many, "a").select("a", "b", tree.alias("tree"))
     partners = pairs.join(sets.select(F.col("node").alias("b"), "items"), "b").select("a", "tree", "b", "items")
     walkers = pairs.select("a", "tree").distinct().join(sets.select(F.col("node").alias("a"), "items"), "a").select("a", "tree", F.lit(None).cast("long").alias("b"), "items")
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        own = group["b"].isna()
-        others = group[~own]
-        found = PrefixTree([np.asarray(x) for x in others["items"]]).similar(np.asarray(group[own]["items"].iloc[0]), percent)
-        return pd.DataFrame({"a": group["a"].iloc[0], "b": others["b"].to_numpy(dtype=np.int64)[[i for i, _ in found]]})
+    def walk(batch: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, list] = {"a": [], "b": []}
+        for (a, _), rows in batch.groupby(["a", "tree"], sort=False):
+            own = rows["b"].isna()
+            others = rows[~own]
+            names = others["b"].astype("int64").tolist()
+            # As unsigned numbers, so that the order is that of the hashes.
+            trie = PrefixTree([np.asarray(x, dtype=np.int64).view(np.uint64) for x in others["items"]])
+            for i, _ in trie.similar(np.asarray(rows[own]["items"].iloc[0], dtype=np.int64).view(np.uint64), percent):
+                found["a"].append(a)
+                found["b"].append(names[i])
+        return pd.DataFrame(found, dtype="int64")
 
-    return partners.unionByName(walkers).groupBy("a", "tree").applyInPandas(walk, "a bigint, b bigint")
-
-
-def _common(rows: DataFrame, n: int, percent: int) -> np.ndarray:
-    """N-grams that occur in the first elements of many sets: at most COMMON, sorted."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, held = [], 0
-            for i, found in _sets(batch.column(0), n):
-                parts.append(found[: 2 * _prefix_length(len(found), percent)])
-                held += len(parts[-1])
-                if held > 1 << 20 or i == batch.num_rows - 1:
-                    keys, times = np.unique(np.concatenate(parts), return_counts=True)
-                    parts, held = [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int32))], names=["gram", "times"])
-
-    counts = rows.select("text").mapInArrow(count, "gram bigint, times int").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON_FROM)
-    counts = shared_table(counts, "jaccard-common")
-    steps = {r["step"]: r["n"] for r in counts.groupBy(F.floor(F.log2("times")).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    level = max(steps, default=0) + 1
-    held = 0
-    while level - 1 in steps and held + steps[level - 1] <= COMMON or (level > 4 and level - 1 not in steps):
-        level -= 1
-        held += steps.get(level, 0)
-    picked = counts.where(F.log2("times") >= level).select("gram").toArrow()["gram"].to_numpy()
-    return np.sort(picked.view(np.uint64))
+    both = partners.unionByName(walkers).withColumn("b", F.col("b").cast("string")).withColumn("group", F.pmod(F.xxhash64("a", "tree"), F.lit(groups)))
+    return both.groupBy("group").applyInPandas(walk, "a bigint, b bigint")
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
-    spark = docs.sparkSession
+    if not 75 <= percent <= 100:
+        raise ValueError("the join is made for similarities of 75 percent and more")
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    common = spark.sparkContext.broadcast(_common(rows, n, percent))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            got: dict[str, list] = {"id_at": [], "k1": [], "k2": [], "size": []}
-            items, cut, sketches = [], [0], []
+            at, nodes, sizes, keys, sketches, held = [], [], [], [], [], 0
 
             def flush():
-                ids = batch.column(0).take(pa.array(got["id_at"], pa.int64()))
-                flat = np.concatenate(items) if items else np.zeros(0, np.uint64)
+                cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                bits = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
+                flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
                 return pa.RecordBatch.from_arrays([
-                    ids, pa.array(got["k1"], pa.int64()), pa.array(got["k2"], pa.int64()), pa.array(got["size"], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.array(cut, dtype=np.int32)), pa.array(flat.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * 16), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))),
-                ], names=["id", "k1", "k2", "size", "prefix", "sketch"])
+                    batch.column(0).take(pa.array(at, pa.int64())), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(bits), pa.array(np.concatenate([*sketches, np.zeros(0, np.int64)]))),
+                ], names=["id", "node", "size", "keys", "sketch"])
 
             for i, found in _sets(batch.column(1), n):
-                k1, k2 = _key(found)
-                got["id_at"].append(i), got["k1"].append(k1), got["k2"].append(k2), got["size"].append(len(found))
-                items.append(_ordered(found, common.value, _prefix_length(len(found), percent)))
-                cut.append(cut[-1] + len(items[-1]))
-                sketches.append(_sketch(found))
-                if cut[-1] > 1 << 20:
+                node = _key(found)
+                # Of the copies that a task reads one brings the buckets of its class: a map-side combine.
+                new = len(found) > 0 and node not in seen
+                seen.add(node)
+                at.append(i), nodes.append(node), sizes.append(len(found))
+                keys.append(_keys(found, percent) if new else np.zeros(0, np.uint64))
+                sketches.append(_sketch(found) if new else np.zeros(0, np.int64))
+                held += len(keys[-1])
+                if held > 1 << 19:
                     yield flush()
-                    got = {k: [] for k in got}
-                    items, cut, sketches = [], [0], []
+                    at, nodes, sizes, keys, sketches, held = [], [], [], [], [], 0
             yield flush()
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = shared_table(rows.mapInArrow(prefixes, f"id {kind}, k1 bigint, k2 bigint, size bigint, prefix array<bigint>, sketch array<bigint>"), "jaccard-prefixes")
-    classes = found.where("size > 0").groupBy("k1", "k2").agg(F.min("id").alias("low_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    classes = shared_table(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-
-    # Buckets: one row per class and element; copies fall together on the map side.
-    entries = found.where("size > 0").select("k1", "k2", "size", F.posexplode("prefix").alias("place", "gram")).groupBy("gram", "k1", "k2").agg(F.first("size").alias("size"), F.first("place").alias("place"))
-    buckets = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("size", "k1", "k2", "place")).alias("lead")).where("members > 1")
-    shared = shared_table(entries.join(buckets, "gram"), "jaccard-entries")
-    shared = shared.join(classes.select("k1", "k2", "node"), ["k1", "k2"])
-    leads = classes.select(F.col("k1").alias("lead_k1"), F.col("k2").alias("lead_k2"), F.col("node").alias("lead_node"))
-    shared = shared.join(leads, (F.col("lead.k1") == leads["lead_k1"]) & (F.col("lead.k2") == leads["lead_k2"]))
-    shared = shared_table(shared.select("gram", "node", "size", "place", "members", "lead_node", F.col("lead.size").alias("lead_size"), F.col("lead.place").alias("lead_place")), "jaccard-buckets")
-
-    def possible(size_a: Column, place_a: Column, size_b: Column, place_b: Column) -> Column:
-        need = needed(size_a, size_b, percent)
-        # At the shared element no more than what follows it on both sides can be shared too, and
-        # what stands before it can only be shared if it is in both.
-        most = F.least(place_a, place_b) + F.least(size_a - place_a, size_b - place_b)
-        return (F.least(size_a, size_b) >= need) & (most >= need)
-
-    starred = shared.where(F.col("node") != F.col("lead_node")).where(possible(F.col("lead_size"), F.col("lead_place"), F.col("size"), F.col("place")))
-    starred = shared_table(starred.select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
+    found = shared_table(rows.mapInArrow(described, f"id {kind}, node bigint, size bigint, keys array<bigint>, sketch array<bigint>"), "jaccard-sets")
+    lows = found.where("size > 0").groupBy("node").agg(F.min("id").alias("low_id"))
+    sketches = found.where(F.size("sketch") > 0).select("node", "size", "sketch").dropDuplicates(["node"])
+    classes = shared_table(sketches.join(lows, "node"), "jaccard-classes")
+
+    # One shuffle by bucket: the leader of each, and only buckets with more than one class.
+    bucket = Window.partitionBy("key")
+    entries = found.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
+    buckets = entries.withColumns({"lead": F.min("node").over(bucket), "last": F.max("node").over(bucket), "members": F.count(F.lit(1)).over(bucket)})
+    buckets = shared_table(buckets.where("lead < last").select("key", "node", "lead", "members").distinct(), "jaccard-buckets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         likely = _likely(pairs, classes, percent)
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return shared_table(_verified(likely, _looked_up(rows, classes, ends, common, n), percent), "jaccard-links")
+        return shared_table(_verified(likely, _looked_up(rows, classes, ends, n), percent), "jaccard-links")
 
+    starred = shared_table(buckets.where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
     links = similar(starred)
     grouped = shared_table(components(links), "jaccard-components")
 
-    # Buckets that still hold several components: all pairs across components, by bands of length.
-    placed = shared.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_grams = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
-    still = shared_table(placed.join(open_grams, "gram").select("gram", "node", "size", "place", "component", "members"), "jaccard-open")
-    band = F.floor(F.log("size") / F.log(F.lit(100.0 / percent)))
+    # Buckets that still hold several components: all pairs across components.
+    placed = buckets.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    still = shared_table(placed.join(several, "key").select("key", "node", "component", "members"), "jaccard-open")
     pieces = F.when(F.col("members") > WIDE, F.lit(8)).otherwise(F.lit(1))
-    left = still.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("piece", F.pmod(F.xxhash64("node"), pieces))
-    right = still.select("gram", band.alias("band"), F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)).alias("piece"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
-    met = left.join(right, ["gram", "band", "piece"])
-    first = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("node") < F.col("b")))
-    met = met.where(first & (F.col("component") != F.col("component_b")) & possible(F.col("size"), F.col("place"), F.col("size_b"), F.col("place_b")))
+    left = still.withColumn("piece", F.pmod(F.xxhash64("node"), pieces)).select("key", "piece", "node", "component")
+    right = still.select("key", F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)).alias("piece"), F.col("node").alias("b"), F.col("component").alias("component_b"))
+    met = left.join(right, ["key", "piece"]).where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")))
     rest = shared_table(met.select(F.col("node").alias("a"), "b").distinct().join(starred, ["a", "b"], "left_anti"), "jaccard-rest")
     grouped = components(links.unionByName(similar(rest)))
-    named = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    named = shared_table(named.join(lows, "component").select("k1", "k2", "component_id"), "jaccard-named")
-    out = found.select("id", "k1", "k2", "size").join(named, ["k1", "k2"], "left")
+
+    named = classes.select("node", "low_id").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    named = shared_table(named.join(lowest, "component").select("node", "component_id"), "jaccard-named")
+    out = found.select("id", "node", "size").join(named, "node", "left")
     component_id = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), component_id.alias("component_id"))
 
@@ -288,9 +302,9 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80, n: int = 5, id_column:
     return docs.join(dropped, docs[id_column].eqNullSafe(dropped["dropped_id"]), "left_anti")
 
 
-def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, common, n: int) -> DataFrame:
+def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """The whole sets of the classes of `nodes`, in the global order."""
-    wanted = shared_table(classes.join(nodes, "node").select("node", "low_id", "k1", "k2"), "jaccard-wanted")
+    wanted = shared_table(classes.join(nodes, "node").select("node", "low_id"), "jaccard-wanted")
     ids = wanted.select(F.col("low_id").alias("wanted_id")).distinct()
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -299,14 +313,10 @@ def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, common, n:
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, found in _sets(batch.column(0), n):
-                k1, k2 = _key(found)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([k1]), pa.array([k2]), pa.array([_ordered(found, common.value, None).view(np.int64)], pa.list_(pa.int64())),
-                ], names=["k1", "k2", "items"])
-
-    got = texts.mapInArrow(again, "k1 bigint, k2 bigint, items array<bigint>")
-    got = got.join(wanted.select("k1", "k2", "node"), ["k1", "k2"]).dropDuplicates(["node"])
-    return shared_table(got.select("node", "items"), "jaccard-sets")
+                yield pa.RecordBatch.from_arrays([pa.array([_key(found)]), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names=["node", "items"])
+
+    got = texts.mapInArrow(again, "node bigint, items array<bigint>")
+    return shared_table(got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-items")
 
 
 ship_by_value(__name__)
