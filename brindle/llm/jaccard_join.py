@@ -6,7 +6,8 @@
    in s + 1 parts at least; classes that agree in a part meet in a bucket.  Empty parts are left
    out as long as a set has at most s of them; a set with more has a bucket for every choice of
    s + 1 of them, so no pair is lost.  s grows with the number of empty parts that is to be
-   expected.  A part holds several n-grams: a common passage alone brings nothing together.
+   expected; small sets, where that is too many, meet by their first n - ceil(share * n) + 1
+   elements instead.  A part holds several n-grams: a common passage alone brings nothing together.
 3. In every bucket each member is paired with one leader.  Pairs whose parity sketches differ in
    more bits than similar sets can differ in elements are dropped; the others are verified: the
    partners' sets are put into a prefix tree in the global order (by hash), which the other set
@@ -85,17 +86,20 @@ def _key(found: np.ndarray) -> int:
 
 
 @lru_cache(maxsize=4096)
-def _cutting(band: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+def _cutting(band: int, percent: int) -> tuple[int, np.ndarray, np.ndarray] | None:
     """The slack s, the places of the cuts, and a salt per part, for sizes from BAND ** band up to
-    BAND ** (band + 1)."""
+    BAND ** (band + 1); none for small sets, in which too many parts would be empty."""
     low, high = math.ceil(BAND**band), math.ceil(BAND ** (band + 1)) - 1
     apart = (100 - percent) * 2 * high // (100 + percent)
-    slack = 0
-    if apart:
-        for _ in range(20):
-            parts = apart + 1 + slack
-            empty = parts * math.exp(-low / parts)
-            slack = max(1, math.ceil(empty + 5 * math.sqrt(empty)))
+    # The smaller set of a pair may lie below the band by the share.
+    least = max(1.0, low * percent / 100)
+    slack, wanted = 0, 0 if apart == 0 else 1
+    while slack < wanted:
+        slack = wanted
+        if slack > apart:
+            return None
+        empty = (apart + 1 + slack) * math.exp(-least / (apart + 1 + slack))
+        wanted = max(slack, math.ceil(empty + 4 * math.sqrt(empty)))
     parts = apart + 1 + slack
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
     salts = mix((np.uint64(band) << np.uint64(40)) + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -118,7 +122,13 @@ def _keys(found: np.ndarray, percent: int) -> np.ndarray:
     """The buckets of a set."""
     out = []
     for band in _bands(len(found), percent):
-        slack, cuts, salts = _cutting(band, percent)
+        cutting = _cutting(band, percent)
+        if cutting is None:
+            # Small sets: two that are similar share one of their first elements in the order.
+            first = found[: len(found) - -(-percent * len(found) // 100) + 1]
+            out.append(mix(first ^ mix(np.array([band + 1], dtype=np.uint64))))
+            continue
+        slack, cuts, salts = cutting
         edges = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
         full = np.flatnonzero(np.diff(edges))
         sums = np.add.reduceat(mix(found), edges[full])
