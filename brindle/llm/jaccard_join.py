@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shared_table, ship_by_value
+from brindle.llm.common import drop_table, shared_table, ship_by_value
 from brindle.llm.components import components
 from brindle.llm.hashing import mix, text_bytes, word_hashes, word_spans
 
@@ -275,6 +275,9 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
     entries = found.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
     buckets = entries.withColumns({"lead": F.min("node").over(bucket), "last": F.max("node").over(bucket), "members": F.count(F.lit(1)).over(bucket)})
     buckets = shared_table(buckets.where("lead < last").select("key", "node", "lead", "members").distinct(), "jaccard-buckets")
+    # The keys of all sets are needed no more; they would lie in the shared folder to the end.
+    described_rows, found = found, shared_table(found.select("id", "node", "size"), "jaccard-rows")
+    drop_table(described_rows)
 
     def similar(pairs: DataFrame) -> DataFrame:
         likely = _likely(pairs, classes, percent)
