@@ -5,6 +5,7 @@ and hashed; per host, the number of different texts with the line is counted, ex
 text counting once.  A line above the limit is boilerplate and leaves every document of the host
 except the one with the smallest id, so the last copy of a line is never lost.  A document whose
 words are then below the least number is depleted and rejected; so is one that fails a base rule.
+`judged` counts what leaves; `clean` takes the lines out of the texts and the rejected rows away.
 
 Plan.  The texts are scanned once into a table of features and line hashes in the shared folder;
 the two distributed counts, the lookup of frequent lines and the sums run on that table.  Counting
@@ -58,6 +59,11 @@ def _covered(places: Column) -> Column:
     return F.aggregate(gaps, F.when(n > 0, F.lit(WINDOW)).otherwise(F.lit(0)), lambda s, x: s + x)
 
 
+def _norm_lines(body: str) -> Column:
+    """The normalised lines of the column `body`, empty ones too, as many as it has between line feeds."""
+    return F.transform(F.split(F.regexp_replace(F.lower(body), BLANK_PATTERN, " "), "\n"), lambda x: F.trim(x))
+
+
 def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """A row per row of `docs`: id, host, text hash, base counts, and lines (hash, words) in order.
 
@@ -71,7 +77,7 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         "words": F.filter(F.split("body", SPACE_PATTERN), lambda w: w != ""),
         "raw_lines": F.filter(F.split("body", "\n"), lambda x: x.rlike(WORD_PATTERN)),
         "n_symbols": (F.length("body") - F.length(F.regexp_replace("body", SYMBOL_PATTERN, ""))).cast("long"),
-        "norm_lines": F.filter(F.transform(F.split(F.regexp_replace(F.lower("body"), BLANK_PATTERN, " "), "\n"), F.trim), lambda x: x != ""),
+        "norm_lines": F.filter(_norm_lines("body"), lambda x: x != ""),
     })
     rows = rows.withColumns({
         "n_words": F.size("words").cast("long"),
@@ -91,7 +97,7 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """A row per row of `docs`: id, host, text64, the base counts, removed_words and kept."""
+    """A row per row of `docs`: id, host, text64, the base counts, removed_words, kept, and the hashes of the lines that leave."""
     found = features(docs, id_column, text_column, host_column).withColumn("row", F.monotonically_increasing_id())
     found = shared_table(found, "quality-features")
     host = F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("null")).alias("host")
@@ -101,7 +107,7 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     sizes = found.groupBy(host, "text64").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
     frequent = shared_table(counted.join(sizes, "host").where(F.col("texts") > LINE_SHARE * F.col("host_texts")).select("host", "h", "carrier"), "quality-lines")
     hit = lines.select("row", "id", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(frequent, ["host", "h"])
-    removed = hit.where(~F.col("id").eqNullSafe(F.col("carrier"))).groupBy("row").agg(F.sum("w").cast("long").alias("removed_words"))
+    removed = hit.where(~F.col("id").eqNullSafe(F.col("carrier"))).groupBy("row").agg(F.sum("w").cast("long").alias("removed_words"), F.collect_set("h").alias("gone"))
     out = found.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     depleted = (F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < MIN_WORDS)
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row")
@@ -116,3 +122,26 @@ def keep_passed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     text64 = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
     same = docs[id_column].eqNullSafe(rejected["rejected_id"]) & (text64 == rejected["rejected_text"]) & docs[host_column].cast("string").eqNullSafe(rejected["rejected_host"])
     return docs.join(rejected, same, "left_anti")
+
+
+def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", length_column: str | None = None) -> DataFrame:
+    """`docs` without the rows that the rules reject and, in the others, without the lines that leave.
+
+    The lines that stay are kept as they are and in their order; texts without such lines, and all
+    other columns, are not touched, but `length_column`, where given, gets the new length of a text
+    that lost lines.  The documents are always joined by shuffle: the rows that change grow with them.
+    """
+    verdicts = judged(docs, id_column, text_column, host_column).where(~F.col("kept") | F.col("gone").isNotNull())
+    changed = verdicts.select(F.col("id").alias("changed_id"), F.col("text64").alias("changed_text"), F.col("host").alias("changed_host"), "kept", F.when(F.col("kept"), F.col("gone")).alias("gone"))
+    # Rows of equal id, text and host have equal verdicts and lines.
+    changed = shared_table(changed.dropDuplicates(["changed_id", "changed_text", "changed_host"]).withColumnsRenamed({"kept": "changed_kept", "gone": "changed_gone"}), "quality-changed")
+    body = F.coalesce(docs[text_column], F.lit(""))
+    same = docs[id_column].eqNullSafe(changed["changed_id"]) & (F.xxhash64(body) == changed["changed_text"]) & docs[host_column].cast("string").eqNullSafe(changed["changed_host"])
+    met = docs.join(changed.hint("merge"), same, "left").where(F.coalesce("changed_kept", F.lit(True)))
+    lines = F.arrays_zip(F.split(text_column, "\n").alias("raw"), _norm_lines(text_column).alias("norm"))
+    stay = F.filter(lines, lambda z: (z["norm"] == "") | ~F.array_contains(F.col("changed_gone"), F.xxhash64(z["norm"])))
+    lost = F.col("changed_gone").isNotNull()
+    met = met.withColumn(text_column, F.when(lost, F.array_join(F.transform(stay, lambda z: z["raw"]), "\n")).otherwise(F.col(text_column)))
+    if length_column is not None:
+        met = met.withColumn(length_column, F.when(lost, F.length(text_column).cast(docs.schema[length_column].dataType)).otherwise(F.col(length_column)))
+    return met.select(*docs.columns)

@@ -15,8 +15,8 @@ from brindle.llm.queries import PIECE_MODEL, TARGETS, domain_of
 
 
 def pass_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.keep_passed(docs)
+    """Documents that the quality rules reject go, and the lines above the limit from the others."""
+    return quality_rules.clean(docs, length_column="n_chars")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

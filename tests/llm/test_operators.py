@@ -119,6 +119,25 @@ def test_common_lines_leave_one_carrier(spark):
     assert all(found[i]["kept"] for i in range(8, 20)) and all(not found[i]["kept"] for i in range(1, 8))
 
 
+def test_common_lines_leave_the_texts(spark):
+    schema = "doc_id long, text string, source string, n_chars long"
+    own = lambda i: " ".join(f"u{i}w{j}" for j in range(30))
+    line, shown = " ".join(f"common{j}" for j in range(25)), lambda i: f"  First {own(i)}\r\n\n\tCommon0   " + " ".join(f"COMMON{j}" for j in range(1, 25)) + f"\r\nlast\t{own(1000 + i)}\n"
+    rows = [(i, line if i < 8 else shown(i), "h", -1) for i in range(1, 20)] + [(None, shown(50), "h", -1), (20, shown(20), "h", -1), (20, shown(20), "h", -1), (1, shown(60), None, -1), (30, None, "h", None)]
+    rows += [(100 + i, own(100 + i), "h", -1) for i in range(3)] + [(0, shown(70) + line, "h", -1)]
+    frame = spark.createDataFrame(rows, schema)
+    found = Counter(tuple(r) for r in quality_rules.clean(frame, length_column="n_chars").collect())
+    without = lambda t: "\n".join(x for x in t.split("\n") if " ".join(x.lower().split()) != line)
+    expected = Counter()
+    for i, t, h, n in rows:
+        if t is None or (t == line):
+            continue
+        left = t if h is None or i == 0 else without(t)
+        expected[(i, left, h, n if left == t else len(left))] += 1
+    assert found == expected and any(len(k[1]) == k[3] for k in found)
+    assert quality_rules.clean(frame).columns == frame.columns and quality_rules.clean(frame.limit(0)).count() == 0
+
+
 def _components(rows, n, percent):
     sets = {}
     for i, t in rows:
