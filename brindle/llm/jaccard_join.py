@@ -20,6 +20,7 @@
 Defined results.  Words are split at white space, A-Z lowered.  A document with fewer words than n
 has its whole sequence as its one element; one without words has an empty set and no links.
 Repeated rows are in one class.  A null id takes part; the component of only null ids is null.
+Where one row of each component is kept, rows are told apart by id and text, not by id alone.
 64-bit hashes stand for n-grams and for classes.  An empty table gives an empty result.
 """
 
@@ -230,11 +231,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("group").applyInPandas(walk, "a bigint, b bigint")
 
 
+def _text64(text_column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+
+
 def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
+    component_id = F.when(F.col("size") > 0, F.col("keep.id")).otherwise(F.col("id"))
+    return _grouped(docs, percent, n, id_column, text_column).select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), component_id.alias("component_id"))
+
+
+def _grouped(docs: DataFrame, percent: int, n: int, id_column: str, text_column: str) -> DataFrame:
+    """One row per row of `docs`: id, text64, size, and `keep`, the first (no_id, id, text64) of the
+    component; null for an empty set.  Any id comes before a null one."""
     if not 75 <= percent <= 100:
         raise ValueError("the join is made for similarities of 75 percent and more")
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), _text64(text_column).alias("text64"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -246,9 +258,9 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
                 bits = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
                 flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
                 return pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(at, pa.int64())), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
+                    batch.column(0).take(pa.array(at, pa.int64())), batch.column(2).take(pa.array(at, pa.int64())), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(bits), pa.array(np.concatenate([*sketches, np.zeros(0, np.int64)]))),
-                ], names=["id", "node", "size", "keys", "sketch"])
+                ], names=["id", "text64", "node", "size", "keys", "sketch"])
 
             for i, found in _sets(batch.column(1), n):
                 node = _key(found)
@@ -265,10 +277,10 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
             yield flush()
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = shared_table(rows.mapInArrow(described, f"id {kind}, node bigint, size bigint, keys array<bigint>, sketch array<bigint>"), "jaccard-sets")
-    lows = found.where("size > 0").groupBy("node").agg(F.min("id").alias("low_id"))
+    found = shared_table(rows.mapInArrow(described, f"id {kind}, text64 bigint, node bigint, size bigint, keys array<bigint>, sketch array<bigint>"), "jaccard-sets")
+    lows = found.where("size > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text64")).alias("low"))
     sketches = found.where(F.size("sketch") > 0).select("node", "size", "sketch").dropDuplicates(["node"])
-    classes = shared_table(sketches.join(lows, "node"), "jaccard-classes")
+    classes = shared_table(sketches.join(lows, "node").withColumn("low_id", F.col("low.id")), "jaccard-classes")
 
     # One shuffle by bucket: the leader of each, and only buckets with more than one class.
     bucket = Window.partitionBy("key")
@@ -276,7 +288,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
     buckets = entries.withColumns({"lead": F.min("node").over(bucket), "last": F.max("node").over(bucket), "members": F.count(F.lit(1)).over(bucket)})
     buckets = shared_table(buckets.where("lead < last").select("key", "node", "lead", "members").distinct(), "jaccard-buckets")
     # The keys of all sets are needed no more; they would lie in the shared folder to the end.
-    described_rows, found = found, shared_table(found.select("id", "node", "size"), "jaccard-rows")
+    described_rows, found = found, shared_table(found.select("id", "text64", "node", "size"), "jaccard-rows")
     drop_table(described_rows)
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -299,20 +311,31 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: st
     rest = shared_table(met.select(F.col("node").alias("a"), "b").distinct().join(starred, ["a", "b"], "left_anti"), "jaccard-rest")
     grouped = components(links.unionByName(similar(rest)))
 
-    named = classes.select("node", "low_id").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    named = shared_table(named.join(lowest, "component").select("node", "component_id"), "jaccard-named")
-    out = found.select("id", "node", "size").join(named, "node", "left")
-    component_id = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), component_id.alias("component_id"))
+    named = classes.select("node", "low").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("keep"))
+    named = shared_table(named.join(lowest, "component").select("node", "keep"), "jaccard-named")
+    return found.join(named, "node", "left").select("id", "text64", "size", F.when(F.col("size") > 0, F.col("keep")).alias("keep"))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`docs` with one document of each component, the one with the smallest id; columns as they are."""
-    groups = jaccard_groups(docs, percent, n, id_column, text_column)
-    dropped = groups.where(~F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("dropped_id")).distinct()
-    dropped = shared_table(dropped, "jaccard-dropped")
-    return docs.join(dropped, docs[id_column].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    """`docs` with one row of each component, the one with the smallest id; columns as they are.
+
+    Rows are told apart by id and text, a null id ranking last; of rows equal in both, the one whose
+    other columns come first stays.  Rows without words are in no component and stay.
+    """
+    same = lambda row: F.col("id").eqNullSafe(F.col(f"{row}.id")) & (F.col("text64") == F.col(f"{row}.text64"))
+    groups = _grouped(docs, percent, n, id_column, text_column).where("size > 0").groupBy("id", "text64", "keep").agg(F.count(F.lit(1)).alias("copies"))
+    changed = groups.withColumn("stays", same("keep")).where(~F.col("stays") | (F.col("copies") > 1))
+    changed = shared_table(changed.select(F.col("id").alias("changed_id"), F.col("text64").alias("changed_text"), "stays"), "jaccard-changed")
+    at = docs[id_column].eqNullSafe(changed["changed_id"]) & (_text64(text_column) == changed["changed_text"])
+    kept = docs.join(changed, at, "left_anti")
+    repeated = changed.where("stays")
+    if repeated.isEmpty():
+        return kept
+    at = docs[id_column].eqNullSafe(repeated["changed_id"]) & (_text64(text_column) == repeated["changed_text"])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    ones = docs.join(repeated, at, "left_semi").groupBy(F.col(id_column).alias("id"), _text64(text_column).alias("text64")).agg(F.min(row).alias("row"))
+    return kept.unionByName(ones.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, n: int) -> DataFrame:

@@ -181,6 +181,20 @@ def test_jaccard_edges(docs, empty):
     assert jaccard_join.jaccard_groups(empty).count() == 0
 
 
+def test_keep_one_of_each_row(spark):
+    schema = "doc_id long, text string, source string"
+    text = lambda x: " ".join(f"{x}{j}" for j in range(200))
+    rows = [
+        (4, text("a"), "s"), (None, text("a") + " tail", "s"), (None, text("b"), "s"), (None, text("c"), "s"), (None, text("c") + " tail", "s"),
+        (7, text("d"), "s"), (7, text("d") + " tail", "s"), (7, text("e"), "s"), (8, text("f"), "t"), (8, text("f"), "s"), (8, text("f"), "s"), (9, text("f") + " tail", "s"),
+        (None, None, "s"), (None, "", "s"), (3, "", "s"), (5, " ", "s"),
+    ]
+    kept = jaccard_join.keep_one_of_each(spark.createDataFrame(rows, schema)).collect()
+    begins = Counter((r["text"] or "").strip()[:2] for r in kept)
+    assert begins == {"a0": 1, "b0": 1, "c0": 1, "d0": 1, "e0": 1, "f0": 1, "": 4}
+    assert {(r["doc_id"], r["source"]) for r in kept if (r["text"] or "").startswith(("a", "f"))} == {(4, "s"), (8, "s")}
+
+
 def test_language_id(docs, empty):
     model = language_id.train(docs)
     found = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
