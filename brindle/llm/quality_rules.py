@@ -96,8 +96,11 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return rows.select("id", "host", "text64", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "lines")
 
 
-def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """A row per row of `docs`: id, host, text64, the base counts, removed_words, kept, and the hashes of the lines that leave."""
+def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", share: float = LINE_SHARE) -> DataFrame:
+    """A row per row of `docs`: id, host, text64, the base counts, removed_words, kept, and the hashes of the lines that leave.
+
+    With a `share` of 0 the limit is a count alone: a line above it stays above it however large the host.
+    """
     found = features(docs, id_column, text_column, host_column).withColumn("row", F.monotonically_increasing_id())
     found = shared_table(found, "quality-features")
     host = F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("null")).alias("host")
@@ -105,7 +108,7 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     once = lines.groupBy("host", F.col("line.h").alias("h"), "text64").agg(F.min("id").alias("carrier"))
     counted = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts"), F.min("carrier").alias("carrier")).where(F.col("texts") > LINE_MIN_TEXTS)
     sizes = found.groupBy(host, "text64").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
-    frequent = shared_table(counted.join(sizes, "host").where(F.col("texts") > LINE_SHARE * F.col("host_texts")).select("host", "h", "carrier"), "quality-lines")
+    frequent = shared_table(counted.join(sizes, "host").where(F.col("texts") > share * F.col("host_texts")).select("host", "h", "carrier"), "quality-lines")
     hit = lines.select("row", "id", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(frequent, ["host", "h"])
     removed = hit.where(~F.col("id").eqNullSafe(F.col("carrier"))).groupBy("row").agg(F.sum("w").cast("long").alias("removed_words"), F.collect_set("h").alias("gone"))
     out = found.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
@@ -124,14 +127,14 @@ def keep_passed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return docs.join(rejected, same, "left_anti")
 
 
-def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", length_column: str | None = None) -> DataFrame:
+def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", length_column: str | None = None, share: float = 0.0) -> DataFrame:
     """`docs` without the rows that the rules reject and, in the others, without the lines that leave.
 
     The lines that stay are kept as they are and in their order; texts without such lines, and all
     other columns, are not touched, but `length_column`, where given, gets the new length of a text
     that lost lines.  The documents are always joined by shuffle: the rows that change grow with them.
     """
-    verdicts = judged(docs, id_column, text_column, host_column).where(~F.col("kept") | F.col("gone").isNotNull())
+    verdicts = judged(docs, id_column, text_column, host_column, share).where(~F.col("kept") | F.col("gone").isNotNull())
     changed = verdicts.select(F.col("id").alias("changed_id"), F.col("text64").alias("changed_text"), F.col("host").alias("changed_host"), "kept", F.when(F.col("kept"), F.col("gone")).alias("gone"))
     # Rows of equal id, text and host have equal verdicts and lines.
     changed = shared_table(changed.dropDuplicates(["changed_id", "changed_text", "changed_host"]).withColumnsRenamed({"kept": "changed_kept", "gone": "changed_gone"}), "quality-changed")

@@ -138,6 +138,14 @@ def test_common_lines_leave_the_texts(spark):
     assert quality_rules.clean(frame).columns == frame.columns and quality_rules.clean(frame.limit(0)).count() == 0
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    own = lambda i: " ".join(f"u{i}w{j}" for j in range(30))
+    line = "the same notice under every text"
+    rows = [(i, f"{own(i)}\n{line}" if i < 8 else own(i), "h") for i in range(200)]
+    found = {r["doc_id"]: r["text"] for r in quality_rules.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found == {i: t if i == 0 else own(i) for i, t, _ in rows}
+
+
 def _components(rows, n, percent):
     sets = {}
     for i, t in rows:
