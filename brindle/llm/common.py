@@ -63,19 +63,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here, and a lost executor
-    costs at most a reread.  The files go when the application ends."""
+    costs at most a reread.  The files go with `drop_table`, or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _located(spark, path)
+    files.deleteOnExit(where)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.shared_path = path
+    return written
 
 
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a `shared_table` that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {n.rsplit("/", 1)[0] for n in df.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _located(df.sparkSession, df.shared_path)
+    files.delete(where, True)
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shared_table
+from brindle.llm.common import drop_table, shared_table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,5 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         new = shared_table(small, "links")
         if new.count() == links.count() and new.exceptAll(links).isEmpty():
             ends = new.select(F.col("b").alias("node"), F.col("a").alias("component"))
+            drop_table(links)
             return ends.unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        drop_table(links)
         links = new

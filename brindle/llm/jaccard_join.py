@@ -1,27 +1,32 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap by a share or more.
 
 1. Documents with equal sets are one class; all further work is on classes.
-2. Candidates.  Sets of similar size that are similar enough differ in at most D elements.  Each
-   set, ordered by hash, is cut at fixed places into D + 1 + s parts, so that two similar sets agree
-   in s + 1 parts at least; classes that agree in a part meet in a bucket.  Empty parts are left
-   out as long as a set has at most s of them; a set with more has a bucket for every choice of
-   s + 1 of them, so no pair is lost.  s grows with the number of empty parts that is to be
-   expected; small sets, where that is too many, meet by their first n - ceil(share * n) + 1
-   elements instead.  A part holds several n-grams: a common passage alone brings nothing together.
-3. In every bucket each member is paired with one leader.  Pairs whose parity sketches differ in
-   more bits than similar sets can differ in elements are dropped; the others are verified: the
-   partners' sets are put into a prefix tree in the global order (by hash), which the other set
-   walks once, sharing the overlap of common beginnings and leaving a subtree when the elements
-   that remain cannot reach the overlap that is needed.
-4. Linked classes become components.  Members of a bucket that are in one component need no further
-   pairs; all others are paired, filtered and verified alike.  So no link between different
-   components is lost, and large groups of near copies are not expanded into pairs.
+2. Filter.  Sets of similar size that are similar enough differ in at most D elements.  Each set,
+   ordered by hash, is cut at fixed places into D + 1 + s parts, so that two similar sets agree in
+   s + 1 parts at least.  Empty parts are left out as long as a set has at most s of them; a set
+   with more has a key for every choice of s + 1 of them, so no pair is lost.  s grows with the
+   number of empty parts that is to be expected; sets for which that is too many use the keys of
+   their first n - ceil(share * n) + 1 elements instead.  Only classes that agree with another one
+   in a key go on.  A task sends each key once however many of its classes have it.
+3. Global order.  The n-grams of the remaining sets are counted; the order is by number of sets,
+   then by hash.  Two similar sets share one of their first n - ceil(share * n) + 1 elements, and in
+   this order those are the rare ones, so a common passage or line brings nothing together.
+   Classes that share such an element, directly or through others, form a group.
+4. Join.  The sets of a group are put into a trie, most frequent n-grams first, so that as much as
+   possible of them lies on common paths; an edge holds 64 n-grams of the order as the bits of a
+   word.  Many sets walk the trie side by side, a level at a time: the overlap with a path is
+   computed once for all sets below it, and a subtree is left as soon as the elements that remain on
+   either side cannot reach the overlap that is needed.  A group beyond a block is dealt as pairs of
+   blocks, so no task holds more than two.  A task gives the number of links of each class and, as
+   links, only those that connect what it had not connected yet; pairs are never rows.
+5. Those links become components.
 
 Defined results.  Words are split at white space, A-Z lowered.  A document with fewer words than n
 has its whole sequence as its one element; one without words has an empty set and no links.
 Repeated rows are in one class.  A null id takes part; the component of only null ids is null.
 Where one row of each component is kept, rows are told apart by id and text, not by id alone.
-64-bit hashes stand for n-grams and for classes.  An empty table gives an empty result.
+Columns of any name may stand beside the id and the text.  64-bit hashes stand for n-grams and for
+classes.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +35,6 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,10 +52,12 @@ BLOCK = 1 << 22
 BAND = 1.4
 #: Ids of documents to look at again are broadcast up to this many, else joined.
 BROADCAST_IDS = 1 << 20
-#: Partners put into one prefix tree, and pairs verified in one group.
-TREE, GROUP = 256, 256
-#: A bucket with more members has its pairs dealt over several tasks.
-WIDE = 64
+#: Keys that a task combines at a time.
+COMBINED = 1 << 21
+#: Classes, and elements of their sets, of one block.
+BLOCK_SETS, BLOCK_ITEMS = 4096, 1 << 22
+#: Elements of small groups that are joined in one call; sets that walk a trie side by side.
+TOGETHER, WALKERS = 1 << 20, 256
 
 
 def _sets(column, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -86,7 +92,6 @@ def _key(found: np.ndarray) -> int:
     return int(np.frombuffer(hashlib.md5(found.tobytes()).digest()[:8], dtype=np.int64)[0])
 
 
-@lru_cache(maxsize=4096)
 def _cutting(band: int, percent: int) -> tuple[int, np.ndarray, np.ndarray] | None:
     """The slack s, the places of the cuts, and a salt per part, for sizes from BAND ** band up to
     BAND ** (band + 1); none for small sets, in which too many parts would be empty."""
@@ -107,23 +112,27 @@ def _cutting(band: int, percent: int) -> tuple[int, np.ndarray, np.ndarray] | No
     return slack, cuts, salts
 
 
-def _bands(size: int, percent: int) -> list[int]:
-    """The bands in which a set meets all sets that can be similar to it: its own, and the one above
-    or below where that begins or ends within reach.  A pair meets in the band of its larger set."""
+def _bands(size: int, percent: int) -> range:
+    """The bands in which a set meets all sets that can be similar to it: its own and those above
+    within reach.  A pair meets in the band of its larger set."""
     own = max(0, math.floor(math.log(size) / math.log(BAND) + 1e-9))
     while BAND ** (own + 1) <= size:
         own += 1
     while own and BAND**own > size:
         own -= 1
-    top = 100 * size // percent
-    return [own] + ([own + 1] if top >= BAND ** (own + 1) else [])
+    top = own
+    while BAND ** (top + 1) <= 100 * size // percent:
+        top += 1
+    return range(own, top + 1)
 
 
-def _keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """The buckets of a set."""
+def _keys(found: np.ndarray, percent: int, made: dict[int, tuple | None]) -> np.ndarray:
+    """The keys of a set; `made` holds the ways of cutting that were needed before."""
     out = []
     for band in _bands(len(found), percent):
-        cutting = _cutting(band, percent)
+        if band not in made:
+            made[band] = _cutting(band, percent)
+        cutting = made[band]
         if cutting is None:
             # Small sets: two that are similar share one of their first elements in the order.
             first = found[: len(found) - -(-percent * len(found) // 100) + 1]
@@ -140,209 +149,184 @@ def _keys(found: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def needed(size_a: Column, size_b: Column, percent: int) -> Column:
-    """The least overlap of two sets that are similar enough."""
-    return F.ceil(F.lit(percent) * (size_a + size_b) / F.lit(100.0 + percent))
-
-
-class PrefixTree:
-    """Sets in the global order; a node has the elements that all sets below share next, the sets
-    that end there, the smallest and largest size below, and children by their first element."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.root = self._node([i for i in range(len(sets))], 0)
-
-    def _node(self, below: list[int], depth: int) -> tuple:
-        first = self.sets[below[0]] if below else np.zeros(0, np.int64)
-        upto = len(first)
-        for i in below[1:]:
-            other = self.sets[i]
-            n = min(upto, len(other))
-            differ = np.flatnonzero(first[depth:n] != other[depth:n])
-            upto = depth + int(differ[0]) if len(differ) else n
-        ends, rest = [], {}
-        for i in below:
-            if len(self.sets[i]) == upto:
-                ends.append(i)
-            else:
-                rest.setdefault(int(self.sets[i][upto]), []).append(i)
-        sizes = [len(self.sets[i]) for i in below] or [0]
-        return first[depth:upto], upto, ends, min(sizes), max(sizes), [self._node(x, upto) for x in rest.values()]
-
-    def similar(self, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
-        """(index, overlap) of the sets similar to `values`."""
-        size, found = len(values), []
-        stack = [(self.root, 0, 0, 0)]
-        while stack:
-            (edge, depth, ends, least, most, children), above, overlap, after = stack.pop()
-            need = -(-percent * (size + least) // (100 + percent))
-            if overlap + min(size - after, most - above) < need:
-                continue
-            if len(edge):
-                at = np.searchsorted(values, edge)
-                met = values[np.minimum(at, size - 1)] == edge
-                overlap += int(met.sum())
-                after = int(at[-1] + met[-1])
-            if ends and overlap >= -(-percent * (size + depth) // (100 + percent)):
-                found += [(i, overlap) for i in ends]
-            stack += [(child, depth, overlap, after) for child in children]
-        return found
-
-
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches differ in no more places than the sets of similar classes can."""
-    a = classes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
-    b = classes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    may = apart <= F.col("size_a") + F.col("size_b") - 2 * needed(F.col("size_a"), F.col("size_b"), percent)
-    return shared_table(pairs.join(a, "a").join(b, "b").where(may).select("a", "b"), "jaccard-pairs")
-
-
-def _sketch(found: np.ndarray) -> np.ndarray:
-    """1024 bits; bit i tells whether an odd number of elements falls on i, so two sets differ in at
-    least as many elements as their sketches in bits."""
-    return np.packbits((np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, walked through prefix trees of the b of each a."""
-    groups = max(1, pairs.count() // GROUP)
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
-    tree = F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / TREE)).cast("int")
-    pairs = pairs.join(many, "a").select("a", "b", tree.alias("tree"))
-    partners = pairs.join(sets.select(F.col("node").alias("b"), "items"), "b").select("a", "tree", "b", "items")
-    walkers = pairs.select("a", "tree").distinct().join(sets.select(F.col("node").alias("a"), "items"), "a").select("a", "tree", F.lit(None).cast("long").alias("b"), "items")
-
-    def walk(batch: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list] = {"a": [], "b": []}
-        for (a, _), rows in batch.groupby(["a", "tree"], sort=False):
-            own = rows["b"].isna()
-            others = rows[~own]
-            names = others["b"].astype("int64").tolist()
-            # As unsigned numbers, so that the order is that of the hashes.
-            trie = PrefixTree([np.asarray(x, dtype=np.int64).view(np.uint64) for x in others["items"]])
-            for i, _ in trie.similar(np.asarray(rows[own]["items"].iloc[0], dtype=np.int64).view(np.uint64), percent):
-                found["a"].append(a)
-                found["b"].append(names[i])
-        return pd.DataFrame(found, dtype="int64")
-
-    both = partners.unionByName(walkers).withColumn("b", F.col("b").cast("string")).withColumn("group", F.pmod(F.xxhash64("a", "tree"), F.lit(groups)))
-    return both.groupBy("group").applyInPandas(walk, "a bigint, b bigint")
+class Trie:
+    """Bit sets (rows of 64-bit words, the n-grams in their order) as a trie with a word on each edge.
+
+    A level's nodes are the runs of rows that are equal up to its word.  A node knows its children,
+    the smallest set below it and the most elements that any set below still has to come.
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, after: np.ndarray):
+        n = words.shape[1]
+        order = np.argsort(np.ascontiguousarray(words.byteswap()).view(f"V{8 * n}").ravel(), kind="stable") if n else np.arange(len(words))
+        self.rows, self.sizes, self.levels = order, sizes[order], []
+        words, after = words[order], after[order]
+        begins = np.zeros(len(words), dtype=bool)
+        begins[:1] = True
+        above = np.flatnonzero(begins)
+        for level in range(n):
+            begins[1:] |= words[1:, level] != words[:-1, level]
+            starts = np.flatnonzero(begins)
+            first = np.searchsorted(starts, above)
+            self.levels.append((
+                first, np.diff(np.append(first, len(starts))), words[starts, level],
+                np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(after[:, level], starts), np.append(starts[1:], len(words)),
+            ))
+            above = starts
+        self.ends = above, np.diff(np.append(above, len(words)))
+
+    def walk(self, words: np.ndarray, sizes: np.ndarray, after: np.ndarray, least: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sets `words` walk side by side: (place in the trie, set, overlap) of what was not left.
+
+        A set meets the places from `least` on only.
+        """
+        node, walker = np.zeros(len(words), dtype=np.int64), np.arange(len(words))
+        overlap = np.zeros(len(words), dtype=np.int64)
+        for level, (first, children, word, smallest, most, ends) in enumerate(self.levels):
+            n = children[node]
+            walker, overlap = np.repeat(walker, n), np.repeat(overlap, n)
+            node = np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(len(walker))
+            overlap += np.bitwise_count(word[node] & words[walker, level])
+            need = -(-percent * (sizes[walker] + smallest[node]) // (100 + percent))
+            stay = np.flatnonzero((overlap + np.minimum(most[node], after[walker, level]) >= need) & (ends[node] > least[walker]))
+            node, walker, overlap = node[stay], walker[stay], overlap[stay]
+        starts, n = self.ends[0][node], self.ends[1][node]
+        walker, overlap = np.repeat(walker, n), np.repeat(overlap, n)
+        place = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(len(walker))
+        stay = np.flatnonzero(place >= least[walker])
+        return place[stay], walker[stay], overlap[stay]
+
+
+def linked(sets: list[np.ndarray], sizes: np.ndarray, percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of some sets, the number of sets that each is similar to, and links that connect all that are
+    connected.  `sizes` are those of the whole sets; `sets` may lack elements that no two have.
+
+    With `left`, a boolean per set, only pairs of a left and another set count.
+    """
+    owner, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    _, item, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), dtype=np.int64)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
+    common = max(2, len(sets) // 32)
+    n_words = -(-int((times >= common).sum()) // 64)
+    on_path = times[item] >= common
+    words = np.zeros((len(sets), n_words), dtype=np.uint64)
+    place = rank[item[on_path]]
+    np.bitwise_or.at(words.reshape(-1), owner[on_path] * n_words + (place >> 6), np.uint64(1) << (63 - (place & 63)).astype(np.uint64))
+    # Rare n-grams lie behind the paths: their overlap is looked up for the few pairs that need it.
+    behind = ~on_path & (times[item] > 1)
+    rest = np.sort(owner[behind] * len(times) + item[behind])
+    rest_of = np.bincount(owner[behind], minlength=len(sets))
+    rest_at = np.cumsum(rest_of) - rest_of
+    after = np.cumsum(np.bitwise_count(words[:, ::-1]).astype(np.int64), axis=1)[:, ::-1]
+    after = np.hstack([after[:, 1:], np.zeros((len(sets), min(n_words, 1)), dtype=np.int64)]) + rest_of[:, None]
+    inside = np.arange(len(sets)) if left is None else np.flatnonzero(left)
+    trie = Trie(words[inside], sizes[inside], after[inside])
+    if left is None:
+        walkers, least = inside[trie.rows], np.arange(1, len(sets) + 1)
+    else:
+        walkers = np.flatnonzero(~left)
+        least = np.zeros(len(walkers), dtype=np.int64)
+    counts, links, label = np.zeros(len(sets), dtype=np.int64), [], np.arange(len(sets))
+    for low in range(0, len(walkers), WALKERS):
+        own = walkers[low : low + WALKERS]
+        at, walker, overlap = trie.walk(words[own], sizes[own], after[own], least[low : low + WALKERS], percent)
+        a, b = own[walker], inside[trie.rows[at]]
+        need = -(-percent * (sizes[a] + sizes[b]) // (100 + percent))
+        short = np.flatnonzero((overlap < need) & (overlap + np.minimum(rest_of[a], rest_of[b]) >= need))
+        for part in np.array_split(short, max(1, len(short) >> 16)):
+            n = rest_of[a[part]]
+            pair = np.repeat(part, n)
+            wanted = rest[np.repeat(rest_at[a[part]] - (np.cumsum(n) - n), n) + np.arange(len(pair))] % len(times) + b[pair] * len(times)
+            hit = rest[np.minimum(np.searchsorted(rest, wanted), max(len(rest) - 1, 0))] == wanted
+            np.add.at(overlap, pair[hit], 1)
+        good = np.flatnonzero(overlap >= need)
+        a, b = a[good], b[good]
+        counts += np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
+        # One link for each two parts that were apart until now.
+        new = np.flatnonzero(label[a] != label[b])
+        a, b = a[new], b[new]
+        while len(a):
+            x, y = int(a[0]), int(b[0])
+            links.append((x, y))
+            label[label == label[y]] = label[x]
+            apart = np.flatnonzero(label[a] != label[b])
+            a, b = a[apart], b[apart]
+    return counts, links
 
 
 def _text64(text_column: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
-    component_id = F.when(F.col("size") > 0, F.col("keep.id")).otherwise(F.col("id"))
-    return _grouped(docs, percent, n, id_column, text_column).select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), component_id.alias("component_id"))
+    """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links),
+    class_id (the smallest id with an equal set), n_links (other sets that its set is linked with)."""
+    size = F.col("size") > 0
+    return _grouped(docs, percent, n, id_column, text_column).select(
+        F.col("id").alias(id_column), F.col("size").alias("n_shingles"), F.when(size, F.col("keep.id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(size, F.col("low.id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
-def _grouped(docs: DataFrame, percent: int, n: int, id_column: str, text_column: str) -> DataFrame:
-    """One row per row of `docs`: id, text64, size, and `keep`, the first (no_id, id, text64) of the
-    component; null for an empty set.  Any id comes before a null one."""
-    if not 75 <= percent <= 100:
-        raise ValueError("the join is made for similarities of 75 percent and more")
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), _text64(text_column).alias("text64"))
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            at, nodes, sizes, keys, sketches, held = [], [], [], [], [], 0
-
-            def flush():
-                cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                bits = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
-                flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-                return pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(at, pa.int64())), batch.column(2).take(pa.array(at, pa.int64())), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(bits), pa.array(np.concatenate([*sketches, np.zeros(0, np.int64)]))),
-                ], names=["id", "text64", "node", "size", "keys", "sketch"])
-
-            for i, found in _sets(batch.column(1), n):
-                node = _key(found)
-                # Of the copies that a task reads one brings the buckets of its class: a map-side combine.
-                new = len(found) > 0 and node not in seen
-                seen.add(node)
-                at.append(i), nodes.append(node), sizes.append(len(found))
-                keys.append(_keys(found, percent) if new else np.zeros(0, np.uint64))
-                sketches.append(_sketch(found) if new else np.zeros(0, np.int64))
-                held += len(keys[-1])
-                if held > 1 << 19:
-                    yield flush()
-                    at, nodes, sizes, keys, sketches, held = [], [], [], [], [], 0
-            yield flush()
-
-    kind = rows.schema["id"].dataType.simpleString()
-    found = shared_table(rows.mapInArrow(described, f"id {kind}, text64 bigint, node bigint, size bigint, keys array<bigint>, sketch array<bigint>"), "jaccard-sets")
-    lows = found.where("size > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text64")).alias("low"))
-    sketches = found.where(F.size("sketch") > 0).select("node", "size", "sketch").dropDuplicates(["node"])
-    classes = shared_table(sketches.join(lows, "node").withColumn("low_id", F.col("low.id")), "jaccard-classes")
-
-    # One shuffle by bucket: the leader of each, and only buckets with more than one class.
-    bucket = Window.partitionBy("key")
-    entries = found.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
-    buckets = entries.withColumns({"lead": F.min("node").over(bucket), "last": F.max("node").over(bucket), "members": F.count(F.lit(1)).over(bucket)})
-    buckets = shared_table(buckets.where("lead < last").select("key", "node", "lead", "members").distinct(), "jaccard-buckets")
-    # The keys of all sets are needed no more; they would lie in the shared folder to the end.
-    described_rows, found = found, shared_table(found.select("id", "text64", "node", "size"), "jaccard-rows")
-    drop_table(described_rows)
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        likely = _likely(pairs, classes, percent)
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return shared_table(_verified(likely, _looked_up(rows, classes, ends, n), percent), "jaccard-links")
-
-    starred = shared_table(buckets.where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
-    links = similar(starred)
-    grouped = shared_table(components(links), "jaccard-components")
-
-    # Buckets that still hold several components: all pairs across components.
-    placed = buckets.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    still = shared_table(placed.join(several, "key").select("key", "node", "component", "members"), "jaccard-open")
-    pieces = F.when(F.col("members") > WIDE, F.lit(8)).otherwise(F.lit(1))
-    left = still.withColumn("piece", F.pmod(F.xxhash64("node"), pieces)).select("key", "piece", "node", "component")
-    right = still.select("key", F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)).alias("piece"), F.col("node").alias("b"), F.col("component").alias("component_b"))
-    met = left.join(right, ["key", "piece"]).where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")))
-    rest = shared_table(met.select(F.col("node").alias("a"), "b").distinct().join(starred, ["a", "b"], "left_anti"), "jaccard-rest")
-    grouped = components(links.unionByName(similar(rest)))
-
-    named = classes.select("node", "low").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("keep"))
-    named = shared_table(named.join(lowest, "component").select("node", "keep"), "jaccard-named")
-    return found.join(named, "node", "left").select("id", "text64", "size", F.when(F.col("size") > 0, F.col("keep")).alias("keep"))
-
+def _described(rows: DataFrame, n: int) -> DataFrame:
+    """From rows (id, text, text64): id, text64, the class (`node`) and the size of the set."""
 
-def keep_one_of_each(docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`docs` with one row of each component, the one with the smallest id; columns as they are.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes = [], []
+            for _, found in _sets(batch.column(1), n):
+                nodes.append(_key(found)), sizes.append(len(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "text64", "node", "size"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text64 bigint, node bigint, size bigint")
+
+
+def _met(rows: DataFrame, percent: int, n: int) -> DataFrame:
+    """The classes (`node`) that have a key which another class has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, tuple | None] = {}
+        keys, nodes, held = [], [], 0
+
+        def combined() -> pa.RecordBatch:
+            """Each key once, with its smallest node; the nodes that met here stand in rows of their own."""
+            key, node = np.concatenate(keys), np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in keys])
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            same = key[1:] == key[:-1]
+            first = np.concatenate([[True], ~same])
+            run_of = np.cumsum(first) - 1
+            last = np.concatenate([np.flatnonzero(first)[1:], [len(key)]]) - 1
+            several = node[first] != node[last]
+            met = np.unique(node[several[run_of]])
+            alone = np.zeros(len(met) + int(first.sum()), dtype=bool)
+            alone[len(met) :] = True
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([met, key[first]])), pa.array(np.concatenate([met, node[first]])), pa.array(~alone)], names=["key", "node", "met"])
 
-    Rows are told apart by id and text, a null id ranking last; of rows equal in both, the one whose
-    other columns come first stays.  Rows without words are in no component and stay.
-    """
-    same = lambda row: F.col("id").eqNullSafe(F.col(f"{row}.id")) & (F.col("text64") == F.col(f"{row}.text64"))
-    groups = _grouped(docs, percent, n, id_column, text_column).where("size > 0").groupBy("id", "text64", "keep").agg(F.count(F.lit(1)).alias("copies"))
-    changed = groups.withColumn("stays", same("keep")).where(~F.col("stays") | (F.col("copies") > 1))
-    changed = shared_table(changed.select(F.col("id").alias("changed_id"), F.col("text64").alias("changed_text"), "stays"), "jaccard-changed")
-    at = docs[id_column].eqNullSafe(changed["changed_id"]) & (_text64(text_column) == changed["changed_text"])
-    kept = docs.join(changed, at, "left_anti")
-    repeated = changed.where("stays")
-    if repeated.isEmpty():
-        return kept
-    at = docs[id_column].eqNullSafe(repeated["changed_id"]) & (_text64(text_column) == repeated["changed_text"])
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    ones = docs.join(repeated, at, "left_semi").groupBy(F.col(id_column).alias("id"), _text64(text_column).alias("text64")).agg(F.min(row).alias("row"))
-    return kept.unionByName(ones.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+        for batch in batches:
+            for _, found in _sets(batch.column(0), n):
+                if len(found):
+                    keys.append(_keys(found, percent, made).view(np.int64)), nodes.append(_key(found))
+                    held += len(keys[-1])
+                    if held > COMBINED:
+                        yield combined()
+                        keys, nodes, held = [], [], 0
+        if held:
+            yield combined()
+
+    entries = rows.select("text").mapInArrow(run, "key bigint, node bigint, met boolean")
+    # A key has a row per block of a task at most, however many classes have it.
+    bucket = Window.partitionBy("key", "met")
+    shared = entries.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
+    return shared.where(F.col("met") | (F.col("low") < F.col("high"))).select("node").distinct()
 
 
 def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The whole sets of the classes of `nodes`, in the global order."""
-    wanted = shared_table(classes.join(nodes, "node").select("node", "low_id"), "jaccard-wanted")
+    """The whole sets (node, items) of the classes of `nodes`."""
+    wanted = classes.join(nodes, "node").select("node", F.col("low.id").alias("low_id"))
     ids = wanted.select(F.col("low_id").alias("wanted_id")).distinct()
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = rows.join(ids, rows["id"].eqNullSafe(ids["wanted_id"]), "left_semi").select("text")
 
@@ -352,7 +336,109 @@ def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, n: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([_key(found)]), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names=["node", "items"])
 
     got = texts.mapInArrow(again, "node bigint, items array<bigint>")
-    return shared_table(got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-items")
+    return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of `sets` (node, items), those with a chance of a link: (node, size, items that others have
+    too, in the global order), and the links (a, b) that make groups of them."""
+    items = sets.select("node", F.size("items").alias("size"), F.explode("items").alias("item"))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = items.join(counts, "item").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
+    # Elements that no other set has come first in the order.
+    first = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1 - (F.col("size") - F.size("items"))
+    ordered = ordered.select("node", "size", F.col("items.item").alias("items"), first.cast("int").alias("first")).where("first > 0")
+    ordered = shared_table(ordered, "jaccard-ordered")
+    tokens = ordered.select("node", F.explode(F.slice("items", F.lit(1), F.col("first"))).alias("item"))
+    leads = tokens.groupBy("item").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("item", "lead")
+    met = tokens.join(leads, "item").where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    return ordered, met
+
+
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """From members (component, node, size, items): rows (a, b, n).  With a null b, n of the links of
+    a; else a link.  Links connect what is connected; each pair of sets is looked at once."""
+    totals = members.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("items")).alias("held"))
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("held") / BLOCK_ITEMS)).cast("int")
+    totals = totals.where("sets > 1").select("component", blocks.alias("blocks"), "held")
+    totals = shared_table(totals, "jaccard-totals")
+    calls = max(1, (totals.agg(F.sum("held")).first()[0] or 0) // TOGETHER)
+    dealt = members.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    # Small groups share calls; a pair of blocks has its own.
+    call = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(calls))).otherwise(F.xxhash64("component", i, j))
+    dealt = dealt.select("component", "node", "size", "items", "block", i.alias("i"), j.alias("j"), call.alias("call"))
+
+    def join(batch: pd.DataFrame) -> pd.DataFrame:
+        a, b, n = [], [], []
+        for (_, i, j), rows in batch.groupby(["component", "i", "j"], sort=False):
+            if len(rows) < 2:
+                continue
+            names = rows["node"].to_numpy()
+            left = None if i == j else (rows["block"] == i).to_numpy()
+            if left is not None and left.all() | ~left.any():
+                continue
+            counts, links = linked([np.asarray(x) for x in rows["items"]], rows["size"].to_numpy(dtype=np.int64), percent, left)
+            hit = np.flatnonzero(counts)
+            a += names[hit].tolist() + [int(names[x]) for x, _ in links]
+            b += [None] * len(hit) + [int(names[y]) for _, y in links]
+            n += counts[hit].tolist() + [0] * len(links)
+        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "n": pd.array(n, "Int64")})
+
+    return dealt.groupBy("call").applyInPandas(join, "a bigint, b bigint, n bigint")
+
+
+def _grouped(docs: DataFrame, percent: int, n: int, id_column: str, text_column: str) -> DataFrame:
+    """One row per row of `docs`: id, text64, size, `low`, the first (no_id, id, text64) of the class,
+    `keep`, that of the component, and n_links; the last three are null for an empty set.  Any id
+    comes before a null one."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"), _text64(text_column).alias("text64"))
+    found = shared_table(_described(rows, n), "jaccard-rows")
+    lows = found.where("size > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text64")).alias("low"))
+    classes = shared_table(lows, "jaccard-classes")
+    met = shared_table(_met(rows, percent, n), "jaccard-met")
+    sets = shared_table(_looked_up(rows, classes, met, n), "jaccard-sets")
+    ordered, candidates = _candidates(sets, percent)
+    groups = shared_table(components(candidates), "jaccard-groups")
+    drop_table(sets)
+    links = shared_table(_links(ordered.join(groups, "node").select("component", "node", "size", "items"), percent), "jaccard-links")
+    grouped = components(links.where("b IS NOT NULL").select("a", "b"))
+    counted = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    named = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Only components of several classes need their smallest id; the others are their own.
+    lowest = named.groupBy("component").agg(F.min("low").alias("keep"), F.count(F.lit(1)).alias("several")).where("several > 1").select("component", "keep")
+    named = named.join(lowest, "component", "left").join(counted, "node", "left").select("node", "low", F.coalesce("keep", "low").alias("keep"), "n_links")
+    named = shared_table(named, "jaccard-named")
+    for spent in (met, ordered, groups, links, classes):
+        drop_table(spent)
+    return found.join(named, "node", "left").select("id", "text64", "size", "low", "keep", "n_links")
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 80, n: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`docs` with one row of each component, the one with the smallest id; columns as they are.
+
+    Rows are told apart by id and text, a null id ranking last; of rows equal in both, the one whose
+    other columns come first in their JSON form stays.  Rows without words are in no component and
+    stay.
+    """
+    same = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("text64") == F.col("keep.text64"))
+    groups = _grouped(docs, percent, n, id_column, text_column).where("size > 0").groupBy("id", "text64", "keep").agg(F.count(F.lit(1)).alias("copies"))
+    changed = groups.withColumn("stays", same).where(~F.col("stays") | (F.col("copies") > 1))
+    changed = shared_table(changed.select(F.col("id").alias("changed_id"), F.col("text64").alias("changed_text"), "stays"), "jaccard-changed")
+    # The row travels whole, so that no column of `docs` can clash with the names used here.
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    held = docs.select(row.alias("row"), F.col(f"`{id_column}`").alias("id"), _text64(text_column).alias("text64"))
+    back = [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)]
+    at = held["id"].eqNullSafe(changed["changed_id"]) & (held["text64"] == changed["changed_text"])
+    kept = held.join(changed, at, "left_anti").select(*back)
+    repeated = changed.where("stays")
+    if repeated.isEmpty():
+        return kept
+    ones = held.join(repeated, at, "left_semi").groupBy("id", "text64").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.unionByName(ones.select(*back))
 
 
 ship_by_value(__name__)
