@@ -55,8 +55,11 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     Rows that tie on the id are told apart by their other columns, so the choice is stable.
     """
     names = docs.columns
-    row = F.struct(F.col(id_column).alias("id"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_column], F.col(text_column).isNotNull().alias("has")).alias("rest"))
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    kept = docs.select(text.alias("body"), F.md5(text.cast("binary")).alias("hash"), row.alias("row")).groupBy("hash", "body").agg(F.max("row").alias("row"))
-    back = {c: F.col(f"row.rest.c{i}") for i, c in enumerate(names)} | {text_column: F.when(F.col("row.rest.has"), F.col("body"))}
+    place = {c: f"c{i}" for i, c in enumerate(names) if c != text_column}
+    others = F.struct(*[F.col(f"`{c}`").alias(name) for c, name in place.items()], F.col(f"`{text_column}`").isNotNull().alias("has"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("body"), others.alias("rest"))
+    # Maps have no order of their own; JSON gives every row one.
+    order = F.struct("id", F.to_json("rest", {"ignoreNullFields": "false"}).alias("shown"))
+    kept = rows.select(F.md5(F.col("body").cast("binary")).alias("hash"), "body", "rest", order.alias("order")).groupBy("hash", "body").agg(F.max_by("rest", "order").alias("rest"))
+    back = {c: F.col(f"rest.{name}") for c, name in place.items()} | {text_column: F.when(F.col("rest.has"), F.col("body"))}
     return kept.select(*[back[c].alias(c) for c in names])

@@ -27,7 +27,7 @@ BUCKETS = 1 << 15
 #: Characters handled at a time.
 BLOCK = 1 << 20
 UNKNOWN = "und"
-#: Languages beyond this many are refused rather than broadcast.
+#: Languages beyond this many are refused, not dropped: the matrix is broadcast.
 MAX_LANGUAGES = 1000
 
 
@@ -61,8 +61,8 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.where(room >= n, (h % np.uint64(BUCKETS)).astype(np.int64) + k * BUCKETS, none), owner
 
 
-def train(docs: DataFrame, language_column: str = "lang", text_column: str = "text") -> LanguageModel:
-    """Learn from every row with a text and a language."""
+def train(docs: DataFrame, language_column: str = "lang", text_column: str = "text", max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Learn from every row with a text and a language.  More than `max_languages` languages are an error."""
     size = BUCKETS * len(LENGTHS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +88,9 @@ def train(docs: DataFrame, language_column: str = "lang", text_column: str = "te
     rows = docs.select(F.col(language_column).alias("language"), F.lower(F.col(text_column)).alias("text")).dropna()
     parts = rows.mapInArrow(count, "language string, bucket array<int>, n array<bigint>")
     sums = parts.select("language", F.explode(F.arrays_zip("bucket", "n")).alias("x")).groupBy("language", F.col("x.bucket").alias("bucket")).agg(F.sum("x.n").alias("n"))
-    found = sums.groupBy("language").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = sums.groupBy("language").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     found.sort(key=lambda r: r["language"])
     counts = np.zeros((len(found), size + 1))
     for i, r in enumerate(found):
@@ -103,23 +103,31 @@ def train(docs: DataFrame, language_column: str = "lang", text_column: str = "te
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, lang_pred, score (the posterior of the predicted language)."""
+    """One row per row of `docs`: id, lang_pred, score.
+
+    The prediction is the language of the largest posterior.  N-grams of a text are far from
+    independent, so the posterior itself is 1 for nearly every text; the score is the posterior with
+    the n-grams' log likelihoods divided by the root of their number, which says more about a short
+    text's doubt.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(tuple(model))  # a plain tuple: workers need not know its class
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, prior, weights = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sums = np.tile(prior, (len(texts), 1)).astype(float)
+            sums, grams = np.zeros((len(texts), len(languages))), np.zeros(len(texts))
             named = np.array(batch.column(2).to_pylist(), dtype=bool) if len(texts) else np.zeros(0, bool)
             if len(languages):
                 for buckets, owner in _pieces(texts):
                     cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+                    grams[owner[cuts]] += np.add.reduceat((buckets < BUCKETS * len(LENGTHS)).astype(float), cuts)
                     for k in range(len(languages)):
                         sums[owner[cuts], k] += np.add.reduceat(weights[k][buckets].astype(float), cuts)
-                best = sums.argmax(axis=1)
-                top = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+                best = (sums + prior).argmax(axis=1)
+                even = sums / np.sqrt(np.maximum(grams, 1.0))[:, None] + prior
+                top = 1.0 / np.exp(np.minimum(even - even[np.arange(len(texts)), best][:, None], 700.0)).sum(axis=1)
             else:
                 best, top, named = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
             said = [languages[b] if y else UNKNOWN for b, y in zip(best, named)]

@@ -1,16 +1,18 @@
 """LM scoring: a hidden Markov language model trained by Baum-Welch, scored by the forward recursion.
 
 Words are known by a 64-bit hash.  Their counts over all training texts are summed by Spark and
-stay distributed.  The HEAD most frequent words are symbols of the hidden Markov model; all other
-words share one symbol, within which a word has its smoothed share of the counts; the end of a text
-is a symbol too.  So the model gives a proper probability to every text over the known words and
-one unseen word, and its parameters, states x (HEAD + 2) numbers, are bounded and broadcast.
+stay distributed.  The HEAD most frequent words are symbols of the hidden Markov model; every other
+word has the symbol of its bucket, BUCKETS by hash, with an emission of its own in each state, and
+within a bucket a word has its smoothed share of the counts; the end of a text is a symbol too.  So
+the model gives a proper probability to every text over the known words and one unseen word of each
+bucket, and its parameters, states x (HEAD + BUCKETS + 1) numbers, are bounded and broadcast.
 
 Texts are encoded once into a table in the shared folder.  A Baum-Welch round is one pass over all
 training rows: each task runs the scaled forward-backward recursion over its rows, many at a time,
 and emits expected counts, which Spark sums across partitions by (state, symbol).  The first
-parameters come from a few rounds over a bounded sample (SAMPLE_ROWS texts); the final ones come
-from rounds over everything.  Scoring is the scaled forward recursion over whole texts, exact up to
+parameters come from a few rounds over a bounded sample, the SAMPLE pieces of at most PIECE words
+of smallest hash among all pieces of all training texts; the final ones come from rounds over
+everything.  Scoring is the scaled forward recursion over whole texts, exact up to
 floating point; the shares of rarer words come from a join with the distributed counts.
 
 Defined results.  A null text is empty and consists of its end.  With nothing to train on, N and V
@@ -30,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import shared_table, ship_by_value
-from brindle.llm.hashing import text_bytes, word_hashes, word_spans
+from brindle.llm.hashing import mix, text_bytes, word_hashes, word_spans
 
-HEAD = 1 << 16
+HEAD, BUCKETS = 1 << 15, 1 << 15
 STATES = 8
 ROUNDS = 2
-SAMPLE_ROWS, SAMPLE_ROUNDS = 600, 12
+SAMPLE, PIECE, SAMPLE_ROUNDS = 600, 4096, 12
 #: Bytes of text, and words, handled at a time; words of one sequence in training.
 BLOCK, WORDS, SEGMENT = 1 << 21, 1 << 19, 1 << 18
 #: Words that a task of a Baum-Welch round has at least, so that the counts it emits stay small beside them.
@@ -46,11 +48,10 @@ PRIOR = 200.0
 
 class Vocabulary(NamedTuple):
     head: np.ndarray  # hashes in order
-    counts: np.ndarray  # training counts of the head, then 0 for other words, then the end's
+    counts: np.ndarray  # training counts of the head, of each bucket of other words, of the end
+    rest: np.ndarray  # words of each bucket of other words, and 1 for the unseen one; 0 for all other symbols
     n_tokens: int
     n_types: int
-    rest_tokens: int
-    rest_types: int
 
 
 class Hmm(NamedTuple):
@@ -83,21 +84,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
-    """The bounded part of the counts: the HEAD most frequent words and the totals."""
+    """The bounded part of the counts: the HEAD most frequent words, the sums of the others by bucket, the totals."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("types")).first()
     top = counts.orderBy(F.desc("n"), "hash").limit(HEAD).toPandas()
     order = np.argsort(top["hash"].to_numpy(dtype=np.int64))
     head, n = top["hash"].to_numpy(dtype=np.int64)[order], top["n"].to_numpy(dtype=np.int64)[order]
-    symbols = np.concatenate([n, [0, n_texts]]).astype(np.int64)
-    return Vocabulary(head, symbols, total["n"] + n_texts, total["types"] + (n_texts > 0), total["n"] - int(n.sum()), total["types"] - len(n))
+    known = counts.sparkSession.createDataFrame(top[["hash"]].astype("int64"), "hash bigint")
+    others = counts.join(F.broadcast(known), "hash", "left_anti").groupBy(F.pmod("hash", F.lit(BUCKETS)).alias("bucket"))
+    others = others.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).toPandas()
+    tokens, types = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    at = others["bucket"].to_numpy(dtype=np.int64)
+    tokens[at], types[at] = others["n"].to_numpy(dtype=np.int64), others["types"].to_numpy(dtype=np.int64)
+    symbols = np.concatenate([n, tokens, [n_texts]]).astype(np.int64)
+    rest = np.concatenate([np.zeros(len(n), np.int64), types + 1, [0]])
+    return Vocabulary(head, symbols, rest, total["n"] + n_texts, total["types"] + (n_texts > 0))
 
 
 def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
     """`rows` (id, training, text) as id, training, symbols, and the other words with their counts."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+    shared = rows.sparkSession.sparkContext.broadcast(vocab.head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value.head
+        head = shared.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
             for low, high in _text_blocks(offsets):
@@ -106,7 +114,7 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
                 hashes = word_hashes(body, starts, stops).view(np.int64)
                 at = np.minimum(np.searchsorted(head, hashes), max(len(head) - 1, 0))
                 known = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
-                symbols = np.where(known, at, len(head)).astype(np.int32)
+                symbols = np.where(known, at, len(head) + (hashes & (BUCKETS - 1))).astype(np.int32)
                 owner = np.repeat(np.arange(high - low), np.diff(first))[~known]
                 other = hashes[~known]
                 order = np.lexsort((other, owner))
@@ -220,11 +228,11 @@ def _first_model(sample: list[np.ndarray], overall: np.ndarray, end: int, states
 
 def _round(encoded: DataFrame, model: Hmm, overall: np.ndarray, n_tokens: int) -> Hmm:
     """One Baum-Welch round over all training rows."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple: workers need not know its class
     k, size = model.emit.shape[1], len(model.emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hmm, sums = shared.value, None
+        hmm, sums = Hmm(*shared.value), None
         for batch in batches:
             for _, _, flat, cuts in _sequences(batch.column(0), size - 1, SEGMENT):
                 got = _expected(hmm, _Lanes(flat, cuts))
@@ -244,10 +252,19 @@ def _round(encoded: DataFrame, model: Hmm, overall: np.ndarray, n_tokens: int) -
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    overall = vocab.counts + 1.0
-    overall[-2] = vocab.rest_tokens + vocab.rest_types + 1.0
+    overall = vocab.counts + np.where(vocab.rest > 0, vocab.rest, 1.0)
     overall /= overall.sum()
-    picked = encoded.where(F.col("training") & (F.size("symbols") <= 4096)).select("symbols").orderBy(F.xxhash64("symbols")).limit(SAMPLE_ROWS).toArrow()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            cuts, values = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+            cuts = np.unique(np.concatenate([cuts, *[np.arange(a, b, PIECE) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > PIECE]]))
+            hashes = mix(np.add.reduceat(mix(values.astype(np.uint64)), cuts[:-1])) if len(values) else np.zeros(0, np.uint64)
+            for i in np.argsort(hashes, kind="stable")[:SAMPLE]:
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[i : i + 1].view(np.int64)), pa.array([values[cuts[i] : cuts[i + 1]]], pa.list_(pa.int32()))], names=["hash", "symbols"])
+
+    picked = encoded.where("training").select("symbols").mapInArrow(pieces, "hash bigint, symbols array<int>").orderBy("hash", "symbols").limit(SAMPLE).toArrow()
     sample = [np.array(x, dtype=np.int64) for x in picked["symbols"].to_pylist()]
     model = _first_model(sample, overall, len(overall) - 1, states)
     for _ in range(rounds):
@@ -266,31 +283,32 @@ def score(docs: DataFrame, training, id_column: str = "doc_id", text_column: str
     encoded = shared_table(encode(rows, vocab).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
     model = train(encoded, vocab)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, np.log10(vocab.counts + 1.0), vocab.counts > 0))
+    shared = spark.sparkContext.broadcast((tuple(model), np.log10(vocab.counts + 1.0), vocab.counts > 0, vocab.rest > 0, np.log10(np.where(vocab.rest > 0, vocab.counts + vocab.rest, 1.0))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hmm, logs, known = shared.value
-        other, end = len(logs) - 2, len(logs) - 1
+        (start, move, emit), logs, known, other, shares = shared.value
+        hmm, end = Hmm(start, move, emit), len(logs) - 1
         for batch in batches:
             for at, to, flat, cuts in _sequences(batch.column(3), end, None):
                 got, _, _ = _forward(hmm, _Lanes(flat, cuts), keep=False)
-                base = np.add.reduceat(np.where(flat == other, 0.0, logs[flat]), cuts[:-1])
-                sure = np.add.reduceat(((flat != other) & known[flat]).astype(np.int64), cuts[:-1])
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, to - at) for i in range(3)], pa.array(np.diff(cuts)), pa.array(sure), pa.array(base), pa.array(got / np.log(10))], names=["id", "training", "row", "n_tokens", "known", "base", "path"])
+                base = np.add.reduceat(np.where(other[flat], 0.0, logs[flat]), cuts[:-1])
+                sure = np.add.reduceat((~other[flat] & known[flat]).astype(np.int64), cuts[:-1])
+                # Of a bucket's probability, other words have their shares, whose counts are joined below.
+                path = got / np.log(10) - np.add.reduceat(shares[flat], cuts[:-1])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, to - at) for i in range(3)], pa.array(np.diff(cuts)), pa.array(sure), pa.array(base), pa.array(path)], names=["id", "training", "row", "n_tokens", "known", "base", "path"])
 
     kind = rows.schema["id"].dataType.simpleString()
     scored = encoded.select("id", "training", "row", "symbols").mapInArrow(run, f"id {kind}, training boolean, row bigint, n_tokens bigint, known bigint, base double, path double")
     others = encoded.select("row", F.explode(F.arrays_zip("other", "n")).alias("x")).select("row", F.col("x.other").alias("hash"), F.col("x.n").alias("times"))
     met = others.join(counts, "hash", "left").groupBy("row").agg(
-        F.sum("times").alias("others"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("other_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("other_base")
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("other_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("other_base")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     space = float(np.log10(vocab.n_tokens + vocab.n_types + 1))
-    rest = float(np.log10(vocab.rest_tokens + vocab.rest_types + 1))
     return scored.join(met, "row", "left").select(
         F.col("id").alias(id_column), "training", F.col("n_tokens"), (F.col("known") + zero("other_known")).cast("long").alias("n_known"), F.lit(vocab.n_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("other_base") - F.col("n_tokens") * F.lit(space)).alias("base_score"),
-        (F.col("path") + zero("other_base") - zero("others") * F.lit(rest)).alias("score"),
+        (F.col("path") + zero("other_base")).alias("score"),
     )
 
 

@@ -28,9 +28,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import WORD_PATTERN, shared_table
+from brindle.llm.common import WORD_PATTERN, drop_table, shared_table
 
 LEVELS = ("domain", "language", "source")
+ADDED = ("mix_domain", "mix_epoch", "mix_tokens", "mix_budget")
 #: Bits of the hash that one level of the search takes.
 BITS, STEP = 60, 12
 
@@ -111,7 +112,7 @@ def leaf_cuts(rows: DataFrame, targets: Targets) -> DataFrame:
     leaves = leaf_budgets(rows, targets)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("int")
     leaves = leaves.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")).withColumn("head", F.lit(0).cast("long"))
-    leaves = shared_table(leaves, "mix-budgets")
+    leaves = leaves_table = shared_table(leaves, "mix-budgets")
     hashed = lambda r: r.withColumn("hash", order_hash(F.col("epochs") + 1, F.col("id"), F.col("tokens"), targets.seed))
     up = Window.partitionBy(*LEVELS).orderBy("part")
     for shift in (BITS - STEP, BITS - 2 * STEP):
@@ -122,14 +123,19 @@ def leaf_cuts(rows: DataFrame, targets: Targets) -> DataFrame:
         found = last.select(*[F.col(k).alias(f"of_{k}") for k in LEVELS], "at")
         leaves = leaves.join(found, _same(leaves, found, list(LEVELS)), "left").drop(*[f"of_{k}" for k in LEVELS])
         head = F.coalesce(F.col("at.part"), F.shiftleft("head", STEP))
-        leaves = shared_table(leaves.select(*LEVELS, "tokens", "budget", "epochs", (F.col("rest") - F.coalesce("at.before", F.lit(0))).alias("rest"), head.alias("head")), "mix-search")
+        spent = leaves_table
+        leaves = leaves_table = shared_table(leaves.select(*LEVELS, "tokens", "budget", "epochs", (F.col("rest") - F.coalesce("at.before", F.lit(0))).alias("rest"), head.alias("head")), "mix-search")
+        drop_table(spent)
     shift = BITS - 2 * STEP
     near = hashed(_with_leaf(rows, leaves, ["epochs", "rest", "head"])).where(F.shiftright("hash", shift) == F.col("head"))
     near = near.groupBy(*LEVELS, F.col("hash").alias("part"), "rest").agg(F.sum("tokens").alias("sum"))
     inside = near.withColumn("upto", F.sum("sum").over(up)).where(F.col("upto") <= F.col("rest")).groupBy(*LEVELS).agg(F.max("part").alias("cut"))
     inside = inside.select(*[F.col(k).alias(f"of_{k}") for k in LEVELS], "cut")
     cuts = leaves.join(inside, _same(leaves, inside, list(LEVELS)), "left").drop(*[f"of_{k}" for k in LEVELS])
-    return shared_table(cuts.select(*LEVELS, "budget", "epochs", F.coalesce("cut", F.shiftleft("head", shift) - 1).alias("cut")), "mix-cuts")
+    cuts = shared_table(cuts.select(*LEVELS, "budget", "epochs", F.coalesce("cut", F.shiftleft("head", shift) - 1).alias("cut")), "mix-cuts")
+    drop_table(rows)
+    drop_table(leaves)
+    return cuts
 
 
 def count_tokens(text: Column) -> Column:
@@ -139,15 +145,16 @@ def count_tokens(text: Column) -> Column:
 
 def mix(docs: DataFrame, domain: Column, targets: Targets, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", source_column: str = "source") -> DataFrame:
     """The chosen rows of `docs`, all columns, once per epoch they are in, with mix_domain, mix_epoch
-    (from 1), mix_tokens and mix_budget, the budget of the leaf.  `domain` gives a row's domain."""
+    (from 1), mix_tokens and mix_budget, the budget of the leaf, which take the place of columns of
+    `docs` with these names.  `domain` gives a row's domain."""
     # The row travels whole, so that no column of `docs` can clash with the names used here.
     named = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).alias("id"), domain.alias("domain"),
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(id_column).alias("id"), domain.alias("domain"),
         F.col(language_column).cast("string").alias("language"), F.col(source_column).cast("string").alias("source"), count_tokens(F.col(text_column)).alias("tokens"),
     )
     cuts = leaf_cuts(named.drop("row"), targets)
     met = _with_leaf(named, cuts, ["budget", "epochs", "cut"])
     extra = (order_hash(F.col("epochs") + 1, F.col("id"), F.col("tokens"), targets.seed) <= F.col("cut")).cast("int")
     met = met.withColumn("times", F.col("epochs") + extra).where(F.col("times") > 0)
-    kept = [F.col("row")[c].alias(c) for c in docs.columns]
+    kept = [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns) if c not in ADDED]
     return met.select(*kept, F.col("domain").alias("mix_domain"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("mix_epoch"), F.col("tokens").alias("mix_tokens"), F.col("budget").alias("mix_budget"))

@@ -124,8 +124,11 @@ def _scaled(model: Machine, dense: np.ndarray) -> np.ndarray:
     return np.clip((dense - model.mean) / model.spread, -4, 4) * 0.25
 
 
-def fit(labelled: DataFrame, text_column: str = "text", size_column: str = "n_chars", label_column: str = "quality", epochs: int = 15, seed: int = 7) -> Machine:
-    """Fit on `labelled`, which has at most MAX_ROWS rows; see `labelled_sample`."""
+def fit(labelled: DataFrame, gain: float = 0.002, epochs: int = 150, seed: int = 7) -> Machine:
+    """Fit on `labelled` (text, size, label), a bounded number of rows; see `labelled_sample`.
+
+    The sample is gone over until that lowers its mean loss by less than `gain`, `epochs` times at most.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +141,7 @@ def fit(labelled: DataFrame, text_column: str = "text", size_column: str = "n_ch
                 ], names=["label", "bucket", "value", "dense"])
                 at += n
 
-    source = labelled.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.col(size_column).cast("double").alias("size"), F.col(label_column).cast("double").alias("label")).where(F.col("label").isNotNull())
-    got = source.mapInArrow(rows, "label double, bucket array<int>, value array<double>, dense array<double>").toArrow().combine_chunks()
+    got = labelled.select("text", "size", "label").mapInArrow(rows, "label double, bucket array<int>, value array<double>, dense array<double>").toArrow().combine_chunks()
     rng = np.random.default_rng(seed)
     weights, factors = np.zeros(BUCKETS + N_DENSE), rng.normal(0, 0.01, (BUCKETS + N_DENSE, FACTORS))
     if len(got) == 0:
@@ -153,13 +155,16 @@ def fit(labelled: DataFrame, text_column: str = "text", size_column: str = "n_ch
     numbers = _scaled(model, dense)
     bias, rate, decay = model.bias, 0.1, 1e-5
     seen_w, seen_f, seen_b = np.full(len(weights), 1e-3), np.full(factors.shape, 1e-3), 1e-3
-    for _ in range(max(epochs, min(150, 60_000 // len(labels)))):  # small samples are gone over more often
+    before = np.inf
+    for _ in range(epochs):
         rng.shuffle(order)
+        loss = 0.0
         for low in range(0, len(order), 64):
             pick = order[low : low + 64]
             bucket, value = np.concatenate([lists[i][0] for i in pick]), np.concatenate([lists[i][1] for i in pick])
             cut = np.concatenate([[0], np.cumsum([len(lists[i][0]) for i in pick])])
             raw, total = _raw_scores(model._replace(bias=bias), bucket, value, cut, numbers[pick])
+            loss += float(np.logaddexp(0, np.where(labels[pick] > 0.5, -raw, raw)).sum())
             slope = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[pick]) / len(pick)
             per = np.repeat(np.arange(len(pick)), np.diff(cut))
             places = np.concatenate([bucket, np.tile(np.arange(BUCKETS, BUCKETS + N_DENSE), len(pick))])
@@ -175,24 +180,31 @@ def fit(labelled: DataFrame, text_column: str = "text", size_column: str = "n_ch
             weights[hit] -= rate * grad_w / np.sqrt(seen_w[hit])
             factors[hit] -= rate * grad_f / np.sqrt(seen_f[hit])
             bias -= rate * slope.sum() / np.sqrt(seen_b)
+        if before - loss / len(order) < gain:
+            break
+        before = loss / len(order)
     return model._replace(bias=float(bias))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rows of `docs` with their label, for at most `max_rows` labels: those whose id has the smallest hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality", text_column: str = "text", size_column: str = "n_chars", max_rows: int = MAX_ROWS) -> DataFrame:
+    """(text, size, label) of at most `max_rows` labelled ids: those with the smallest hash.
 
     The picked labels are bounded by `max_rows`, so they are broadcast and the texts stay in place.
+    Of several labels or rows of one id the first counts, so no more than `max_rows` rows come out.
     """
-    picked = labels.select(F.col(id_column).alias("label_id"), F.col(label_column)).dropna().orderBy(F.xxhash64("label_id"), "label_id", label_column).limit(max_rows)
-    return docs.join(F.broadcast(picked), docs[id_column] == picked["label_id"]).drop("label_id")
+    picked = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label_column}`").cast("double").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
+    picked = picked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"), F.col(f"`{size_column}`").cast("double").alias("size"))
+    met = rows.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct("text", "size", "label")).alias("row"))
+    return met.select("row.text", "row.size", "row.label")
 
 
 def score(docs: DataFrame, model: Machine, id_column: str = "doc_id", text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
     """One row per row of `docs`: id, score (the probability of a good label)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple: workers need not know its class
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
+        machine = Machine(*shared.value)
         for batch in batches:
             at = 0
             for bucket, value, cut, dense in _features(batch.column(1), np.array(batch.column(2).to_pylist(), dtype=float)):

@@ -14,7 +14,8 @@ the map side.  Frequent lines are looked up by broadcast only if the planner fin
 whose size is known because it is written, below its broadcast limit; else by a shuffle join.
 
 Defined results.  A null or empty text has no words and fails.  A null host is a host of its own.
-Repeated rows get equal verdicts.  An empty table gives an empty result.
+Repeated rows get equal verdicts.  Columns of any name may stand beside those used.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import WORD_PATTERN, shared_table
+from brindle.llm.common import WORD_PATTERN, drop_table, shared_table
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -96,10 +97,11 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return rows.select("id", "host", "text64", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "lines")
 
 
-def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", share: float = LINE_SHARE) -> DataFrame:
+def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", share: float = LINE_SHARE, made: list[DataFrame] | None = None) -> DataFrame:
     """A row per row of `docs`: id, host, text64, the base counts, removed_words, kept, and the hashes of the lines that leave.
 
     With a `share` of 0 the limit is a count alone: a line above it stays above it however large the host.
+    `made`, where given, gets the tables in the shared folder that the result reads.
     """
     found = features(docs, id_column, text_column, host_column).withColumn("row", F.monotonically_increasing_id())
     found = shared_table(found, "quality-features")
@@ -109,6 +111,8 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     counted = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts"), F.min("carrier").alias("carrier")).where(F.col("texts") > LINE_MIN_TEXTS)
     sizes = found.groupBy(host, "text64").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
     frequent = shared_table(counted.join(sizes, "host").where(F.col("texts") > share * F.col("host_texts")).select("host", "h", "carrier"), "quality-lines")
+    if made is not None:
+        made += [found, frequent]
     hit = lines.select("row", "id", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(frequent, ["host", "h"])
     removed = hit.where(~F.col("id").eqNullSafe(F.col("carrier"))).groupBy("row").agg(F.sum("w").cast("long").alias("removed_words"), F.collect_set("h").alias("gone"))
     out = found.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
@@ -122,9 +126,11 @@ def keep_passed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.col("id").alias("rejected_id"), F.col("text64").alias("rejected_text"), F.col("host").alias("rejected_host")
     )
     rejected = shared_table(rejected.distinct(), "quality-rejected")
-    text64 = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
-    same = docs[id_column].eqNullSafe(rejected["rejected_id"]) & (text64 == rejected["rejected_text"]) & docs[host_column].cast("string").eqNullSafe(rejected["rejected_host"])
-    return docs.join(rejected, same, "left_anti")
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in place.items()])
+    text64 = F.xxhash64(F.coalesce(rows[place[text_column]], F.lit("")))
+    same = rows[place[id_column]].eqNullSafe(rejected["rejected_id"]) & (text64 == rejected["rejected_text"]) & rows[place[host_column]].cast("string").eqNullSafe(rejected["rejected_host"])
+    return rows.join(rejected, same, "left_anti").select(*[F.col(name).alias(c) for c, name in place.items()])
 
 
 def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", length_column: str | None = None, share: float = 0.0) -> DataFrame:
@@ -134,17 +140,24 @@ def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     other columns, are not touched, but `length_column`, where given, gets the new length of a text
     that lost lines.  The documents are always joined by shuffle: the rows that change grow with them.
     """
-    verdicts = judged(docs, id_column, text_column, host_column, share).where(~F.col("kept") | F.col("gone").isNotNull())
+    made: list[DataFrame] = []
+    verdicts = judged(docs, id_column, text_column, host_column, share, made).where(~F.col("kept") | F.col("gone").isNotNull())
     changed = verdicts.select(F.col("id").alias("changed_id"), F.col("text64").alias("changed_text"), F.col("host").alias("changed_host"), "kept", F.when(F.col("kept"), F.col("gone")).alias("gone"))
     # Rows of equal id, text and host have equal verdicts and lines.
     changed = shared_table(changed.dropDuplicates(["changed_id", "changed_text", "changed_host"]).withColumnsRenamed({"kept": "changed_kept", "gone": "changed_gone"}), "quality-changed")
-    body = F.coalesce(docs[text_column], F.lit(""))
-    same = docs[id_column].eqNullSafe(changed["changed_id"]) & (F.xxhash64(body) == changed["changed_text"]) & docs[host_column].cast("string").eqNullSafe(changed["changed_host"])
-    met = docs.join(changed.hint("merge"), same, "left").where(F.coalesce("changed_kept", F.lit(True)))
-    lines = F.arrays_zip(F.split(text_column, "\n").alias("raw"), _norm_lines(text_column).alias("norm"))
+    for spent in made:
+        drop_table(spent)
+    # Columns are numbered, so that none of `docs` can clash with the names used here.
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in place.items()])
+    text = F.col(place[text_column])
+    same = rows[place[id_column]].eqNullSafe(changed["changed_id"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == changed["changed_text"]) & rows[place[host_column]].cast("string").eqNullSafe(changed["changed_host"])
+    met = rows.join(changed.hint("merge"), same, "left").where(F.coalesce("changed_kept", F.lit(True)))
+    lines = F.arrays_zip(F.split(text, "\n").alias("raw"), _norm_lines(place[text_column]).alias("norm"))
     stay = F.filter(lines, lambda z: (z["norm"] == "") | ~F.array_contains(F.col("changed_gone"), F.xxhash64(z["norm"])))
     lost = F.col("changed_gone").isNotNull()
-    met = met.withColumn(text_column, F.when(lost, F.array_join(F.transform(stay, lambda z: z["raw"]), "\n")).otherwise(F.col(text_column)))
+    met = met.withColumn(place[text_column], F.when(lost, F.array_join(F.transform(stay, lambda z: z["raw"]), "\n")).otherwise(text))
     if length_column is not None:
-        met = met.withColumn(length_column, F.when(lost, F.length(text_column).cast(docs.schema[length_column].dataType)).otherwise(F.col(length_column)))
-    return met.select(*docs.columns)
+        length = place[length_column]
+        met = met.withColumn(length, F.when(lost, F.length(place[text_column]).cast(rows.schema[length].dataType)).otherwise(F.col(length)))
+    return met.select(*[F.col(name).alias(c) for c, name in place.items()])

@@ -148,6 +148,22 @@ ORACLE_SQL: dict[str, str] = {
               FROM b LEFT JOIN v USING (doc_id) LEFT JOIN rm USING (doc_id))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
                NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words < 20) AS kept FROM f""",
+    "op9_sharding": r"""
+        WITH RECURSIVE tab AS MATERIALIZED (SELECT list(list_reduce(range(4), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS tab FROM range(16) r(i)),
+        d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+        h AS (SELECT *, hex(encode(t)) AS x, md5(t) AS m FROM d),
+        c AS (SELECT r, doc_id, length(x) // 2 + 16 AS size, m,
+                     xor(list_reduce(list_transform(range(length(x)), lambda i: ('0x' || substr(x, i + 2 - 2 * (i % 2), 1))::BIGINT), lambda s, b: xor(s // 16, tab[xor(s % 16, b) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+              FROM h, tab),
+        w AS (SELECT r, (CASE WHEN k < 0 THEN k + 18446744073709551616 ELSE k END)::HUGEINT AS k, 0::BIGINT AS b, 0::BIGINT AS j
+              FROM (SELECT r, coalesce(doc_id, ('0x' || substr(m, 1, 15))::BIGINT)::HUGEINT AS k FROM c)
+              UNION ALL
+              SELECT r, k2, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((k2 // 8589934592)::DOUBLE + 1)))::BIGINT
+              FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM w WHERE j < 40)),
+        f AS (SELECT r, b, j FROM w WHERE j >= 40)
+        SELECT doc_id, size, crc AS text_crc32, 'key' AS law, b::INTEGER AS shard,
+               row_number() OVER (PARTITION BY b ORDER BY substr(m, 1, 16), doc_id NULLS FIRST) - 1 AS slot, (CASE WHEN j = 40 THEN 40 ELSE b END)::INTEGER AS grown_shard
+        FROM c JOIN f USING (r)""",
     "op10_mixing": r"""
         WITH d AS (SELECT doc_id, lang, source, (coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS BIGINT), 0) % 3) AS m,
                           len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS t FROM documents),

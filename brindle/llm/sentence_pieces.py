@@ -1,244 +1,451 @@
-"""SentencePiece encoding and decoding by the best-scoring segmentation (max-plus Viterbi).
+"""SentencePiece encoding and decoding by the best-scoring segmentation, a max-plus parallel scan.
 
 The vocabulary is that of a public SentencePiece model file; its merge ranks become integer
-scores, -round(16 * log2(rank + 2)), so sums are exact in any float type and every part of the
-computation agrees on ties (the longest last piece wins).  Blanks are part of pieces, the text gets
-one leading blank, and characters without a piece are written as bytes, so decoding gives back
-every text exactly.
-
-Texts up to GIANT characters are encoded by the library on whole texts.  Giants are split into
-chunks that all tasks share.  A boundary state is how far the last piece runs past a chunk's end:
-
-1. each chunk yields a max-plus transfer matrix from entry states to exit states;
-2. per text, the matrices are combined in order into the best score of each entry state;
-3. each chunk, given its entry scores, finds its best paths to all exit states by itself;
-4. per text, exit states are chosen from the last chunk back, and the pieces put together.
+scores, -round(16 * log2(rank + 2)), so sums are exact and every part of the computation agrees on
+ties (the longest last piece wins).  Blanks are part of pieces, the text gets one leading blank, and
+characters without a piece are written as bytes, so decoding gives back every text exactly.
+
+Every text is cut into chunks of CHUNK characters.  The state at a chunk's border is how far the
+last piece runs past it, so a chunk is a max-plus matrix from entry to exit states:
+
+1. the pieces that match anywhere in a chunk are found by walking a double-array trie, all
+   characters of many chunks at once;
+2. the matrix of each chunk comes from a Viterbi recursion over its characters for all entry states,
+   many chunks side by side; once all open places rank the entry states alike, one number a place
+   says it all;
+3. matrices are combined associatively, in a tree, into the best score of each entry state;
+4. given its entry scores, each chunk finds the entry state of each exit state by itself; these maps
+   are followed from the last chunk back, and each chunk traces its pieces by itself.
+
+Rows hold segments of at most SEGMENT chunks.  The segments of a longer text are dealt to all tasks;
+each yields its matrix, Spark combines the matrices by groups of FAN, level by level, and the entry
+and exit states come back to the segments the same way.
 
 Defined results.  A null or empty text has no tokens and decodes to the empty text.  Repeated rows
-are encoded each.  Ids that no piece has are an error.  An empty table gives an empty result.
+are encoded each.  `token_ids` and `round_trip` take the place of columns with these names; columns
+of any other name stay.  Ids that no piece has are an error.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import shared_table, ship_by_value
 
-#: Scores of so many characters still add up exactly in the library's single precision.
-GIANT = 1 << 16
-CHUNK = 1 << 14
-#: Characters of texts given to the library, and ids decoded, at a time.
-GROUP, DECODED = 1 << 19, 1 << 18
+#: Characters of a chunk, chunks of a segment, matrices that one step of the tree combines.
+CHUNK, SEGMENT, FAN = 512, 64, 16
+#: Chunks side by side, and characters that the recursion for all entry states takes before it looks.
+LANES, WARM = 1024, 48
+#: Ids decoded at a time.
+DECODED = 1 << 18
 #: No path: far below any score, far from overflow.
 NEVER = -(1 << 60)
+_NONE = np.int32(-(1 << 29))
 
 _BLANK_MARK = "▁"
 _NORMAL, _BYTE = 1, 6
 
 
-def piece_model(path: str) -> bytes:
-    """The model at `path` with best-path segmentation, integer scores and plain blanks, serialised."""
+def piece_table(path: str) -> tuple:
+    """The model at `path` as plain arrays: a double-array trie over its characters, and its pieces.
+
+    chars, base, check, piece (the id that ends at a place, or -1), scores by id, the ids of the 256
+    bytes, the bytes of each id, the longest piece, the score of an unknown character.
+    """
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     model = pb.ModelProto()
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
-    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
-    model.normalizer_spec.add_dummy_prefix = False
-    model.normalizer_spec.escape_whitespaces = False
-    model.normalizer_spec.remove_extra_whitespaces = False
-    rank = 0
-    for piece in model.pieces:
-        if piece.type == _NORMAL:
-            piece.score = -round(16 * np.log2(rank + 2))
-            piece.piece = piece.piece.replace(_BLANK_MARK, " ")
+    scores, byte_ids, shown, pieces, rank = np.zeros(len(model.pieces), np.int32), [0] * 256, [], {}, 0
+    for i, p in enumerate(model.pieces):
+        if p.type == _NORMAL:
+            scores[i] = -round(16 * np.log2(rank + 2))
             rank += 1
-    return model.SerializeToString()
+            text = p.piece.replace(_BLANK_MARK, " ")
+            pieces[text] = i
+            shown.append(text.encode())
+        elif p.type == _BYTE:
+            value = int(p.piece[3:5], 16)
+            byte_ids[value] = i
+            shown.append(bytes([value]))
+        else:
+            shown.append(b"")
+    chars = sorted({c for text in pieces for c in text})
+    number = {c: n for n, c in enumerate(chars, start=1)}
+    children: dict[str, list[str]] = {}
+    for prefix in {text[:n] for text in pieces for n in range(1, len(text) + 1)}:
+        children.setdefault(prefix[:-1], []).append(prefix)
+    # First fit: a node's children stand at base + number, at places that are free for all of them.
+    size = 2 * sum(map(len, children.values())) + 4 * len(chars)
+    base, check, piece, used = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32), np.zeros(size, bool)
+    used[0], place = True, {"": 0}
+    free = 1
+    for node in sorted(children, key=lambda x: (len(x), -len(children[x]), x)):
+        offsets = np.array([number[c[-1]] for c in children[node]])
+        while used[free]:
+            free += 1
+        for low in range(free, size, 4096):
+            starts = low + np.flatnonzero(~used[low : low + 4096]) - offsets[0]
+            starts = starts[(starts >= 0) & (starts + offsets.max() < size)]
+            fits = np.flatnonzero(~used[starts[:, None] + offsets].any(axis=1)) if len(starts) else starts
+            if len(fits):
+                break
+        at = int(starts[fits[0]])
+        base[place[node]] = at
+        for child, offset in zip(children[node], offsets):
+            used[at + offset], check[at + offset], place[child] = True, place[node], at + int(offset)
+            piece[at + offset] = pieces.get(child, -1)
+    return np.array([ord(c) for c in chars]), base, check, piece, scores, np.array(byte_ids, np.int32), shown, max(map(len, pieces)), int(scores.min()) - 10
 
 
 class _Pieces:
-    """What a Python worker makes of the serialised model, once."""
+    """What a Python worker makes of the table, once."""
 
     made: dict[int, _Pieces] = {}
 
-    def __init__(self, model: bytes):
-        import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2 as pb
-
-        proto = pb.ModelProto()
-        proto.ParseFromString(model)
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
-        self.scores = {p.piece: int(p.score) for p in proto.pieces if p.type == _NORMAL}
-        self.longest = max(map(len, self.scores))
-        self.unknown = min(self.scores.values()) - 10
-        self.byte_ids = [0] * 256
-        self.bytes: list[bytes] = []
-        for i, p in enumerate(proto.pieces):
-            if p.type == _BYTE:
-                value = int(p.piece[3:5], 16)
-                self.byte_ids[value] = i
-                self.bytes.append(bytes([value]))
-            else:
-                self.bytes.append(p.piece.encode() if p.type == _NORMAL else b"")
-
-    def edges(self, text: str, at: int) -> list[tuple[int, int]]:
-        """Length and score of every piece of `text` that starts at `at`, and of an unknown character."""
-        scores, found = self.scores, []
-        for n in range(1, min(self.longest, len(text) - at) + 1):
-            score = scores.get(text[at : at + n])
-            if score is not None:
-                found.append((n, score))
-        if not found or found[0][0] != 1:
-            found.insert(0, (1, self.unknown))
-        return found
+    def __init__(self, table: tuple):
+        chars, self.base, self.check, self.piece, self.scores, self.byte_ids, self.bytes, self.longest, self.unknown = table
+        self.number = np.zeros(0x110001, dtype=np.int16)
+        self.number[chars] = np.arange(1, len(chars) + 1)
+        #: Scores are held times 2 ** shift; the low bits are the length of the last piece, all ones for an entry.
+        self.shift = int(self.longest + 1).bit_length()
+        self.mask = np.int32((1 << self.shift) - 1)
+        self.gains = self.scores << self.shift
 
-    def ids_of(self, piece: str) -> list[int]:
-        found = self.ids.get(piece)
-        return [found] if found is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-
-def _pieces(model: bytes) -> _Pieces:
-    key = hash(model)
+def _pieces(table: tuple) -> _Pieces:
+    key = zlib.crc32(table[2].tobytes()) ^ zlib.crc32(table[4].tobytes())
     if key not in _Pieces.made:
         _Pieces.made.clear()
-        _Pieces.made[key] = _Pieces(model)
+        _Pieces.made[key] = _Pieces(table)
     return _Pieces.made[key]
 
 
-def transfer(pieces: _Pieces, text: str, core: int) -> np.ndarray:
-    """Best scores from each entry state to each exit state of a chunk of `core` characters.
+class _Chunks:
+    """Chunks side by side.  `codes` holds a column of CHUNK + longest - 1 characters for each, `core`
+    how many of them are its own."""
+
+    def __init__(self, pieces: _Pieces, codes: np.ndarray, core: np.ndarray):
+        self.pieces, self.codes, self.core = pieces, codes, core
+        s, lanes = pieces.longest, codes.shape[1]
+        self.steps = int(core.max()) + s if len(core) else s
+        flat = pieces.number[codes].reshape(-1)
+        #: By the length of a piece (the longest first), the place where it ends and the chunk: score and id.
+        self.gain = np.full((s, self.steps, lanes), _NONE, dtype=np.int32)
+        self.ids = np.empty((s, self.steps, lanes), dtype=np.int32)
+        gain, ids = self.gain.reshape(s, -1), self.ids.reshape(s, -1)
+        at = np.flatnonzero((np.arange(int(core.max()) if len(core) else 0)[:, None] < core).reshape(-1))
+        # A character without a piece of its own stands as unknown.
+        gain[s - 1, at + lanes], ids[s - 1, at + lanes] = (pieces.unknown << pieces.shift) + 1, -1
+        state = np.zeros(len(at), dtype=np.int32)
+        for n in range(1, s + 1):
+            after = pieces.base[state] + flat[at + (n - 1) * lanes]
+            ok = np.flatnonzero(pieces.check[after] == state)
+            at, state = at[ok], after[ok]
+            found = pieces.piece[state]
+            hit = np.flatnonzero(found >= 0)
+            end, found = at[hit] + n * lanes, found[hit]
+            gain[s - n, end] = pieces.gains[found] + n
+            ids[s - n, end] = found
+
+    def matrices(self) -> np.ndarray:
+        """(chunk, entry state, exit state) best scores."""
+        s, lanes, shift, mask = self.pieces.longest, self.codes.shape[1], self.pieces.shift, self.pieces.mask
+        # best[p + s] is the score at place p, for places before the chunk too, where no path is.
+        best = np.full((self.steps + s, s, lanes), _NONE, dtype=np.int32)
+        best[s + np.arange(s), np.arange(s)] = 0
+        for t in range(1, min(WARM, self.steps)):
+            found = (best[t : t + s] + self.gain[:, t, None]).max(axis=0) & ~mask
+            np.maximum(best[t + s], np.maximum(found, _NONE), out=best[t + s])
+        if self.steps <= WARM:
+            return self._exits(best)
+        # Do all open places rank the entry states alike?
+        open_places = best[WARM : WARM + s]
+        top = open_places.max(axis=1)
+        there = top > _NONE // 2
+        lost = open_places <= _NONE // 2
+        profile = np.where(lost, _NONE, open_places - top[:, None])
+        first = np.take_along_axis(profile, there.argmax(axis=0)[None, None], axis=0)[0]
+        alike = ((profile == first) | ~there[:, None]).all(axis=(0, 1))
+        line = np.full((self.steps + s, lanes), _NONE, dtype=np.int32)
+        line[WARM : WARM + s] = top
+        for t in range(WARM, self.steps):
+            line[t + s] = np.maximum((line[t : t + s] + self.gain[:, t]).max(axis=0) & ~mask, _NONE)
+        ends = self._exits(line[:, None])[:, 0]
+        found = np.where((first.T[:, :, None] > _NONE // 2) & (ends[:, None] > NEVER // 2), (first.T[:, :, None] >> shift) + ends[:, None], NEVER)
+        # A chunk that ends within the first characters has its exits there.
+        rest = np.flatnonzero(~alike | (self.core + s > WARM - 1) & (self.core < WARM))
+        if len(rest):
+            wide = np.full((self.steps + s, s, len(rest)), _NONE, dtype=np.int32)
+            wide[: WARM + s] = best[: WARM + s, :, rest]
+            gain = self.gain[:, :, rest]
+            for t in range(WARM, self.steps):
+                wide[t + s] = np.maximum((wide[t : t + s] + gain[:, t, None]).max(axis=0) & ~mask, _NONE)
+            found[rest] = self._exits(wide, rest)
+        early = np.flatnonzero(self.core + s <= WARM - 1)
+        if len(early):
+            found[early] = self._exits(best[:, :, early], early)
+        return found
 
-    `text` runs past the chunk by the longest piece less one, where the whole text goes on.
-    """
-    states = pieces.longest
-    best = np.full((core + states, states), NEVER, dtype=np.int64)
-    for s in range(states):
-        best[s, s] = 0
-    for at in range(core):
-        if at >= states and at % 64 == 0:
-            # Once all open places rank the entry states alike, one number a place says it all.
-            open_places = best[at : at + states]
-            top = open_places.max(axis=1)
-            profile = np.maximum(open_places - top[:, None], NEVER)
-            profile[profile < NEVER // 2] = NEVER
-            reached = np.flatnonzero(top > NEVER // 2)
-            if (profile[reached] == profile[reached[0]]).all():
-                line = [int(x) for x in top] + [NEVER] * (core - at)
-                for here in range(at, core):
-                    score = line[here - at]
-                    if score > NEVER // 2:
-                        for n, gain in pieces.edges(text, here):
-                            if score + gain > line[here - at + n]:
-                                line[here - at + n] = score + gain
-                ends = np.array(line[core - at : core - at + states], dtype=np.int64)
-                return np.where((profile[reached[0]][:, None] > NEVER // 2) & (ends > NEVER // 2), profile[reached[0]][:, None] + ends, NEVER)
-        for n, score in pieces.edges(text, at):
-            np.maximum(best[at + n], best[at] + score, out=best[at + n])
-    found = best[core : core + states].T
-    return np.where(found > NEVER // 2, found, NEVER)
-
-
-def best_paths(pieces: _Pieces, text: str, core: int, entry: np.ndarray) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
-    """Given the entry scores: the tokens of the path to exit 0, and for each exit its entry state,
-    how many of those tokens it shares, and its further tokens."""
-    states = pieces.longest
-    score = [NEVER] * (core + states)
-    back = [-1] * (core + states)
-    for s in range(states):
-        score[s] = max(NEVER, int(entry[s]))
-    for at in range(core):
-        here = score[at]
-        if here <= NEVER // 2:
-            continue
-        for n, gain in pieces.edges(text, at):
-            if here + gain > score[at + n]:
-                score[at + n], back[at + n] = here + gain, at
-    trunk: list[int] = []
-    shared: dict[int, int] = {}
-    trunk_entry = 0
-    out = []
-    for exit_state in range(states):
-        at, tail = core + exit_state, []
-        if score[at] <= NEVER // 2 or (back[at] < 0 and at >= states):
-            out.append((-1, 0, []))
-            continue
-        while back[at] >= 0 and at not in shared:
-            tail.append(text[back[at] : at])
-            at = back[at]
-        tokens = [pieces.ids_of(p) for p in reversed(tail)]
-        if not shared:
-            trunk_entry, shared = at, {at: 0}
-            place, count = at, 0
-            for piece, ids in zip(reversed(tail), tokens):
-                place, count = place + len(piece), count + len(ids)
-                shared[place] = count
-            trunk = [i for ids in tokens for i in ids]
-            out.append((trunk_entry, len(trunk), []))
-        elif at in shared:
-            out.append((trunk_entry, shared[at], [i for ids in tokens for i in ids]))
+    def _exits(self, best: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
+        """(chunk, entry state, exit state) of scores by place, entry state and chunk."""
+        s = self.pieces.longest
+        core = self.core if lanes is None else self.core[lanes]
+        at = np.minimum(core[:, None] + s + np.arange(s), len(best) - 1)
+        found = best[at, :, np.arange(len(core))[:, None]].transpose(0, 2, 1).astype(np.int64)
+        return np.where(found > _NONE // 2, found >> self.pieces.shift, NEVER)
+
+    def paths(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Given the scores of the entry states (chunk, state): by place, the length of the last piece
+        of the best path (`mask` for an entry), and (chunk, exit state) its entry state, or -1."""
+        s, lanes, mask = self.pieces.longest, self.codes.shape[1], self.pieces.mask
+        best = np.full((self.steps + s, lanes), _NONE, dtype=np.int32)
+        back = np.zeros((self.steps, lanes), dtype=np.uint8)
+        origin = np.full((self.steps, lanes), -1, dtype=np.int16)
+        relative = np.maximum(entry - entry.max(axis=1, keepdims=True), int(_NONE) >> (self.pieces.shift + 1))
+        given = np.where(entry.T > NEVER // 2, relative.T << self.pieces.shift, _NONE - 1).astype(np.int32) | mask
+        every = np.arange(lanes)
+        for t in range(self.steps):
+            found = (best[t : t + s] + self.gain[:, t]).max(axis=0)
+            if t < s:
+                found = np.maximum(found, given[t])
+            last = found & mask
+            best[t + s] = np.maximum(found & ~mask, _NONE)
+            back[t] = last
+            origin[t] = origin[np.maximum(t - last, 0), every]
+            if t < s:
+                origin[t][last == mask] = t
+            origin[t][found <= _NONE // 2] = -1
+        at = np.minimum(self.core[:, None] + np.arange(s), self.steps - 1)
+        return back, origin[at, every[:, None]]
+
+    def tokens(self, back: np.ndarray, leave: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after the other, and how many each has, for paths that run from
+        the places `enter` to the places `leave` past the ends."""
+        s, lanes = self.pieces.longest, self.codes.shape[1]
+        at, lane = self.core + leave, np.arange(lanes)
+        found, owners, starts, count = [], [], [], np.zeros(lanes, dtype=np.int64)
+        while True:
+            go = np.flatnonzero(at > enter[lane])
+            if not len(go):
+                break
+            at, lane = at[go], lane[go]
+            n = back[at, lane]
+            found.append(self.ids[s - n.astype(np.int64), at, lane])
+            at = at - n
+            count[lane] += 1
+            owners.append(lane), starts.append(at)
+        # The path was followed from its end.
+        sizes, last = [len(x) for x in owners], np.cumsum(count) - 1
+        lane = np.concatenate([*owners, np.zeros(0, np.int64)])
+        order = last[lane] - np.repeat(np.arange(len(sizes)), sizes)
+        ids, owner, start = np.empty(len(lane), np.int32), np.empty(len(lane), np.int64), np.empty(len(lane), np.int64)
+        ids[order], owner[order], start[order] = np.concatenate([*found, np.zeros(0, np.int32)]), lane, np.concatenate([*starts, np.zeros(0, np.int64)])
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            written = [chr(c).encode("utf-8", "surrogatepass") for c in self.codes[start[unknown], owner[unknown]]]
+            n = np.ones(len(ids), dtype=np.int64)
+            n[unknown] = [len(x) for x in written]
+            first = (np.cumsum(n) - n)[unknown]
+            ids, owner = np.repeat(ids, n), np.repeat(owner, n)
+            for at, x in zip(first, written):
+                ids[at : at + len(x)] = self.pieces.byte_ids[list(x)]
+        return ids, np.bincount(owner, minlength=lanes)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus products of matrices, the last two axes of `a` and `b`."""
+    out = np.full(a.shape, NEVER, dtype=np.int64)
+    for k in range(a.shape[-1]):
+        np.maximum(out, np.maximum(a[..., :, k, None] + b[..., k, None, :], NEVER), out=out)
+    return out
+
+
+def scan(entry: np.ndarray, matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of matrices (row, k, state, state), as many as a power of two: the scores of the
+    states before each, from those before the first, and the product of each row; by a tree."""
+    if matrices.shape[1] == 1:
+        return entry[:, None], matrices[:, 0]
+    before, whole = scan(entry, product(matrices[:, 0::2], matrices[:, 1::2]))
+    after = np.maximum((before[..., :, None] + matrices[:, 0::2]).max(axis=2), NEVER)
+    return np.stack([before, after], axis=2).reshape(len(entry), -1, entry.shape[1]), whole
+
+
+def _identity(states: int) -> np.ndarray:
+    return np.where(np.eye(states, dtype=bool), 0, NEVER).astype(np.int64)
+
+
+def _solved(pieces: _Pieces, texts: list[str], core: np.ndarray, entry: np.ndarray | None, leave: np.ndarray | None, want: str) -> Iterator[tuple[int, int, object]]:
+    """Segments `texts`, each with the characters after it that its pieces may run into; `core` are
+    its own.  Yields (from, to, result) by runs of segments: their matrices (segment, state, state),
+    with `entry` scores the entry state of each exit state, or with `leave` too, ids and counts."""
+    s = pieces.longest
+    n_chunks = np.maximum(-(-core // CHUNK), 1)
+    order, low = np.cumsum(np.concatenate([[0], n_chunks])), 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(order, order[low] + LANES, side="right")) - 1)
+        k, lanes = n_chunks[low:high], int(order[high] - order[low])
+        owner = np.repeat(np.arange(high - low), k)
+        place = np.arange(lanes) - np.repeat(order[low:high] - order[low], k)
+        joined = np.frombuffer("".join(texts[low:high]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        length = np.array([len(x) for x in texts[low:high]])
+        begin = (np.cumsum(length) - length)[owner] + place * CHUNK
+        own = np.minimum(core[low:high][owner] - place * CHUNK, CHUNK)
+        reach = np.minimum(length[owner] - place * CHUNK, own + s - 1)
+        rows = np.arange(int(own.max()) + s - 1)[:, None]
+        inside = rows < reach
+        codes = np.where(inside, joined[np.where(inside, begin + rows, 0)] if len(joined) else 0, 0x110000)
+        chunks = _Chunks(pieces, codes, own)
+        given = np.full((high - low, s), NEVER, dtype=np.int64)
+        if entry is None:
+            given[:, 0] = 0
+        else:
+            given[:] = entry[low:high]
+        width = np.array([1 << int(x - 1).bit_length() for x in k])
+        before, whole = given[owner], np.empty((high - low, s, s), dtype=np.int64) if want == "matrix" else None
+        matrices = chunks.matrices() if want == "matrix" or k.max() > 1 else None
+        for w in np.unique(width if want == "matrix" else width[width > 1]).tolist():
+            of, on = np.flatnonzero(width == w), np.flatnonzero(width[owner] == w)
+            padded = np.broadcast_to(_identity(s), (len(of), w, s, s)).copy()
+            row = np.searchsorted(of, owner[on])
+            padded[row, place[on]] = matrices[on]
+            got, product_of = scan(given[of], padded)
+            before[on] = got[row, place[on]]
+            if want == "matrix":
+                whole[of] = product_of
+        if want == "matrix":
+            yield low, high, whole
         else:
-            out.append((at, 0, [i for ids in tokens for i in ids]))
-    return trunk, out
+            back, origin = chunks.paths(before)
+            # From the last chunk back, all segments together.
+            first, most = order[low:high] - order[low], int(k.max())
+            if want == "map":
+                state = np.tile(np.arange(s, dtype=np.int64), (high - low, 1))
+                for at in range(most - 1, -1, -1):
+                    of = np.flatnonzero(k > at)
+                    state[of] = np.where(state[of] >= 0, origin[(first[of] + at)[:, None], np.maximum(state[of], 0)], -1)
+                yield low, high, state
+            else:
+                state, ends = leave[low:high].copy(), np.zeros((2, lanes), dtype=np.int64)
+                for at in range(most - 1, -1, -1):
+                    of = np.flatnonzero(k > at)
+                    chunk = first[of] + at
+                    ends[0, chunk] = state[of]
+                    state[of] = ends[1, chunk] = origin[chunk, state[of]]
+                ids, n = chunks.tokens(back, *ends)
+                yield low, high, (ids, np.bincount(owner, n, high - low).astype(np.int64))
+        low = high
 
 
-def _encode_giants(texts: DataFrame, model, longest: int, chunk: int) -> DataFrame:
-    """`texts` (row, text) as (row, token_ids), by chunks."""
+def _segment_rows(texts: DataFrame, longest: int, size: int) -> DataFrame:
+    """`texts` (row, text) as (row, k, core, text): segments of `size` characters and what follows."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = " " + text
-                for at in range(0, len(text), chunk * 64):
-                    starts = range(at, min(len(text), at + chunk * 64), chunk)
-                    yield pa.RecordBatch.from_pydict({
-                        "row": [row] * len(starts), "k": [s // chunk for s in starts], "core": [min(chunk, len(text) - s) for s in starts], "text": [text[s : s + chunk + longest - 1] for s in starts],
-                    }, schema=pa.schema([("row", pa.int64()), ("k", pa.int32()), ("core", pa.int32()), ("text", pa.string())]))
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(model.value)
-        for batch in batches:
-            for row, k, core, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k], pa.int32()), pa.array([transfer(pieces, text, core).ravel()], pa.list_(pa.int64()))], names=["row", "k", "matrix"])
-
-    def entries(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        best = np.full(longest, NEVER, dtype=np.int64)
-        best[0] = 0
-        found = []
-        for matrix in group["matrix"]:
-            found.append(best)
-            step = best[:, None] + np.asarray(matrix, dtype=np.int64).reshape(longest, longest)
-            best = np.where(step.max(axis=0) > NEVER // 2, step.max(axis=0), NEVER)
-        return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": found})
-
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(model.value)
-        for batch in batches:
-            for row, k, core, text, entry in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                trunk, exits = best_paths(pieces, text, core, np.array(entry))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row]), pa.array([k], pa.int32()), pa.array([trunk], pa.list_(pa.int32())), pa.array([[e[0] for e in exits]], pa.list_(pa.int32())),
-                    pa.array([[e[1] for e in exits]], pa.list_(pa.int32())), pa.array([[e[2] for e in exits]], pa.list_(pa.list_(pa.int32()))),
-                ], names=["row", "k", "trunk", "entry", "shared", "tail"])
-
-    def together(group: pd.DataFrame) -> pd.DataFrame:
-        state, parts = 0, []
-        for r in group.sort_values("k", ascending=False).itertuples():
-            parts.append(np.concatenate([np.asarray(r.trunk[: r.shared[state]], dtype=np.int32), np.asarray(r.tail[state], dtype=np.int32)]))
-            state = r.entry[state]
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "token_ids": [np.concatenate(parts[::-1])]})
-
-    chunks = shared_table(texts.mapInArrow(split, "row bigint, k int, core int, text string").repartition(F.col("row"), F.col("k")), "piece-chunks")
-    scores = chunks.mapInArrow(matrices, "row bigint, k int, matrix array<bigint>").groupBy("row").applyInPandas(entries, "row bigint, k int, entry array<bigint>")
-    found = chunks.join(scores, ["row", "k"]).select("row", "k", "core", "text", "entry").mapInArrow(paths, "row bigint, k int, trunk array<int>, entry array<int>, shared array<int>, tail array<array<int>>")
-    return found.groupBy("row").applyInPandas(together, "row bigint, token_ids array<int>")
+                for k, at in enumerate(range(0, len(text), size)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row]), pa.array([k], pa.int32()), pa.array([min(size, len(text) - at)], pa.int32()), pa.array([text[at : at + size + longest - 1]])], names=["row", "k", "core", "text"]
+                    )
+
+    return texts.mapInArrow(split, "row bigint, k int, core int, text string")
+
+
+def _entries(matrices: DataFrame, states: int) -> DataFrame:
+    """From (row, k, matrix): (row, k, entry), the scores of the states before each k; a tree of groups of FAN."""
+    power = 1 << (FAN - 1).bit_length()
+
+    def padded(group: pd.DataFrame) -> np.ndarray:
+        out = np.broadcast_to(_identity(states), (1, power, states, states)).copy()
+        out[0, group["k"].to_numpy() % FAN] = np.stack(group["matrix"].to_list()).reshape(-1, states, states)
+        return out
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        _, out = scan(np.zeros((1, states), dtype=np.int64), padded(group))
+        return pd.DataFrame({"row": group["row"].iloc[:1], "k": group["k"].iloc[:1] // FAN, "matrix": [out[0].ravel()]})
+
+    def before(group: pd.DataFrame) -> pd.DataFrame:
+        at = group["k"].to_numpy() % FAN
+        out, _ = scan(np.array([group["entry"].iloc[0]]), padded(group))
+        return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": list(out[0, at])})
+
+    block = F.floor(F.col("k") / FAN).cast("int")
+    start = F.array([F.lit(0 if i == 0 else NEVER).cast("long") for i in range(states)])
+    if matrices.agg(F.max("k")).first()[0] < FAN:
+        above = matrices.select("row", F.lit(0).alias("block")).distinct().withColumn("entry", start)
+    else:
+        blocks = shared_table(matrices.groupBy("row", block.alias("block")).applyInPandas(whole, "row bigint, k int, matrix array<bigint>"), "piece-blocks")
+        above = _entries(blocks, states).select("row", F.col("k").alias("block"), "entry")
+    met = matrices.withColumn("block", block).join(above, ["row", "block"])
+    return met.groupBy("row", "block").applyInPandas(before, "row bigint, k int, entry array<bigint>")
+
+
+def _leaves(maps: DataFrame) -> DataFrame:
+    """From (row, k, map), the entry state of each exit state: (row, k, leave), the exit state of each
+    k, from state 0 after the last; the same tree, from the end."""
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        found = None
+        for one in group.sort_values("k")["map"]:
+            found = one if found is None else np.where(one >= 0, found[np.maximum(one, 0)], -1)
+        return pd.DataFrame({"row": group["row"].iloc[:1], "k": group["k"].iloc[:1] // FAN, "map": [found]})
+
+    def back(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("k", ascending=False)
+        state, out = int(group["leave"].iloc[0]), []
+        for one in group["map"]:
+            out.append(state)
+            state = int(one[state])
+        return pd.DataFrame({"row": group["row"], "k": group["k"], "leave": out})
+
+    block = F.floor(F.col("k") / FAN).cast("int")
+    if maps.agg(F.max("k")).first()[0] < FAN:
+        above = maps.select("row", F.lit(0).alias("block")).distinct().withColumn("leave", F.lit(0))
+    else:
+        blocks = shared_table(maps.groupBy("row", block.alias("block")).applyInPandas(whole, "row bigint, k int, map array<int>"), "piece-blocks")
+        above = _leaves(blocks).select("row", F.col("k").alias("block"), "leave")
+    return maps.withColumn("block", block).join(above, ["row", "block"]).groupBy("row", "block").applyInPandas(back, "row bigint, k int, leave int")
+
+
+def _encode_long(texts: DataFrame, table, longest: int, size: int) -> DataFrame:
+    """`texts` (row, text) of several segments each as (row, token_ids)."""
+
+    def each(want: str, names: list[str], types: list[pa.DataType]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = _pieces(table.value)
+            for batch in batches:
+                texts, core = batch.column(3).to_pylist(), np.array(batch.column(2).to_pylist(), dtype=np.int64)
+                entry = np.array(batch.column(4).to_pylist(), dtype=np.int64) if want != "matrix" else None
+                leave = np.array(batch.column(5).to_pylist(), dtype=np.int64) if want == "ids" else None
+                if len(texts) == 0:
+                    continue
+                for low, high, got in _solved(pieces, texts, core, entry, leave, want):
+                    if want == "ids":
+                        cut = np.concatenate([[0], np.cumsum(got[1])])
+                        values = [got[0][a:b] for a, b in zip(cut[:-1], cut[1:])]
+                    else:
+                        values = list(got.reshape(high - low, -1))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(values, types[0])], names=["row", "k", *names])
+
+        return run
+
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    rows = shared_table(_segment_rows(texts, longest, size).repartition(F.col("row"), F.col("k")), "piece-segments")
+    matrices = shared_table(rows.mapInArrow(each("matrix", ["matrix"], [longs]), "row bigint, k int, matrix array<bigint>"), "piece-matrices")
+    entered = shared_table(rows.join(_entries(matrices, longest), ["row", "k"]).select("row", "k", "core", "text", "entry"), "piece-entries")
+    maps = shared_table(entered.mapInArrow(each("map", ["map"], [ints]), "row bigint, k int, map array<int>"), "piece-maps")
+    left = entered.join(_leaves(maps), ["row", "k"]).select("row", "k", "core", "text", "entry", "leave")
+    found = left.mapInArrow(each("ids", ["ids"], [ints]), "row bigint, k int, ids array<int>")
+    return found.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("token_ids"))
 
 
 def _decoded(table: list[bytes], flat: np.ndarray, cut: np.ndarray) -> Iterator[str]:
@@ -252,46 +459,50 @@ def _decoded(table: list[bytes], flat: np.ndarray, cut: np.ndarray) -> Iterator[
         at = to
 
 
-def encode(docs: DataFrame, model_path: str, text_column: str = "text", giant: int = GIANT, chunk: int = CHUNK, check: bool = False) -> DataFrame:
+def _numbered(docs: DataFrame, kept: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+
+
+def encode(docs: DataFrame, model_path: str, text_column: str = "text", segment: int = SEGMENT, check: bool = False) -> DataFrame:
     """`docs` with the text column replaced by `token_ids`; other columns stay.
 
     With `check`, `round_trip` tells whether decoding the ids gives the text back.
     """
     spark: SparkSession = docs.sparkSession
-    proto = piece_model(model_path)
-    longest = _Pieces(proto).longest
-    model = spark.sparkContext.broadcast(proto)
-    kept = [c for c in docs.columns if c != text_column]
-    names = [f"c{i}" for i in range(len(kept))]
+    made = piece_table(model_path)
+    longest, size = made[7], segment * CHUNK
+    table = spark.sparkContext.broadcast(made)
     extra = ["round_trip"] if check else []
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+    kept = [c for c in docs.columns if c not in (text_column, "token_ids", *extra)]
+    names = [f"c{i}" for i in range(len(kept))]
+    rows = docs.select(*_numbered(docs, kept), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        pieces = _pieces(model.value)
+        pieces = _pieces(table.value)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            ends = np.cumsum(np.concatenate([[0], pc.utf8_length(column).to_numpy(zero_copy_only=False)]))
+            chars = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(-(-(chars + 1) // CHUNK))])
             at = 0
             while at < len(column):
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP, side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + LANES, side="right")) - 1)
                 texts = column.slice(at, to - at).to_pylist()
-                ids = pieces.processor.encode([" " + t if t else "" for t in texts], num_threads=1)
-                flat = np.fromiter((i for x in ids for i in x), dtype=np.int32)
-                cut = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                del ids
-                found = [pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))]
-                if check:
-                    found.append(pa.array([a == b for a, b in zip(texts, _decoded(pieces.bytes, flat, cut))], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, to - at) for i in range(batch.num_columns - 1)], *found], names=[*names, "token_ids", *extra])
+                core = np.where(chars[at:to] > 0, chars[at:to] + 1, 0)
+                for low, high, (flat, n) in _solved(pieces, [" " + t if t else "" for t in texts], core, None, np.zeros(to - at, dtype=np.int64), "ids"):
+                    cut = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    found = [pa.ListArray.from_arrays(pa.array(cut), pa.array(flat.astype(np.int32)))]
+                    if check:
+                        found.append(pa.array([a == b for a, b in zip(texts[low:high], _decoded(pieces.bytes, flat, cut))], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at + low, high - low) for i in range(batch.num_columns - 1)], *found], names=[*names, "token_ids", *extra])
                 at = to
 
     types = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + ["token_ids array<int>"] + ["round_trip boolean"] * check
-    out = rows.where(F.length("text") <= giant).mapInArrow(run, ", ".join(types))
-    giants = shared_table(rows.where(F.length("text") > giant).withColumn("row", F.monotonically_increasing_id()), "piece-giants")
-    if not giants.isEmpty():
-        ids = giants.join(_encode_giants(giants.select("row", "text"), model, longest, max(chunk, longest)), "row").drop("row")
+    out = rows.where(F.length("text") < size).mapInArrow(run, ", ".join(types))
+    longer = shared_table(rows.where(F.length("text") >= size).withColumn("row", F.monotonically_increasing_id()), "piece-longer")
+    if not longer.isEmpty():
+        ids = longer.join(_encode_long(longer.select("row", "text"), table, longest, size), "row").drop("row")
         if check:
             ids = decode(ids, model_path, "decoded_text").withColumn("round_trip", F.col("text") == F.col("decoded_text")).drop("decoded_text")
         out = out.unionByName(ids.drop("text"))
@@ -300,14 +511,14 @@ def encode(docs: DataFrame, model_path: str, text_column: str = "text", giant: i
 
 def decode(encoded: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
     """`encoded` with `token_ids` and the decoded text; other columns stay."""
-    model = encoded.sparkSession.sparkContext.broadcast(piece_model(model_path))
-    kept = encoded.columns
+    shown = encoded.sparkSession.sparkContext.broadcast(piece_table(model_path)[6])
+    kept = [c for c in encoded.columns if c != text_column]
     names = [f"c{i}" for i in range(len(kept))]
     place = kept.index("token_ids")
-    rows = encoded.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
+    rows = encoded.select(*_numbered(encoded, kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _pieces(model.value).bytes
+        table = shown.value
         for batch in batches:
             column = batch.column(place)
             texts = _decoded(table, column.values.to_numpy(), column.offsets.to_numpy().astype(np.int64))

@@ -274,13 +274,189 @@ def test_mixing_keeps_columns_and_budget(spark, docs, empty):
 def test_pieces_round_trip_and_chunks_agree(docs, empty):
     whole = sentence_pieces.encode(docs, PIECE_MODEL, check=True)
     assert whole.where("NOT round_trip").count() == 0 and whole.count() == len(ROWS)
-    chunked = sentence_pieces.encode(docs.where("doc_id > 4"), PIECE_MODEL, giant=10, chunk=300)
-    same = chunked.withColumnRenamed("token_ids", "other").join(whole.select("doc_id", "token_ids"), "doc_id")
+    # Texts of several segments give the ids of texts that are one segment; 90 of them make a tree of two levels.
+    chunked = sentence_pieces.encode(docs.where("doc_id > 4"), PIECE_MODEL, segment=1, check=True)
+    assert chunked.where("NOT round_trip").count() == 0
+    same = chunked.drop("round_trip").withColumnRenamed("token_ids", "other").join(whole.select("doc_id", "token_ids"), "doc_id")
     assert same.where("other <> token_ids").count() == 0 and same.count() == 3
     assert sentence_pieces.decode(whole, PIECE_MODEL).where("doc_id = 7").first()["text"] == ROWS[-1][1]
     assert sentence_pieces.encode(empty, PIECE_MODEL).count() == 0
 
 
+def _best_segmentation(pieces, ids, text):
+    best, back = [0] + [None] * len(text), [0] * (len(text) + 1)
+    for at in range(len(text)):
+        found = [(n, int(pieces.scores[ids[text[at : at + n]]])) for n in range(1, min(pieces.longest, len(text) - at) + 1) if text[at : at + n] in ids]
+        if not found or found[0][0] != 1:
+            found.insert(0, (1, pieces.unknown))
+        for n, gain in found:
+            if best[at + n] is None or best[at] + gain > best[at + n]:
+                best[at + n], back[at + n] = best[at] + gain, n
+    out, at = [], len(text)
+    while at:
+        piece = text[at - back[at] : at]
+        out.append([ids[piece]] if piece in ids else [int(pieces.byte_ids[b]) for b in piece.encode()])
+        at -= back[at]
+    return [i for x in reversed(out) for i in x]
+
+
+def test_pieces_equal_the_best_segmentation(spark, sf_dir):
+    pieces = sentence_pieces._Pieces(sentence_pieces.piece_table(PIECE_MODEL))
+    ids = {b.decode(): i for i, b in enumerate(pieces.bytes) if pieces.scores[i] < 0}
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(25).collect()]
+    texts += [r[1] or "" for r in ROWS if r[0] != 6] + ["a" * 3000, "日" * 1500, " " * 2000, "ab" * 1000 + "日本語" * 400, "é\U0001f600" * 300]
+    want = {i: _best_segmentation(pieces, ids, " " + t if t else "") for i, t in enumerate(texts)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
+    for segment in (64, 2):
+        assert {r["id"]: r["token_ids"] for r in sentence_pieces.encode(frame, PIECE_MODEL, segment=segment).collect()} == want
+
+
+def test_max_plus_scan_equals_products_in_order():
+    rng = np.random.default_rng(3)
+    matrices, entry = rng.integers(-50, 0, (2, 8, 3, 3)), rng.integers(-50, 0, (2, 3))
+    before, whole = sentence_pieces.scan(entry, matrices)
+    for r in range(2):
+        state = entry[r]
+        for k in range(8):
+            assert (before[r, k] == state).all()
+            state = (state[:, None] + matrices[r, k]).max(axis=0)
+        assert (state == (entry[r][:, None] + whole[r]).max(axis=0)).all()
+
+
+def test_columns_of_any_name(spark, docs):
+    """Columns named as those that the operators use inside stay as they are, or are replaced where documented."""
+    names = ["quality", "label", "id", "row", "text64", "changed_id", "hash", "body", "mix_epoch", "mix_domain", "mix_tokens", "mix_budget", "tokens", "token_ids", "round_trip", "n_tokens", "k", "node", "keep", "size", "a.b", "shard", "host"]
+    more = docs.withColumns({n: F.lit(f"of {n}") for n in names}).withColumn("map", F.create_map(F.lit("x"), F.lit(1)))
+    kept = exact_dedup.keep_one(more)
+    assert kept.columns == more.columns and {r["a.b"] for r in kept.collect()} == {"of a.b"} and kept.first()["map"] == {"x": 1}
+    assert jaccard_join.keep_one_of_each(more).columns == more.columns
+    assert jaccard_join.jaccard_groups(more).count() == len(ROWS) and sharding.shard_rows(more, 4).count() == len(ROWS)
+    cleaned = quality_rules.clean(more, length_column="n_chars")
+    assert cleaned.columns == more.columns and quality_rules.keep_passed(more).count() == cleaned.count()
+    mixed = mixing.mix(more, F.lit("d"), mixing.Targets({"d": 1.0}, {}, {}))
+    assert sorted(mixed.columns) == sorted(more.columns) and {r["tokens"] for r in mixed.collect()} <= {"of tokens"}
+    coded = sentence_pieces.encode(more, PIECE_MODEL, check=True)
+    assert sorted(coded.columns) == sorted(set(more.columns) - {"text"}) and coded.where("NOT round_trip").count() == 0
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")
+    model = quality_model.fit(quality_model.labelled_sample(more, labels))
+    assert quality_model.score(more, model).count() == language_id.identify(more, language_id.train(more)).count() == len(ROWS)
+    assert lm_scoring.score(more, F.col("doc_id") > 1).count() == len(ROWS)
+
+
+def test_labelled_sample_is_bounded(spark, docs):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 1), (5, None), (None, 1)], "doc_id long, quality int")
+    repeated = docs.unionByName(docs).unionByName(docs)
+    assert quality_model.labelled_sample(repeated, labels, max_rows=5).count() == 2
+    assert quality_model.labelled_sample(repeated, labels, max_rows=1).count() == 1
+
+
+def test_held_out_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").dropDuplicates(["doc_id"]).dropna()
+    rows = QUERIES["op2_quality_model"](spark, sf_dir).where("held_out").join(labels, "doc_id").collect()
+    good, bad = [r["score"] for r in rows if r["quality"] == 1], [r["score"] for r in rows if r["quality"] == 0]
+    assert good and bad and np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
+
+
+def test_expected_counts_equal_the_sum_over_paths():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    hmm = lm_scoring.Hmm(norm(rng.random(2)), norm(rng.random((2, 2))), norm(rng.random((2, 4))).T)
+    seqs = [[0, 1, 3], [2, 3], [1, 1, 0, 3]]
+    first, moves, symbols = lm_scoring._expected(hmm, lm_scoring._Lanes(np.concatenate(seqs), np.array([0, 3, 5, 9])))
+    want = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
+    for seq in seqs:
+        paths = {}
+        for path in itertools.product(range(2), repeat=len(seq)):
+            p = hmm.start[path[0]] * hmm.emit[seq[0], path[0]]
+            for a, b, s in zip(path, path[1:], seq[1:]):
+                p *= hmm.move[a, b] * hmm.emit[s, b]
+            paths[path] = p
+        for path, p in paths.items():
+            share = p / sum(paths.values())
+            want[0][path[0]] += share
+            for a, b in zip(path, path[1:]):
+                want[1][a, b] += share
+            for a, s in zip(path, seq):
+                want[2][s, a] += share
+    for x, y in zip((first, moves, symbols), want):
+        assert x == pytest.approx(y)
+
+
+def test_chat_fold_against_replay(spark):
+    """Random logs of messages, deltas, edits and regenerations, against a replay in order."""
+    rng = np.random.default_rng(9)
+    log = []
+    for conv in range(12):
+        for seq in range(int(rng.integers(1, 25))):
+            kind = ["message", "delta", "delta", "edit", "regenerate"][int(rng.integers(5))]
+            log.append((conv, seq, int(rng.integers(4)), kind, ["user", "assistant"][int(rng.integers(2))], f"<{seq}>" if rng.random() < 0.9 else None))
+    want: dict = {}
+    for conv, _, message, kind, role, text in log:
+        chat = want.setdefault(conv, {})
+        own = chat.setdefault(message, [role, ""])
+        own[1] = own[1] + (text or "") if kind == "delta" else "" if kind == "regenerate" else (text or "")
+    events = spark.createDataFrame(log, "conv_id long, seq long, message_id long, kind string, role string, text string").repartition(5)
+    found = {r["conv_id"]: [[t["role"], t["text"]] for t in r["turns"]] for r in chat_format.read_back(chat_format.format_chats(events)).collect()}
+    assert found == {c: list(chat.values()) for c, chat in want.items()}
+
+
+def test_links_are_counted(spark):
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(40):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(60))] = f"x{rng.integers(50)}"
+        rows.append((i, " ".join(words)))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(frozenset(tuple(w[k : k + 2]) for k in range(59)), []).append(i)
+    links = {s: sum(s is not o and 100 * len(s & o) >= 85 * len(s | o) for o in sets) for s in sets}
+    want = {i: (min(ids), links[s]) for s, ids in sets.items() for i in ids}
+    found = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, n=2).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == want and max(x for _, x in want.values()) > 3
+
+
+@pytest.mark.parametrize("percent", [50, 90])
+def test_groups_beyond_a_block(spark, percent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jaccard_join, "WALKERS", 3)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(45):
+        words = [f"v{j}" for j in range(30)]
+        for _ in range(int(rng.integers(0, 9))):
+            words[int(rng.integers(30))] = f"y{rng.integers(40)}"
+        rows.append((i, " ".join(words)))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent, 1).collect()}
+    assert found == _components(rows, 1, percent)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """The Python queries run where only the driver can import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from brindle.llm.queries import QUERIES
+for name in ("op2_quality_model", "op3_lm_scoring", "op4_jaccard_join", "op5_language_id", "op8_sentence_pieces"):
+    QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
