@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import exact_dedup, jaccard_join, mixing, quality_rules, sentence_pieces
-from brindle.llm.common import shared_table
+from brindle.llm.common import drop_table, shared_table
 from brindle.llm.queries import PIECE_MODEL, TARGETS, domain_of
 
 
@@ -52,10 +52,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each on what the one before kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = shared_table(docs, "pipeline-" + name.replace(" ", "-"))
-    return docs
+    """All stages over `documents`, each on what the one before kept; a stage's table goes once the next is written."""
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if spent is not None:
+            drop_table(spent)
+        spent = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
