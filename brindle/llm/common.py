@@ -6,6 +6,7 @@ touches A-Z only, so it never changes a text's length or its non-ASCII character
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -80,6 +81,16 @@ def drop_table(df: DataFrame) -> None:
     files.delete(where, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles that no plan reads any more.
+
+    It does so when the driver's memory is collected, which may be long after a large shuffle's
+    result has been written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _located(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

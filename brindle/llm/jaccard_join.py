@@ -6,8 +6,9 @@
    s + 1 parts at least.  Empty parts are left out as long as a set has at most s of them; a set
    with more has a key for every choice of s + 1 of them, so no pair is lost.  s grows with the
    number of empty parts that is to be expected; sets for which that is too many use the keys of
-   their first n - ceil(share * n) + 1 elements instead.  Only classes that agree with another one
-   in a key go on.  A task sends each key once however many of its classes have it.
+   their first n - ceil(share * n) + 1 elements instead.  Only classes of which others have enough
+   keys, s + 1 less the empty parts, go on.  A task sends each key once however many of its classes
+   have it.
 3. Global order.  The n-grams of the remaining sets are counted; the order is by number of sets,
    then by hash.  Two similar sets share one of their first n - ceil(share * n) + 1 elements, and in
    this order those are the rare ones, so a common passage or line brings nothing together.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import drop_table, shared_table, ship_by_value
+from brindle.llm.common import drop_shuffles, drop_table, shared_table, ship_by_value
 from brindle.llm.components import components
 from brindle.llm.hashing import mix, text_bytes, word_hashes, word_spans
 
@@ -52,8 +53,8 @@ BLOCK = 1 << 22
 BAND = 1.4
 #: Ids of documents to look at again are broadcast up to this many, else joined.
 BROADCAST_IDS = 1 << 20
-#: Keys that a task combines at a time.
-COMBINED = 1 << 21
+#: Keys that a task combines at a time; bits of a count of keys.
+COMBINED, COUNT_BITS = 1 << 21, 24
 #: Classes, and elements of their sets, of one block.
 BLOCK_SETS, BLOCK_ITEMS = 4096, 1 << 22
 #: Elements of small groups that are joined in one call; sets that walk a trie side by side.
@@ -126,9 +127,9 @@ def _bands(size: int, percent: int) -> range:
     return range(own, top + 1)
 
 
-def _keys(found: np.ndarray, percent: int, made: dict[int, tuple | None]) -> np.ndarray:
-    """The keys of a set; `made` holds the ways of cutting that were needed before."""
-    out = []
+def _keys(found: np.ndarray, percent: int, made: dict[int, tuple | None]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """By band: how many of its keys a set shares at least with any similar set, and the keys; `made`
+    holds the ways of cutting that were needed before."""
     for band in _bands(len(found), percent):
         if band not in made:
             made[band] = _cutting(band, percent)
@@ -136,17 +137,16 @@ def _keys(found: np.ndarray, percent: int, made: dict[int, tuple | None]) -> np.
         if cutting is None:
             # Small sets: two that are similar share one of their first elements in the order.
             first = found[: len(found) - -(-percent * len(found) // 100) + 1]
-            out.append(mix(first ^ mix(np.array([band + 1], dtype=np.uint64))))
+            yield band, 1, mix(first ^ mix(np.array([band + 1], dtype=np.uint64)))
             continue
         slack, cuts, salts = cutting
         edges = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
         full = np.flatnonzero(np.diff(edges))
-        sums = np.add.reduceat(mix(found), edges[full])
-        out.append(mix(sums + salts[full]))
+        keys = mix(np.add.reduceat(mix(found), edges[full]) + salts[full])
         empty = np.flatnonzero(np.diff(edges) == 0)
         if len(empty) > slack:
-            out.append(np.array([int(np.bitwise_xor.reduce(mix(salts[list(c)]))) for c in itertools.combinations(empty.tolist(), slack + 1)], dtype=np.uint64))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys = np.concatenate([keys, np.array([int(np.bitwise_xor.reduce(mix(salts[list(c)]))) for c in itertools.combinations(empty.tolist(), slack + 1)], dtype=np.uint64)])
+        yield band, max(1, slack + 1 - len(empty)), keys
 
 
 class Trie:
@@ -283,47 +283,58 @@ def _described(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _met(rows: DataFrame, percent: int, n: int) -> DataFrame:
-    """The classes (`node`) that have a key which another class has too."""
+    """The classes (`node`) that share as many keys with others as they share with any similar one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, tuple | None] = {}
-        keys, nodes, held = [], [], 0
+        keys, nodes, infos, seen, held = [], [], [], set(), 0
 
         def combined() -> pa.RecordBatch:
-            """Each key once, with its smallest node; the nodes that met here stand in rows of their own."""
-            key, node = np.concatenate(keys), np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in keys])
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            same = key[1:] == key[:-1]
-            first = np.concatenate([[True], ~same])
-            run_of = np.cumsum(first) - 1
-            last = np.concatenate([np.flatnonzero(first)[1:], [len(key)]]) - 1
-            several = node[first] != node[last]
-            met = np.unique(node[several[run_of]])
-            alone = np.zeros(len(met) + int(first.sum()), dtype=bool)
-            alone[len(met) :] = True
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([met, key[first]])), pa.array(np.concatenate([met, node[first]])), pa.array(~alone)], names=["key", "node", "met"])
+            """Each key once, with its smallest node; then the number of keys that nodes share here.
+
+            `info` holds band, wanted keys and, in its low bits, 0 for a key that was counted here, 1
+            for one that may be met elsewhere, or the keys counted plus 1.
+            """
+            key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            node, info = np.array(nodes, dtype=np.int64), np.array(infos, dtype=np.int64)
+            order = np.lexsort((node[owner], key))
+            key, owner = key[order], owner[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            last = np.append(np.flatnonzero(first)[1:], len(key)) - 1
+            several = node[owner[first]] != node[owner[last]]
+            hits = np.bincount(owner[several[np.cumsum(first) - 1]], minlength=len(keys))
+            counted, alone = np.flatnonzero(hits), owner[first]
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([node[counted], key[first]])), pa.array(np.concatenate([node[counted], node[alone]])), pa.array(np.concatenate([info[counted] + hits[counted] + 1, info[alone] + ~several])),
+            ], names=["key", "node", "info"])
 
         for batch in batches:
             for _, found in _sets(batch.column(0), n):
-                if len(found):
-                    keys.append(_keys(found, percent, made).view(np.int64)), nodes.append(_key(found))
-                    held += len(keys[-1])
-                    if held > COMBINED:
-                        yield combined()
-                        keys, nodes, held = [], [], 0
+                name = _key(found) if len(found) else None
+                if name is None or name in seen:
+                    continue
+                seen.add(name)
+                for band, wanted, own in _keys(found, percent, made):
+                    keys.append(own.view(np.int64)), nodes.append(name), infos.append((band << COUNT_BITS | wanted) << COUNT_BITS)
+                    held += len(own)
+                if held > COMBINED:
+                    yield combined()
+                    keys, nodes, infos, seen, held = [], [], [], set(), 0
         if held:
             yield combined()
 
-    entries = rows.select("text").mapInArrow(run, "key bigint, node bigint, met boolean")
+    entries = rows.select("text").mapInArrow(run, "key bigint, node bigint, info bigint")
     # A key has a row per block of a task at most, however many classes have it.
-    bucket = Window.partitionBy("key", "met")
-    shared = entries.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
-    return shared.where(F.col("met") | (F.col("low") < F.col("high"))).select("node").distinct()
+    bucket = Window.partitionBy("key")
+    count = F.col("info").bitwiseAND((1 << COUNT_BITS) - 1)
+    hits = F.when(count > 1, count - 1).when((count == 1) & (F.min("node").over(bucket) < F.max("node").over(bucket)), 1).otherwise(0)
+    shared = entries.select("node", F.shiftright("info", COUNT_BITS).alias("band"), hits.alias("hits")).where("hits > 0")
+    wanted = F.col("band").bitwiseAND((1 << COUNT_BITS) - 1)
+    return shared.groupBy("node", "band").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= wanted).select("node").distinct()
 
 
 def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The whole sets (node, items) of the classes of `nodes`."""
+    """The whole sets (node, items) of the classes of `nodes`; one may come twice, with repeated rows."""
     wanted = classes.join(nodes, "node").select("node", F.col("low.id").alias("low_id"))
     ids = wanted.select(F.col("low_id").alias("wanted_id")).distinct()
     if nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
@@ -336,7 +347,7 @@ def _looked_up(rows: DataFrame, classes: DataFrame, nodes: DataFrame, n: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([_key(found)]), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names=["node", "items"])
 
     got = texts.mapInArrow(again, "node bigint, items array<bigint>")
-    return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return got.join(wanted.select("node"), "node", "left_semi")
 
 
 def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -344,7 +355,7 @@ def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     too, in the global order), and the links (a, b) that make groups of them."""
     items = sets.select("node", F.size("items").alias("size"), F.explode("items").alias("item"))
     counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ordered = items.join(counts, "item").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
+    ordered = items.join(counts, "item").groupBy("node", "size").agg(F.sort_array(F.collect_set(F.struct("n", "item"))).alias("items"))
     # Elements that no other set has come first in the order.
     first = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1 - (F.col("size") - F.size("items"))
     ordered = ordered.select("node", "size", F.col("items.item").alias("items"), first.cast("int").alias("first")).where("first > 0")
@@ -400,10 +411,12 @@ def _grouped(docs: DataFrame, percent: int, n: int, id_column: str, text_column:
     lows = found.where("size > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text64")).alias("low"))
     classes = shared_table(lows, "jaccard-classes")
     met = shared_table(_met(rows, percent, n), "jaccard-met")
+    drop_shuffles(docs.sparkSession)
     sets = shared_table(_looked_up(rows, classes, met, n), "jaccard-sets")
     ordered, candidates = _candidates(sets, percent)
-    groups = shared_table(components(candidates), "jaccard-groups")
     drop_table(sets)
+    drop_shuffles(docs.sparkSession)
+    groups = shared_table(components(candidates), "jaccard-groups")
     links = shared_table(_links(ordered.join(groups, "node").select("component", "node", "size", "items"), percent), "jaccard-links")
     grouped = components(links.where("b IS NOT NULL").select("a", "b"))
     counted = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
