@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shared_table, ship_by_value
+from brindle.llm.common import drop_table, shared_table, ship_by_value
 
 #: Characters of a chunk, chunks of a segment, matrices that one step of the tree combines.
 CHUNK, SEGMENT, FAN = 512, 64, 16
@@ -442,6 +442,8 @@ def _encode_long(texts: DataFrame, table, longest: int, size: int) -> DataFrame:
     rows = shared_table(_segment_rows(texts, longest, size).repartition(F.col("row"), F.col("k")), "piece-segments")
     matrices = shared_table(rows.mapInArrow(each("matrix", ["matrix"], [longs]), "row bigint, k int, matrix array<bigint>"), "piece-matrices")
     entered = shared_table(rows.join(_entries(matrices, longest), ["row", "k"]).select("row", "k", "core", "text", "entry"), "piece-entries")
+    drop_table(rows)
+    drop_table(matrices)
     maps = shared_table(entered.mapInArrow(each("map", ["map"], [ints]), "row bigint, k int, map array<int>"), "piece-maps")
     left = entered.join(_leaves(maps), ["row", "k"]).select("row", "k", "core", "text", "entry", "leave")
     found = left.mapInArrow(each("ids", ["ids"], [ints]), "row bigint, k int, ids array<int>")
