@@ -9,15 +9,29 @@ from pyspark.sql import functions as F
 
 # Words removed from a normalised text, in order.
 OWNER_WORDS = ("用户", "我现在", "我最近", "我", "本人", "目前", "现在", "最近")
-# Question words and phrases removed from a query, the longest first.
+# Question words and phrases taken out of what a question is about, the longest first.
 QUERY_FILLERS = (
-    "what is the current task status for", "what is my current memory about", "what is my preference about", "current task status", "current memory", "my preference",
-    "what is", "about", "for",
+    "请优先回答", "请帮我查找", "请帮我查", "请查找", "请回答", "请问", "帮我", "告诉我",
+    "结合长期记忆", "根据长期记忆", "长期记忆", "当前信息", "当前状态", "目前状态",
+    "长期结论", "相关结论", "相关记忆", "最近记忆", "有什么记忆", "是什么状态",
+    "是否已经完成", "是否完成", "需要处理吗", "需要处理", "偏好或习惯是什么", "偏好是什么",
+    "习惯是什么", "分别", "比较", "对比", "总结", "归纳", "当前", "目前", "最近", "关于",
+    "对应的", "对应", "里的", "是什么", "有哪些", "为什么", "怎么", "如何", "我的", "我对",
+    "what is the current task status for", "what is my current memory about", "what is my preference about",
+    "current task status", "current memory", "my preference", "what is", "about", "for",
 )
-# Patterns of names, of latin terms and of clause ends.
+# What else is taken out: the owner, words of intent, particles and marks.
+TOPIC_PATTERNS = (r"(?:我|用户)(?:现在|当前|最近)?", r"(?:不喜欢|喜欢|讨厌|偏好|习惯|要做|待办|任务|进度|完成|取消)", r"[的了呢吗么嘛呀啊吧和与及、，,。；;：:！？?!()（）\[\]{}]")
+# Words taken out of a search for notes and for provisional notes, in order.
+NOTE_FILLERS = (
+    "请问", "帮我", "告诉我", "查一下", "看一下", "什么", "哪个", "哪些",
+    "是否", "有没有", "相关内容", "相关记录", "刚才", "上次",
+)
+# Patterns of names, of latin terms, of runs of characters and of clause ends.
 NAME_PATTERN = r"[\u4e00-\u9fffA-Za-z]+-\d+|[A-Za-z][A-Za-z0-9+#._-]*|\d+(?:[._-]\d+)*"
 TERM_PATTERN = r"[a-z0-9][a-z0-9+#._-]*"
-CJK_PATTERN = r"[\u3400-\u9fff]+"
+CJK_PATTERN = r"[\u4e00-\u9fff]+"
+WIDE_CJK_PATTERN = r"[\u3400-\u9fff]+"
 CLAUSE_END = r"[。！？!?；;，,](?!(?:(?:嗯|呃)[，,]\s*)?(?:还在|还没|仍在|仍然))"
 CONNECTORS = r"^(?:并且|而且|但是|不过|同时|然后|接着|另外|还|以及|，|,)\s*"
 MAX_CLAUSES = 64
@@ -35,9 +49,14 @@ def normalize_content(text: Column) -> Column:
 
 
 def topic_text(text: Column) -> Column:
-    """What a question is about: fillers and punctuation out, blanks squeezed."""
+    """What a question is about: fillers, owner, intent, particles and punctuation out, blanks squeezed."""
     out = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit(" ")), sorted(QUERY_FILLERS, key=len, reverse=True), casefold(text))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[、，,。；;：:！？?!()（）\[\]{}]", " "), r"\s+", " "))
+    return squeeze(reduce(lambda c, p: F.regexp_replace(c, p, " "), TOPIC_PATTERNS, out))
+
+
+def squeeze(text: Column) -> Column:
+    """The words of a text with single blanks between them."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00a0\u3000]+", " "))
 
 
 def named_tokens(text: Column) -> Column:
@@ -45,24 +64,27 @@ def named_tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NAME_PATTERN), F.lit(0)), F.lower)))
 
 
-def cjk_grams(text: Column, widths: tuple[int, ...]) -> Column:
-    """The distinct substrings of the given widths of every run of CJK characters."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CJK_PATTERN), F.lit(0))
+def grams_of_runs(runs: Column, widths: tuple[int, ...]) -> Column:
+    """Of every run in an array, its substrings of each width in turn, in order."""
 
     def of_width(run: Column, width: int) -> Column:
         found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - width + 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(width)))
         return F.filter(found, lambda g: F.length(g) == width)
 
-    def grams(run: Column) -> Column:
-        return F.concat(*[of_width(run, w) for w in widths])
+    return F.flatten(F.transform(runs, lambda run: F.concat(*[of_width(run, w) for w in widths])))
+
 
-    return F.array_distinct(F.flatten(F.transform(runs, grams)))
+def cjk_grams(text: Column, widths: tuple[int, ...] = (4, 3, 2)) -> Column:
+    """The distinct substrings of the given widths of every run of CJK characters."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CJK_PATTERN), F.lit(0))
+    return F.array_distinct(grams_of_runs(runs, widths))
 
 
 def lexical_terms(text: Column) -> Column:
-    """Search terms: latin runs and pairs of CJK characters, fillers removed."""
-    value = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), QUERY_FILLERS, casefold(text))
-    return F.array_distinct(F.concat(F.regexp_extract_all(value, F.lit(TERM_PATTERN), F.lit(0)), cjk_grams(value, (2,))))
+    """Search terms: latin runs, pairs of CJK characters and CJK characters that stand alone, fillers removed."""
+    value = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), NOTE_FILLERS, casefold(text))
+    runs = F.regexp_extract_all(value, F.lit(WIDE_CJK_PATTERN), F.lit(0))
+    return F.array_distinct(F.concat(F.regexp_extract_all(value, F.lit(TERM_PATTERN), F.lit(0)), F.filter(runs, lambda r: F.length(r) == 1), grams_of_runs(runs, (2,))))
 
 
 def char_set(text: Column) -> Column:
@@ -83,16 +105,17 @@ def overlap_score(query: Column, content: Column) -> Column:
     short, long = F.least(F.length(q), F.length(c)), F.greatest(F.length(q), F.length(c))
     inside = (short >= 2) & (F.contains(q, c) | F.contains(c, q))
     share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
-    nq, gq = named_tokens(topic_q), cjk_grams(topic_q, (4, 3, 2))
-    names, grams = share(nq, named_tokens(topic_c)), share(gq, cjk_grams(topic_c, (4, 3, 2)))
+    nq, gq = named_tokens(topic_q), cjk_grams(topic_q)
+    names, grams = share(nq, named_tokens(topic_c)), share(gq, cjk_grams(topic_c))
     mixed = F.when((F.size(nq) > 0) & (F.size(gq) > 0), 0.35 * names + 0.65 * grams).otherwise(F.when(F.size(nq) > 0, names).otherwise(grams))
     return F.when((q == "") | (c == ""), 0.0).when(q == c, 1.0).when(inside, F.least(F.lit(1.0), 0.82 + 0.18 * short / long)).otherwise(F.round(mixed, 4))
 
 
-def clauses(text: Column) -> Column:
-    """Clauses of a message: cut at ends, connectors dropped, of over 2 characters, at most 64."""
+def clauses(text: Column, most: int | None = MAX_CLAUSES) -> Column:
+    """Clauses of a message: cut at ends, connectors dropped, of over 2 characters; the first `most`, or all."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), CLAUSE_END), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), CONNECTORS, "")))
-    return F.slice(F.filter(parts, lambda p: F.length(p) > 2), 1, MAX_CLAUSES)
+    kept = F.filter(parts, lambda p: F.length(p) > 2)
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def trigrams(text: Column) -> Column:

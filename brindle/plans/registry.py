@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from brindle.plans import relational, search, state
+from brindle.plans import memory, relational, rules, search, state
 
-QUERIES: dict = {**relational.QUERIES, **search.QUERIES, **state.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.SQL, **search.SQL, **state.SQL}
+_MODULES = (relational, search, state, rules, memory)
+QUERIES: dict = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
