@@ -19,7 +19,7 @@ MEMORY_TERMS, NOTE_TERMS, IDENTIFIERS = 12, 18, 4
 
 def _terms(values: Column, most: int) -> Column:
     """The first distinct values of two characters or more, trimmed."""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: F.length(v) >= 2)), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) >= 2)), 1, most)
 
 
 def memory_terms(text: Column, entities: Column | None = None) -> Column:

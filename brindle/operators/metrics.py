@@ -74,3 +74,62 @@ def retrieval_scores(hits: DataFrame, relevant: DataFrame, cutoffs: list[int]) -
     n = F.coalesce("n_relevant", F.lit(0))
     per_k = [c for k in cutoffs for c in (F.round(F.col(f"hits_{k}") / k, 6).alias(f"precision_{k}"), F.when(n > 0, F.round(F.col(f"hits_{k}") / n, 6)).alias(f"recall_{k}"), (F.col(f"hits_{k}") > 0).cast("int").alias(f"hit_{k}"))]
     return row.select("query_id", *per_k, F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)), 6).alias("ndcg_10"))
+
+
+def durations(rows: DataFrame, spans: dict[str, tuple[str, str]]) -> DataFrame:
+    """Milliseconds between two times for each named span, at least 0; null where one is missing."""
+    ms = lambda a, b: F.greatest(F.unix_millis(b) - F.unix_millis(a), F.lit(0))
+    return rows.select("*", *[ms(a, b).alias(name) for name, (a, b) in spans.items()])
+
+
+def percentile_columns(rows: DataFrame, values: list[str], shares: dict[str, float]) -> DataFrame:
+    """One row: for each value and share its nearest-rank percentile, `share_value`; all values in one pass."""
+    from brindle.functions.scores import order_statistics
+
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values])).alias("x")).select("x.name", "x.value")
+    found = order_statistics(long, ["name"], "value", shares, "nearest")
+    return found.agg(*[F.max(F.when(F.col("name") == v, F.col(s))).alias(f"{s}_{v}") for v in values for s in shares])
+
+
+def submission_report(tasks: DataFrame, status: str, accepted: DataFrame, submission: dict[str, int]) -> DataFrame:
+    """One row that accounts for every submitted request, and what it leaves unaccounted for.
+
+    Requests that a client saw fail but that were accepted count once, as accepted.
+    """
+    n = lambda *names: F.count_if(F.col(status).isin(*names))
+    row = tasks.agg(n("completed").alias("completed"), n("blocked", "queued", "running", "retry").alias("pending"), n("cancelled").alias("cancelled"), n("dead_letter").alias("dead_letter"))
+    row = row.crossJoin(accepted.agg(F.count(F.lit(1)).alias("accepted")))
+    of = lambda name: F.lit(int(submission.get(name) or 0)).cast("long")
+    confirmed = of("accepted") if "accepted" in submission else F.col("accepted")
+    late = F.least(of("failed"), F.greatest(F.lit(0).cast("long"), F.col("accepted") - confirmed))
+    row = row.withColumns({"duplicate": of("duplicate"), "rate_limited": of("rate_limited"), "unaccepted": F.greatest(F.lit(0).cast("long"), of("failed") - late)})
+    submitted = of("submitted") if submission.get("submitted") else F.col("accepted") + of("duplicate") + of("rate_limited") + of("failed")
+    row = row.withColumns({"submitted": submitted, "failed": F.col("cancelled") + F.col("dead_letter") + F.col("unaccepted")})
+    total = F.col("completed") + F.col("failed") + F.col("pending") + F.col("rate_limited") + F.col("duplicate")
+    return row.withColumns({"failure_rate": F.when(F.col("submitted") > 0, F.round(F.col("failed") / F.col("submitted"), 6)), "conservation_delta": F.col("submitted") - total})
+
+
+def retry_reconciliation(attempts: DataFrame, accepted: int) -> DataFrame:
+    """One row from the reports of an initial submission and its retries, in order, against what was
+    accepted: accepted, duplicate, rate_limited, failed, retry_attempts.
+
+    `attempts` has attempt (0 is the first), submitted, accepted, duplicate, rate_limited and failed.
+    """
+    row = attempts.agg(
+        F.max_by("submitted", -F.col("attempt")).alias("submitted"), F.max_by("duplicate", -F.col("attempt")).alias("first_duplicate"), F.max_by("rate_limited", "attempt").alias("rate_limited"),
+        F.max_by("failed", "attempt").alias("last_failed"), F.sum("accepted").alias("said"), (F.count(F.lit(1)) - 1).alias("retry_attempts"),
+    )
+    held, zero = F.lit(accepted).cast("long"), F.lit(0).cast("long")
+    row = row.withColumns({"duplicate": F.greatest(F.col("first_duplicate"), F.col("submitted") - held - F.col("rate_limited") - F.col("last_failed")), "accepted": F.least(held, F.col("said"))})
+    open_ = F.greatest(zero, F.col("submitted") - held - F.col("duplicate") - F.col("rate_limited"))
+    return row.select("submitted", "accepted", "duplicate", "rate_limited", (F.greatest(zero, held - F.col("accepted")) + open_).alias("failed"), "retry_attempts")
+
+
+def macro_f1(scores: DataFrame) -> DataFrame:
+    """The mean F1 of per-label scores, in one row."""
+    return scores.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.count(F.lit(1)).alias("labels"))
+
+
+def by_dataset(cases: DataFrame, values: list[str]) -> DataFrame:
+    """Per dataset the number of cases and the mean of each value, nulls left out, to 6 places."""
+    return cases.groupBy("dataset").agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.avg(v), 6).alias(v) for v in values])

@@ -22,6 +22,25 @@ def note_filter(notes: DataFrame, condition: Column, order: list[str], n: int, t
     return newest(newest(notes.where(condition), order, 4 * n).where(~sensitive(F.col(text))), order, n)
 
 
+def notes_of(notes: DataFrame, order: list[str], n: int, note_type: str | None = None, tags: list[str] | None = None, since: Column | None = None, statuses: list[str] | None = None) -> DataFrame:
+    """Notes by type, tags (all of them), time and status, newest first, 1 to 100 of them; a type or tag
+    that is not listed finds nothing."""
+    from brindle.functions.rules import GLOBAL_TAGS, NOTE_TYPES, TYPE_TAGS
+
+    known = set(GLOBAL_TAGS).union(*TYPE_TAGS.values())
+    tags = [t.strip().lstrip("#") for t in tags or []]
+    condition = F.lit((note_type is None or note_type.strip() in NOTE_TYPES) and set(tags) <= known)
+    if note_type is not None:
+        condition = condition & (F.col("type") == note_type.strip())
+    if tags:
+        condition = condition & (F.size(F.array_except(F.array(*[F.lit(t) for t in tags]), "tags")) == 0)
+    if since is not None:
+        condition = condition & (F.col("created_at") >= since)
+    if statuses:
+        condition = condition & F.col("status").isin(statuses)
+    return note_filter(notes, condition, order, clamp(n, 1, 100))
+
+
 def with_all_tags(bridge: DataFrame, item: str, tag: str, wanted: list[str]) -> DataFrame:
     """Items that have every wanted tag (relational division)."""
     return bridge.where(F.col(tag).isin(wanted)).groupBy(item).agg(F.countDistinct(tag).alias("n_tags")).where(F.col("n_tags") == len(set(wanted)))
@@ -146,3 +165,23 @@ def time_range(ts: Column, asof: Column, name: str) -> Column:
     day = F.date_trunc("DAY", asof)
     end = day if name == "yesterday" else F.timestamp_add("DAY", F.lit(1), day)
     return (ts >= F.timestamp_add("DAY", F.lit(-days), end)) & (ts < end)
+
+
+def provisional(notes: DataFrame) -> DataFrame:
+    """Notes whose enrichment is not done."""
+    return notes.where(F.col("enrichment_status").isin("provisional", "enriching", "failed"))
+
+
+def pending_enrichments(notes: DataFrame, created: str, max_attempts: int, n: int) -> DataFrame:
+    """Notes to be enriched, the oldest first: not done, with tries left, not sensitive."""
+    return provisional(notes).where((F.col("attempts") < max_attempts) & (F.col("sensitivity") == "normal")).orderBy(created).limit(max(1, n))
+
+
+def ready_vectors(active: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The number of ready vectors of active memories, in one row."""
+    return vectors.join(active, "id").agg(F.count(F.lit(1)).alias("ready"))
+
+
+def unpublished(outbox: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The number of events of tasks that are neither published nor dead, in one row."""
+    return outbox.where(F.col("published_at").isNull() & (F.col("status") != "dead")).join(tasks, "id").agg(F.count(F.lit(1)).alias("unpublished"))

@@ -26,22 +26,18 @@ def query(sql: str | None = None):
     return add
 
 
-#: The label-with-value pattern has no look-around, so SQL engines agree on it.
-LABEL_VALUE = PATTERNS[7][0]
-_LABEL = LABEL_VALUE.replace("'", "''")
-
-
-def _labelled(text):
-    return F.coalesce(text.rlike(LABEL_VALUE), F.lit(False))
+#: The pattern with a look-ahead as SQL that has none: a value after a label, then a digit in it.
+SPACE_VALUE_SQL = "len(list_filter(regexp_extract_all(text, '(?i)(?:密码|口令|私钥|密钥|api[_ -]?key|access[_ -]?key|token|secret|password)\\s+([^\\s，。；;]{8,})', 1), lambda x: regexp_matches(x, '\\d'))) > 0"
+SENSITIVE_SQL = "coalesce(" + " OR ".join(SPACE_VALUE_SQL if "(?=" in p[0] else "regexp_matches(text, '" + p[0].replace("'", "''") + "')" for p in PATTERNS) + ", false)"
 
 
 @query(f"""WITH c AS (SELECT d.doc_id, d.source, d.text FROM documents d WHERE lang = 'en' AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1 AND toxic = 0)),
     f AS (SELECT * FROM c ORDER BY doc_id DESC LIMIT 100)
-    SELECT doc_id, source FROM f WHERE NOT coalesce(regexp_matches(text, '{_LABEL}'), false) ORDER BY doc_id DESC LIMIT 25""")
+    SELECT doc_id, source FROM f WHERE NOT {SENSITIVE_SQL} ORDER BY doc_id DESC LIMIT 25""")
 def filter_notes_type_flags(spark: SparkSession, d: str) -> DataFrame:
     flagged = table(spark, d, "labels").where("quality = 1 AND toxic = 0")
     notes = table(spark, d, "documents").join(flagged, "doc_id", "left_semi")
-    return R.note_filter(notes, F.col("lang") == "en", ["doc_id"], 25, sensitive=_labelled).select("doc_id", "source")
+    return R.note_filter(notes, F.col("lang") == "en", ["doc_id"], 25).select("doc_id", "source")
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY ORDER BY ts DESC, event_id DESC LIMIT 30")
@@ -235,7 +231,8 @@ def dedupe_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, count(*) AS n FROM orders GROUP BY 1")
 def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"), F.count(F.lit(1)).alias("n"))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return R.latest_per_key(orders, ["o_custkey"], ["o_orderkey"]).join(orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), "o_custkey")
 
 
 @query("SELECT o_custkey, coalesce(min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) - 1, max(o_orderkey)) AS watermark, max(o_orderkey) AS latest FROM orders GROUP BY 1")
@@ -275,9 +272,7 @@ def latest_success(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, min(part) AS part FROM (SELECT doc_id, 0 AS part FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'de') GROUP BY 1""")
 def evidence_union(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "labels").where("quality = 0").select("doc_id").withColumn("from_part", F.lit(0))
-    rest = table(spark, d, "documents").where("lang = 'de'").select("doc_id").withColumn("from_part", F.lit(1))
-    return first.unionByName(rest).groupBy("doc_id").agg(F.min("from_part").alias("part"))
+    return R.first_wins([table(spark, d, "labels").where("quality = 0").select("doc_id"), table(spark, d, "documents").where("lang = 'de'").select("doc_id")], "doc_id")
 
 
 @query("""SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM documents WHERE lang = 'en')) AS shared,

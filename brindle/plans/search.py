@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.functions.scores import NOTE_CHANNELS, cosine, policy_score
-from brindle.functions.sensitive import PATTERNS, redacted, sensitive_category, sensitive_reason
+from brindle.functions.sensitive import PATTERNS, category_of, redacted, sensitive_reason
 from brindle.operators import metrics as M
 from brindle.operators import retrieval as S
-from brindle.plans.relational import LABEL_VALUE
+from brindle.functions.sensitive import is_sensitive
+from brindle.functions import terms as K
+from brindle.plans.relational import SENSITIVE_SQL, SPACE_VALUE_SQL
 from brindle.sources.tables import table
 
 QUERIES: dict = {}
@@ -40,7 +42,7 @@ PHRASE, TERMS = "that the", ("that", "the", "with")
     x AS (SELECT id, row_number() OVER (ORDER BY m DESC, id DESC) AS rank FROM l WHERE m > 0 ORDER BY m DESC, id DESC LIMIT 30),
     f AS (SELECT id, round(sum(w), 6) AS rrf FROM (SELECT id, 1.55::DOUBLE / (60 + rank) AS w FROM e UNION ALL SELECT id, 0.85::DOUBLE / (60 + rank) FROM x) GROUP BY 1),
     t AS (SELECT * FROM f ORDER BY rrf DESC, id DESC LIMIT 20)
-    SELECT id, rrf FROM t JOIN documents ON doc_id = id WHERE NOT regexp_matches(text, '{_q(LABEL_VALUE)}') ORDER BY rrf DESC, id DESC LIMIT 10""")
+    SELECT id, rrf FROM t JOIN documents ON doc_id = id WHERE NOT {SENSITIVE_SQL} ORDER BY rrf DESC, id DESC LIMIT 10""")
 def hybrid_note_search(spark: SparkSession, d: str) -> DataFrame:
     """Exact and lexical channels over documents, fused, sensitive texts dropped, ten best."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lower("text").alias("low"))
@@ -48,7 +50,7 @@ def hybrid_note_search(spark: SparkSession, d: str) -> DataFrame:
     exact = S.channel(docs.where(F.contains("low", F.lit(PHRASE))), "exact", [F.desc("id")], 30)
     lexical = S.channel(docs.withColumn("m", matched).where("m > 0"), "lexical", [F.desc("m"), F.desc("id")], 30)
     top = S.fuse([exact, lexical], NOTE_CHANNELS).orderBy(F.desc("rrf"), F.desc("id")).limit(20)
-    found = docs.join(F.broadcast(top), "id").where(~F.col("text").rlike(LABEL_VALUE))
+    found = docs.join(F.broadcast(top), "id").where(~is_sensitive(F.col("text")))
     return found.select("id", "rrf").orderBy(F.desc("rrf"), F.desc("id")).limit(10)
 
 
@@ -65,7 +67,7 @@ def named_tokens(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size("t").alias("n_tokens"), F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first_token"))
 
 
-_TERMS_SQL = "list_distinct(regexp_extract_all(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'what is', ''), 'about', ''), 'for', ''), '[a-z0-9][a-z0-9+#._-]*'))"
+_TERMS_SQL = "list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9][a-z0-9+#._-]*'))"
 
 
 @query(f"""WITH q AS (SELECT item_id, {_TERMS_SQL} AS t FROM benchmark), qe AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q),
@@ -93,12 +95,12 @@ def char_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, i::INTEGER AS i, clause FROM (SELECT doc_id, unnest(c) AS clause, generate_subscripts(c, 1) - 1 AS i FROM (SELECT doc_id,
-    list_slice(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;，,]'), lambda p: trim(regexp_replace(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), '^(?:并且|而且|但是|不过|同时|然后|接着|另外|还|以及|，|,)\\s*', ''))), lambda p: length(p) > 2), 1, 64) AS c FROM documents))""")
+    (list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;，,]'), lambda p: trim(regexp_replace(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), '^(?:并且|而且|但是|不过|同时|然后|接着|另外|还|以及|，|,)\\s*', ''))), lambda p: length(p) > 2)) AS c FROM documents))""")
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.clauses(F.col("text"))).alias("i", "clause"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.clauses(F.col("text"), None)).alias("i", "clause"))
 
 
-_LOOKAHEAD = "len(list_filter(regexp_extract_all(text, '(?i)(?:密码|口令|私钥|密钥|api[_ -]?key|access[_ -]?key|token|secret|password)\\s+([^\\s，。；;]{8,})', 1), lambda x: regexp_matches(x, '\\d'))) > 0"
+_LOOKAHEAD = SPACE_VALUE_SQL
 
 
 def _case_sql(value: int) -> str:
@@ -111,10 +113,22 @@ def _case_sql(value: int) -> str:
 
 @query(f"SELECT doc_id, {_case_sql(1)} AS category, {_case_sql(2)} AS reason FROM documents")
 def sensitive_class(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", sensitive_category(F.col("text")).alias("category"), sensitive_reason(F.col("text")).alias("reason"))
+    return table(spark, d, "documents").select("doc_id", sensitive_reason(F.col("text")).alias("reason")).select("doc_id", category_of(F.col("reason")).alias("category"), "reason")
 
 
-@query()
+def _redacted_sql() -> str:
+    out = "text"
+    for pattern, _, _, new in PATTERNS:
+        if "(?=" in pattern:
+            # Without look-ahead: every value that has a digit, whichever of its places that is.
+            labels = pattern.split(r"\s+(?=")[0]
+            out = f"regexp_replace({out}, '{_q(labels)}\\s+([^\\s，。；;\\d]*\\d[^\\s，。；;]{{7,}}|[^\\s，。；;\\d]{{1}}[^\\s，。；;\\d]*\\d[^\\s，。；;]{{6,}}|" + "|".join(f"[^\\s，。；;\\d]{{{k},}}\\d[^\\s，。；;]{{{7 - k},}}" for k in range(2, 8)) + f")', '\\1 [REDACTED]', 'g')"
+        else:
+            out = f"regexp_replace({out}, '{_q(pattern)}', '{new.replace('$', chr(92))}', 'g')"
+    return out
+
+
+@query(f"WITH r AS (SELECT doc_id, text, {_redacted_sql()} AS safe FROM documents) SELECT doc_id, md5(safe) AS safe_md5 FROM r WHERE text <> safe")
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", redacted(F.col("text")).alias("safe"))
     return docs.where("text <> safe").select("doc_id", F.md5(F.col("safe").cast("binary")).alias("safe_md5"))
@@ -160,7 +174,8 @@ def vector_channel_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 _THREE = """e AS (SELECT doc_id AS id, 'exact' AS ch, 1.60::DOUBLE AS w, row_number() OVER (ORDER BY doc_id DESC) AS rk FROM documents WHERE contains(lower(text), 'license')),
     s AS (SELECT doc_id AS id, 'structured' AS ch, 1.35::DOUBLE AS w, row_number() OVER (ORDER BY doc_id DESC) AS rk FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
-    v AS (SELECT doc_id AS id, 'fts' AS ch, 1.00::DOUBLE AS w, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS rk FROM documents),
+    k AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+    v AS (SELECT doc_id AS id, 'fts' AS ch, 1.00::DOUBLE AS w, row_number() OVER (ORDER BY len(list_filter(ws, lambda x: x IN ('that', 'the'))) DESC, doc_id DESC) AS rk FROM k WHERE list_contains(ws, 'that') AND list_contains(ws, 'the')),
     a AS (SELECT * FROM e WHERE rk <= 30 UNION ALL SELECT * FROM s WHERE rk <= 30 UNION ALL SELECT * FROM v WHERE rk <= 30),
     f AS (SELECT id, round(sum(w / (60 + rk)), 6) AS rrf, count(DISTINCT ch)::INTEGER AS channels, min(CASE WHEN ch = 'exact' THEN rk END)::INTEGER AS exact_rank FROM a GROUP BY 1)"""
 
@@ -168,12 +183,13 @@ _THREE = """e AS (SELECT doc_id AS id, 'exact' AS ch, 1.60::DOUBLE AS w, row_num
 def _three_channels(spark: SparkSession, d: str) -> DataFrame:
     from brindle.functions.scores import MEMORY_CHANNELS
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     exact = S.channel(docs.where(F.contains(F.lower("text"), F.lit("license"))), "exact", [F.desc("id")], 30)
     structured = S.channel(docs.join(toxic, "id", "left_semi"), "structured", [F.desc("id")], 30)
-    longest = S.channel(docs, "fts", [F.desc("n_chars"), F.desc("id")], 30)
-    return S.fuse([exact, structured, longest], MEMORY_CHANNELS)
+    asked = F.array(F.lit("that"), F.lit("the"))
+    matched = docs.withColumn("words", K.lexemes(F.col("text"))).where(K.plain_match(F.col("words"), asked)).withColumn("fts_rank", K.rank_simple(F.col("words"), asked))
+    return S.fuse([exact, structured, S.channel(matched, "fts", [F.desc("fts_rank"), F.desc("id")], 30)], MEMORY_CHANNELS)
 
 
 @query(f"WITH {_THREE} SELECT id, rrf, channels, coalesce(exact_rank, 0) AS exact_rank FROM f")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,7 +39,7 @@ def traces_of(traces: DataFrame, memory_id: str) -> DataFrame:
 def note_markdown(notes: DataFrame) -> DataFrame:
     """Notes as Markdown blocks, in one text column."""
     tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ", ")
-    return notes.select(F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce("title", F.lit(""))), F.concat(F.lit("tags: "), tags), "", F.coalesce("text", F.lit("")), "").alias("value"))
+    return notes.select(F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce("title", F.lit(""))), F.concat(F.lit("tags: "), tags), F.lit(""), F.coalesce("text", F.lit("")), F.lit("")).alias("value"))
 
 
 def append_once(log: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,6 +60,33 @@ def migrate(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[
     return new, counts.withColumn("present", F.col("incoming") - F.col("inserted"))
 
 
+def migration_counts(incoming: DataFrame, inserted: DataFrame, kind: str, failed: Column) -> DataFrame:
+    """Per kind of entity how many rows came, were inserted and failed."""
+    came = incoming.groupBy(kind).agg(F.count(F.lit(1)).alias("incoming"), F.count_if(failed).alias("failed"))
+    new = inserted.groupBy(F.col(kind).alias("of")).agg(F.count(F.lit(1)).alias("inserted"))
+    return came.join(new, F.col(kind).eqNullSafe(F.col("of")), "left").select(kind, "incoming", F.coalesce("inserted", F.lit(0)).alias("inserted"), "failed")
+
+
+def append_feedback(entries: DataFrame, path: str) -> None:
+    """Append entries to a log of JSON lines."""
+    entries.write.mode("append").json(path)
+
+
+def feedback(spark: SparkSession, path: str, schema: str, n: int, order: str = "id") -> DataFrame:
+    """The newest entries of a log of JSON lines."""
+    return spark.read.schema(schema).json(path).orderBy(F.desc(order)).limit(n)
+
+
+def with_vectors(index: DataFrame, items: DataFrame, key: str = "id") -> DataFrame:
+    """An index of vectors with items added; one with a known key takes the place of the old."""
+    return index.join(items.select(key), key, "left_anti").unionByName(items)
+
+
+def without_vectors(index: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """An index of vectors without the keys of `gone`."""
+    return index.join(gone.select(key), key, "left_anti")
+
+
 def seed_notes(spark: SparkSession, n: int) -> DataFrame:
     """Deterministic notes: four types in turn, every tenth linked to the one before, every 20th provisional."""
     kinds = F.array(*[F.lit(k) for k in ("idea", "task", "log", "fact")])
