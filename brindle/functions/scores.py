@@ -43,22 +43,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(checked / norms)
 
 
+def ranges(rows: DataFrame, value: str, n: int = 64) -> Column:
+    """The number of the range of a value's column that a row falls into, 0 to `n`; the bounds are
+    approximate quantiles, so that ranges hold about as many rows each."""
+    cuts = sorted(set(rows.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.002)))
+    x = F.col(value).cast("double")
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= x))
+
+
 def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], method: str) -> DataFrame:
     """Per group, an exact element of the sorted values for each share; nulls are left out.
 
     `nearest` takes index round((n-1)q), halves to even; `floor` takes index floor((n-1)q).  Equal
-    values are counted before the shuffle, and no group is collected into a row: a running count
-    over the distinct values finds the elements.
+    values are counted before the shuffle.  The counts of ranges of values tell in which range an
+    element lies; only there are the values gone through, so no task sees a whole group.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_value"))
-    up = Window.partitionBy(*keys).orderBy(value)
-    counts = counts.withColumns({"n_upto": F.sum("n_value").over(up), "n_all": F.sum("n_value").over(Window.partitionBy(*keys))})
-    found = []
+    rows = rows.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_value")).withColumn("range", ranges(rows, value))
+    parts = counts.groupBy(*keys, "range").agg(F.sum("n_value").alias("n_range"))
+    up = Window.partitionBy(*keys).orderBy("range")
+    parts = parts.withColumns({"before": F.sum("n_range").over(up) - F.col("n_range"), "n": F.sum("n_range").over(Window.partitionBy(*keys))})
+    names = []
     for name, q in shares.items():
-        at = (F.col("n_all") - 1) * F.lit(float(q))
-        index = F.least(F.col("n_all") - 1, F.greatest(F.lit(0), F.bround(at, 0).cast("long"))) if method == "nearest" else F.floor(at)
-        found.append(F.min(F.when(F.col("n_upto") > index, F.col(value))).alias(name))
-    return counts.groupBy(*keys).agg(F.sum("n_value").alias("n"), *found)
+        at = (F.col("n") - 1) * F.lit(float(q))
+        index = F.least(F.col("n") - 1, F.greatest(F.lit(0), F.bround(at, 0).cast("long"))) if method == "nearest" else F.floor(at)
+        names.append(F.struct(F.lit(name).alias("name"), index.cast("long").alias("index")))
+    wanted = parts.select("*", F.explode(F.array(*names)).alias("w")).where((F.col("before") <= F.col("w.index")) & (F.col("w.index") < F.col("before") + F.col("n_range")))
+    wanted = wanted.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("range").alias("_range"), F.col("before").alias("_before"), F.col("n").alias("_n"), F.col("w.name").alias("_name"), F.col("w.index").alias("_index"))
+    same = F.col("range") == F.col("_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    upto = F.col("_before") + F.sum("n_value").over(Window.partitionBy(*keys, "_name").orderBy(value))
+    found = counts.join(wanted, same).withColumn("_upto", upto).where(F.col("_upto") > F.col("_index"))
+    return found.groupBy(*keys).agg(F.max("_n").alias("n"), *[F.min(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in shares])
 
 
 def linear_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -65,7 +65,18 @@ def retrieval_scores(hits: DataFrame, relevant: DataFrame, cutoffs: list[int]) -
     """
     gains = relevant.withColumn("ideal_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "id")))
     ideal = gains.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"), F.sum(F.when(F.col("ideal_rank") <= 10, F.col("gain") / F.log2(F.col("ideal_rank") + 1))).alias("ideal"))
-    found = hits.join(relevant.select("query_id", "id", "gain"), ["query_id", "id"], "left")
+    return _scored(hits.join(relevant.select("query_id", "id", "gain"), ["query_id", "id"], "left"), ideal, cutoffs)
+
+
+def class_retrieval_scores(hits: DataFrame, totals: DataFrame, cutoffs: list[int]) -> DataFrame:
+    """The same where all relevant items count 1 and are too many to be listed: `hits` has query_id, rank
+    and relevant (boolean), `totals` query_id and n_relevant."""
+    upto = F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(10)).cast("int"))
+    ideal = totals.withColumn("ideal", F.when(F.col("n_relevant") > 0, F.aggregate(upto, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))))
+    return _scored(hits.withColumn("gain", F.when(F.col("relevant"), 1.0)), ideal.where("n_relevant > 0"), cutoffs)
+
+
+def _scored(found: DataFrame, ideal: DataFrame, cutoffs: list[int]) -> DataFrame:
     got = found.groupBy("query_id").agg(
         *[F.count_if(F.col("gain").isNotNull() & (F.col("rank") <= k)).alias(f"hits_{k}") for k in cutoffs],
         F.min(F.when(F.col("gain").isNotNull(), F.col("rank"))).alias("first_rank"), F.sum(F.when(F.col("rank") <= 10, F.col("gain") / F.log2(F.col("rank") + 1))).alias("dcg"),

@@ -144,10 +144,25 @@ def released(tasks: DataFrame, watermarks: DataFrame, key: str, required: str) -
     return tasks.join(watermarks, key).where(F.col("watermark") >= F.col(required))
 
 
-def budget_prefix(rows: DataFrame, keys: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
-    """The first rows of each group whose sizes add up to no more than the budget."""
-    running = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", running).where(F.col("used") <= budget)
+def budget_prefix(rows: DataFrame, keys: list[str], by: str, size: Column, budget: int, descending: bool = True) -> DataFrame:
+    """The first rows of each group, in the order of a number, whose sizes add up to no more than the
+    budget; rows of equal number are in or out one by one, in no given order.
+
+    Sums of ranges of the number come first, so a large group is added up by several tasks.
+    """
+    from brindle.functions.scores import ranges
+
+    sized = rows.withColumns({"_size": size, "_range": -ranges(rows, by) if descending else ranges(rows, by)})
+    sums = sized.groupBy(*keys, "_range").agg(F.sum("_size").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_sum")
+    starts = sums.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("_range").alias("of_range"), before.alias("_before")).where(F.col("_before") <= budget)
+    same = F.col("_range") == F.col("of_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    order = F.desc(by) if descending else F.asc(by)
+    running = F.sum("_size").over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    met = sized.join(starts, same).withColumn("used", F.col("_before") + running)
+    return met.where(F.col("used") <= budget).drop("_size", "_range", "_before", "of_range", *[f"of_{k}" for k in keys])
 
 
 def first_wins(parts: list[DataFrame], key: str) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.scores import RRF_K, cosine
 
+#: Numbers of all queries together that are sent to every task.
+MOST_NUMBERS = 1 << 22
+
 
 def channel(rows: DataFrame, name: str, order: list[Column], n: int, query: str | None = None, item: str = "id") -> DataFrame:
     """The first n rows in order, numbered: (query,) id, channel, rank.
@@ -48,26 +55,66 @@ def rerank(hits: DataFrame, policy: Column, query: str) -> DataFrame:
     return hits.withColumn("final", F.round(F.least(F.lit(1.0), final), 4))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, at_least: float = -1.0) -> DataFrame:
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, at_least: float = -1.0, most_numbers: int = MOST_NUMBERS) -> DataFrame:
     """The k most similar vectors of each query but itself: query_id, id, score, rank.
 
-    `queries` and `vectors` have id and embedding.  Every query meets every vector; what is kept of
-    each partition is its best k per query, so little is shuffled.
+    `queries` and `vectors` have id and embedding; vectors of another length are an error, and one
+    without length scores 0.  Queries of up to `most_numbers` numbers are counted first, then sent to
+    all tasks, which multiply them with blocks of vectors and keep the best of each block; beyond
+    that, queries and vectors meet in a join.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    scored = vectors.crossJoin(q).where(F.col("id") != F.col("query_id")).select("query_id", "id", F.round(cosine(F.col("query_embedding"), F.col("embedding")), 6).alias("score")).where(F.col("score") >= at_least)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    held = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    if held > most_numbers:
+        q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+        scored = vectors.crossJoin(q).where(F.col("id") != F.col("query_id")).select("query_id", "id", cosine(F.col("query_embedding"), F.col("embedding")).alias("score"))
+    else:
+        asked = queries.select("id", "embedding").toPandas().sort_values("id")
+        matrix = np.array(asked["embedding"].to_list(), dtype=float).reshape(len(asked), -1)
+        lengths = np.sqrt((matrix * matrix).sum(axis=1))
+        unit = np.divide(matrix, lengths[:, None], out=np.zeros_like(matrix), where=lengths[:, None] > 0)
+        sent = vectors.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(), unit))
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, unit = sent.value
+            for batch in batches:
+                own, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                if not len(own) or not len(ids):
+                    continue
+                if set(np.diff(column.offsets.to_numpy())) != {unit.shape[1]}:
+                    raise ValueError("vectors of different lengths")
+                block = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), unit.shape[1])
+                norm = np.sqrt((block * block).sum(axis=1))
+                scores = (np.divide(block, norm[:, None], out=np.zeros_like(block), where=norm[:, None] > 0) @ unit.T).T
+                scores[ids[:, None] == own] = -np.inf
+                # Scores are rounded later: what may round to the k-th best stays.
+                floor = np.partition(scores, max(scores.shape[1] - k, 0), axis=1)[:, max(scores.shape[1] - k, 0)] - 1e-6 if scores.shape[1] > k else np.full(len(ids), -np.inf)
+                q, v = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(scores[q, v])], names=["query_id", "id", "score"])
+
+        kind = vectors.schema["id"].dataType.simpleString()
+        scored = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(multiply, f"query_id {kind}, id {kind}, score double")
+    scored = scored.withColumn("score", F.round("score", 6)).where(F.col("score") >= at_least)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def term_overlap_topk(queries: DataFrame, documents: DataFrame, k: int, at_least: float) -> DataFrame:
     """Documents by the share of a query's terms that they have: query_id, id, overlap, rank.
 
-    `queries` and `documents` have id and terms (distinct).  They meet on terms, not pair by pair.
+    `queries` and `documents` have id and terms (distinct).  A document with enough of a query's n
+    terms has one of its n - need + 1 rarest, so they meet on those alone; common terms, which would
+    bring nearly everything together, are only counted for the pairs that met.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     d = documents.select("id", F.explode("terms").alias("term"))
-    hits = d.join(q, "term").groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("shared"))
-    hits = hits.select("query_id", "id", F.round(F.col("shared") / F.col("n_terms"), 6).alias("overlap")).where(F.col("overlap") >= at_least)
+    counts = d.groupBy("term").agg(F.count(F.lit(1)).alias("n_documents"))
+    q = queries.select(F.col("id").alias("query_id"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).join(counts, "term")
+    # Terms that no document has would come first in the order.
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("n_documents", "term")) + F.col("n_terms") - F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(at_least) * F.col("n_terms") - 1e-9))
+    q = q.withColumn("place", rarest).where(F.col("place") <= F.col("n_terms") - need + 1).select("query_id", "term")
+    met = d.join(q, "term").select("query_id", "id").distinct()
+    pairs = met.join(documents.select("id", "terms"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("terms").alias("query_terms")), "query_id")
+    hits = pairs.select("query_id", "id", F.round(F.size(F.array_intersect("terms", "query_terms")) / F.size("query_terms"), 6).alias("overlap")).where(F.col("overlap") >= at_least)
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "id"))).where(F.col("rank") <= k)
 
 

@@ -250,7 +250,7 @@ def causal_gating(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 20000""")
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return R.budget_prefix(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("doc_id")], F.col("n_chars"), 20_000).select("source", "doc_id", "used")
+    return R.budget_prefix(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", F.col("n_chars"), 20_000).select("source", "doc_id", "used")
 
 
 @query("SELECT strftime(ts, '%G-W%V') AS period, count(*) AS n FROM events GROUP BY 1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions import keys as K
+from brindle.functions import routes as G
 from brindle.functions import rules as R
 from brindle.functions import terms as M
 from brindle.functions import text as T
@@ -166,6 +168,30 @@ def candidate_validation(spark: SparkSession, d: str) -> DataFrame:
     return R.validated(rows).select("doc_id", F.coalesce("rejection_reason", F.lit("")).alias("rejection_reason"))
 
 
+_KEY_SQL = {"own": norm_sql("coalesce(nullif(subj, ''), '用户')"), "slot": norm_sql("coalesce(nullif(pred, ''), mt)"), "whole": norm_sql("content"), "value": norm_sql("coalesce(obj, '')")}
+
+
+@query(f"""WITH {_S}, m AS (SELECT doc_id, ['preference', 'task', 'semantic', 'episodic'][(doc_id % 4)::INT + 1] AS mt, t AS content, ['me', '', '张三'][(doc_id % 3)::INT + 1] AS subj, CASE WHEN doc_id % 2 = 0 THEN 'Drink-Type' END AS pred, CASE WHEN doc_id % 7 = 0 THEN '需要完成测试了' END AS obj FROM s),
+    n AS (SELECT *, coalesce(nullif({_KEY_SQL["own"]}, ''), '用户') AS o, coalesce(nullif({_KEY_SQL["slot"]}, ''), mt) AS sl, {_KEY_SQL["whole"]} AS w, {_KEY_SQL["value"]} AS v FROM m),
+    k AS (SELECT *, CASE WHEN o IN ('user', 'me', 'myself') THEN 'user' ELSE o END AS own, coalesce(nullif(v, ''), w) AS topic FROM n)
+    SELECT doc_id, CASE mt WHEN 'preference' THEN concat_ws(':', 'preference', own, coalesce(nullif(regexp_replace(regexp_replace(topic, '{K.PREFERENCE_WORDS}', '', 'g'), '{K.PREFERENCE_VERBS}', ''), ''), 'unspecified'), 'global')
+      WHEN 'task' THEN concat_ws(':', 'task', own, sl, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(topic, '{K.TASK_WORDS}', '', 'g'), '^是+', ''), '了+$', ''), ''), 'unspecified'))
+      WHEN 'semantic' THEN concat_ws(':', 'semantic', own, sl, substr(CASE WHEN w <> '' THEN w WHEN v <> '' THEN v ELSE '' END, 1, 96)) ELSE concat_ws(':', mt, own, sl, topic) END AS memory_key,
+      sha256(concat_ws('|', mt || ' | ' || subj || ' | ' || coalesce(pred, '') || ' | ' || coalesce(obj, '') || ' | ' || content, 'm', '8', 'v1')) AS content_hash FROM k""")
+def identity_keys(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    at = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    rows = _statements(spark, d).select("doc_id", at(("preference", "task", "semantic", "episodic"), i).alias("mt"), F.col("t").alias("content"), at(("me", "", "张三"), i).alias("subj"), F.when(i % 2 == 0, "Drink-Type").alias("pred"), F.when(i % 7 == 0, "需要完成测试了").alias("obj"))
+    parts = [F.col(c) for c in ("mt", "subj", "pred", "obj", "content")]
+    return rows.select("doc_id", K.memory_key(*parts).alias("memory_key"), K.content_hash(K.embedding_text(*parts), "m", 8, "v1").alias("content_hash"))
+
+
+@query()
+def question_routes(spark: SparkSession, d: str) -> DataFrame:
+    found = _statements(spark, d).select("t").distinct().select("t", G.route(F.col("t")).alias("r"))
+    return found.select("t", "r.complexity", "r.confidence", F.array_join("r.strategies", ",").alias("strategies"), F.array_join("r.reasons", ",").alias("reasons"), "r.language", F.array_join("r.intents", ",").alias("intents"), F.array_join("r.time_scopes", ",").alias("time_scopes"))
+
+
 @query()
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     """The bounded terms of every distinct statement as a query for memories and for notes."""

@@ -231,13 +231,6 @@ def low_quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return S.low_quality(S.cosine_topk(*_vectors(spark, d), 10))
 
 
-def _relevance(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    hits = S.cosine_topk(*_vectors(spark, d), 10)
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return hits, v.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"), F.lit(1.0).alias("gain"))
-
-
 @query(f"""WITH t AS ({_TOPK}), n AS (SELECT a.vec_id AS query_id, count(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1),
     i AS (SELECT query_id, n, (SELECT sum(1 / log2(k + 1)) FROM range(1, least(n, 10) + 1) r(k)) AS ideal FROM n)
     SELECT query_id, {", ".join(f"round(count(*) FILTER (WHERE label = qlabel AND rank <= {k}) / {k}::DOUBLE, 6) AS precision_{k}, round(count(*) FILTER (WHERE label = qlabel AND rank <= {k}) / any_value(n)::DOUBLE, 6) AS recall_{k}, (count(*) FILTER (WHERE label = qlabel AND rank <= {k}) > 0)::INTEGER AS hit_{k}" for k in (1, 3, 5, 10))},
@@ -245,7 +238,11 @@ def _relevance(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     FROM t LEFT JOIN i USING (query_id) GROUP BY 1""")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall and hit at 1, 3, 5, 10, reciprocal rank and nDCG of the exact nearest vectors."""
-    return M.retrieval_scores(*_relevance(spark, d), [1, 3, 5, 10])
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
+    hits = S.cosine_topk(*_vectors(spark, d), 10).join(rows, "id").join(asked, "query_id").withColumn("relevant", F.coalesce(F.col("label") == F.col("wanted"), F.lit(False)))
+    of_label = rows.groupBy(F.col("label").alias("wanted")).agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    return M.class_retrieval_scores(hits, asked.join(of_label, "wanted").select("query_id", "n_relevant"), [1, 3, 5, 10])
 
 
 _SCORED = "CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(tp / (tp + fp)::DOUBLE, 6) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp / (tp + fn)::DOUBLE, 6) END AS recall"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.functions import rules, terms
+from brindle.functions import keys, routes, rules, terms
 from brindle.functions import text as T
 from brindle.operators import hybrid, lifecycle, lists, metrics
 from brindle.streaming import control
@@ -135,3 +135,41 @@ def test_percentiles_of_no_rows(spark):
     rows = spark.createDataFrame([(None, 5.0)], "a double, b double")
     found = metrics.percentile_columns(rows, ["a", "b"], {"p50": 0.5}).first()
     assert found["p50_a"] is None and found["p50_b"] == 5.0
+
+
+@pytest.mark.parametrize(
+    ("question", "complexity", "strategies", "reasons"),
+    [
+        ("", "simple", ["none"], ["empty_query"]),
+        ("比较 A 和 B", "complex", ["decomposition"], ["comparison_or_difference"]),
+        ("不要比较，直接说结论", "simple", ["none"], ["negated_complex_operations"]),
+        ("为什么它失败了", "complex", ["step_back", "rewrite"], ["causal_or_temporal_analysis", "unresolved_reference"]),
+        ("只查询咖啡", "simple", ["none"], ["explicit_single_scope"]),
+        ("那个呢", "uncertain", ["rewrite"], ["unresolved_reference"]),
+        ("其它城市", "simple", ["none"], ["single_clause_single_intent"]),
+        ("项目怎么样", "uncertain", ["rewrite"], ["ambiguous_status_wording"]),
+        ("先查任务；再看笔记", "complex", ["decomposition"], ["multiple_question_clauses"]),
+        ("长" * 51, "uncertain", ["rewrite"], ["long_or_mixed_query"]),
+    ],
+)
+def test_routes(spark, question, complexity, strategies, reasons):
+    found = _value(spark, routes.route(F.lit(question)))
+    assert (found["complexity"], found["strategies"], found["reasons"]) == (complexity, strategies, reasons)
+
+
+def test_ids_and_keys(spark):
+    import uuid
+
+    want = "cand_" + uuid.uuid5(uuid.NAMESPACE_URL, "n1\x1ftask\x1f写报告").hex[:16]
+    assert _value(spark, keys.candidate_id(F.lit("n1"), F.lit("task"), F.lit("我 写报告！"))) == want
+    want = "cand_" + uuid.uuid5(uuid.NAMESPACE_URL, "n1\x1f2\x1ftask\x1f\x1f写报告").hex[:16]
+    assert _value(spark, keys.evidence_id(F.lit("n1"), F.lit(2), F.lit("task"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("写报告"))) == want
+    none = F.lit(None).cast("string")
+    key = lambda kind, subject, predicate, value, content: _value(spark, keys.memory_key(F.lit(kind), subject, predicate, value, F.lit(content)))
+    assert key("preference", none, none, none, "我不喜欢喝咖啡") == key("preference", F.lit("用户"), none, none, "我喜欢喝咖啡") == "preference:用户:咖啡:global"
+    assert key("task", F.lit("me"), none, F.lit("完成报告了"), "x") == "task:user:task:报告"
+    assert key("semantic", none, F.lit("city"), none, "") .startswith("semantic:用户:city:")
+    assert _value(spark, keys.space_id(F.lit("p2p"), F.lit("c"), F.lit("u"))) == "p_u" and _value(spark, keys.space_id(F.lit("group"), F.lit("c"), F.lit("u"))) == "g_c"
+    assert _value(spark, keys.message_text(F.lit('{"text": "a b"}'))) == "a b" and _value(spark, keys.message_text(F.lit("not json"))) == ""
+    assert _value(spark, keys.without_mentions(F.lit("@_1 <at id=2>x</at> hello @_1"), F.array(F.lit("@_1")))) == "hello"
+    assert _value(spark, keys.split_tags(F.lit("a， b、,c"))) == ["a", "b", "c"]
