@@ -128,6 +128,18 @@ ORACLE_SQL: dict[str, str] = {
                sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
                sum(4 + length(role) + 2 + length(body) + 8)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) END AS sh FROM w),
+        k AS MATERIALIZED (SELECT min(r) AS r, min(doc_id) AS low, md5(array_to_string(list_sort(sh), chr(10))) AS h, any_value(sh) AS sh FROM s WHERE len(sh) > 0 GROUP BY md5(array_to_string(list_sort(sh), chr(10)))),
+        e AS MATERIALIZED (SELECT r, len(sh) AS n, unnest(sh) AS g FROM k),
+        p AS MATERIALIZED (SELECT a.r AS x, b.r AS y FROM e a JOIN e b ON a.g = b.g AND a.r < b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        l AS MATERIALIZED (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+        c AS (SELECT r AS x, r AS y FROM k WHERE r IN (SELECT x FROM l) UNION SELECT c.x, l.y FROM c JOIN l ON l.x = c.y),
+        m AS (SELECT c.x AS r, min(k.low) AS component_id FROM c JOIN k ON k.r = c.y GROUP BY 1),
+        n AS (SELECT x AS r, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(component_id, k.low, s.doc_id) AS component_id, coalesce(k.low, s.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links
+        FROM s LEFT JOIN k ON k.h = md5(array_to_string(list_sort(s.sh), chr(10))) AND len(s.sh) > 0 LEFT JOIN m ON m.r = k.r LEFT JOIN n ON n.r = k.r""",
     "op6_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
         w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,

@@ -468,5 +468,23 @@ def test_pipeline_stages(spark, sf_dir):
         assert kept.columns == docs.columns and kept.count() <= before, name
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and len({seen[i] for i in ids}) == len(ids)
-    rows = [(i, seen[i]) for i in ids]
-    assert all(i == c for i, (_, c) in _components(rows, 5, 80).items())
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert all(i == c for i, (_, c) in _components(list(texts.items()), 5, 80).items())
+    # The mix of what is left, against the SQL of the operator on these rows.
+    import duckdb
+
+    duck = duckdb.connect()
+    documents = kept.select("doc_id", "text", "lang", "source").toPandas()
+    duck.register("documents", documents)
+    want = Counter(r[0] for r in duck.sql(f"SELECT doc_id FROM ({ORACLE_SQL['op10_mixing']})").fetchall())
+    mixed = corpus_pipeline.STAGES[3][1](spark, kept, sf_dir).cache()
+    assert mixed.columns == docs.columns and Counter(r["doc_id"] for r in mixed.collect()) == want and len(want) > 10
+    # Tokens: the best segmentation of each text, decoded to the text.
+    coded = corpus_pipeline.STAGES[4][1](spark, mixed, sf_dir)
+    assert coded.count() == mixed.count() and "text" not in coded.columns
+    back = {r["doc_id"]: (r["text"], r["n_tokens"], r["token_ids"]) for r in sentence_pieces.decode(coded, PIECE_MODEL).collect()}
+    assert {i: t for i, (t, _, _) in back.items()} == {i: texts[i] or "" for i in want}
+    pieces = sentence_pieces._Pieces(sentence_pieces.piece_table(PIECE_MODEL))
+    known = {b.decode(): i for i, b in enumerate(pieces.bytes) if pieces.scores[i] < 0}
+    for i in sorted(want)[:15]:
+        assert back[i][2] == _best_segmentation(pieces, known, " " + texts[i]) and back[i][1] == len(back[i][2])
