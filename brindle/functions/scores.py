@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 # Weights of retrieval channels in reciprocal rank fusion, for memories and for notes.
 MEMORY_CHANNELS = {"exact": 1.60, "structured": 1.35, "family": 1.20, "fts": 1.00, "vector": 0.95, "trigram": 0.60}
 NOTE_CHANNELS = {"exact": 1.55, "fts": 1.00, "vector": 0.95, "lexical": 0.85, "trigram": 0.60}
+# The constant of reciprocal ranks, and the weights of the policy score: topic, intent,
+# importance, recency, confidence, accesses.
 RRF_K = 60
+POLICY_WEIGHTS = (0.72, 0.08, 0.07, 0.05, 0.05, 0.03)
 
 
 def age_days(ts: Column, asof: Column) -> Column:
@@ -28,7 +31,8 @@ def episodic_recency(ts: Column, asof: Column) -> Column:
 
 def policy_score(topic: Column, intent: Column, importance: Column, recent: Column, confidence: Column, accesses: Column, factor: Column) -> Column:
     """The weighted policy score, times a status factor, to 4 places; 0 without topic and intent."""
-    final = 0.72 * topic + 0.08 * intent + 0.07 * importance + 0.05 * recent + 0.05 * confidence + 0.03 * F.least(accesses / 10, F.lit(1.0))
+    parts = (topic, intent, importance, recent, confidence, F.least(accesses / 10, F.lit(1.0)))
+    final = sum((w * p for w, p in zip(POLICY_WEIGHTS[1:], parts[1:])), POLICY_WEIGHTS[0] * parts[0])
     return F.when((topic <= 0) & (intent <= 0), 0.0).otherwise(F.round(final * factor, 4))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The relations, actions and reasons that the rules of `relation` give, in their order.
 RELATION_COLUMNS = ("relation", "action", "reason", "approved")
 
 

@@ -173,3 +173,31 @@ def test_ids_and_keys(spark):
     assert _value(spark, keys.message_text(F.lit('{"text": "a b"}'))) == "a b" and _value(spark, keys.message_text(F.lit("not json"))) == ""
     assert _value(spark, keys.without_mentions(F.lit("@_1 <at id=2>x</at> hello @_1"), F.array(F.lit("@_1")))) == "hello"
     assert _value(spark, keys.split_tags(F.lit("a， b、,c"))) == ["a", "b", "c"]
+
+
+def test_episodes_merge_in_order(spark):
+    import datetime as dt
+
+    from brindle.operators import matching
+
+    schema = "space string, id int, memory_type string, content string, memory_key string, subject string, predicate string, object_value string, status string, task_status string, importance double, confidence double, access_count int, polarity string, updated_at timestamp"
+    texts = {1: "昨天参加了发布会", 2: "昨天参加了发布会", 3: "昨天参加了发布会", 4: "去上海出差"}
+    rows = [("s", i, "episodic", t, None, None, None, None, "active", None, 0.5, 0.8, 0, None, dt.datetime(2024, 1, i)) for i, t in texts.items()]
+    found = matching.episode_merges(spark.createDataFrame(rows, schema), F.to_timestamp(F.lit("2024-01-05"))).collect()
+    assert {(r["keeper_id"], r["merged_id"]) for r in found} == {(3, 2), (3, 1)}
+
+
+def test_tasks_match_by_kind(spark):
+    from brindle.operators import matching
+
+    columns = "memory_key string, subject string, predicate string, object_value string, content string, canonical_topic string, operation string, scope string"
+    candidate = [("s", 1, "k1", "我", "季度报告", None, "写季度报告", None, "修改", None)]
+    rows = [
+        ("s", i, "active", "task", i, *r)
+        for i, r in enumerate([
+            ("k1", "他", "x", None, "y", None, None, "global"), ("k2", "我", "季度报告", None, "y", None, "修改", None), ("k3", "我", "报告", None, "y", None, "执行", None), ("k4", "我", "报告季度版", None, "y", None, None, None), ("k5", "我", "报告", None, "y", None, None, "team"),
+        ])
+    ]
+    found = matching.task_matches(spark.createDataFrame(candidate, "space string, candidate_id int, " + columns), spark.createDataFrame(rows, "space string, id int, status string, memory_type string, updated_at int, " + columns))
+    # The owner's words are no part of a key, so all subjects but one are equal.
+    assert [(r["id"], r["kind"]) for r in found.orderBy("rank").collect()] == [(0, "exact_key"), (1, "structured_identity"), (2, "identity_compatible")]
