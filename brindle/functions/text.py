@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -97,18 +98,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def overlap_score(query: Column, content: Column) -> Column:
     """1 for equal keys, 0.82 to 1 if one contains the other, else the share of the query's names
     and character grams that the content has."""
-    topic_q, topic_c = topic_text(query), topic_text(content)
-    q, c = normalize_content(topic_q), normalize_content(topic_c)
-    short, long = F.least(F.length(q), F.length(c)), F.greatest(F.length(q), F.length(c))
-    inside = (short >= 2) & (F.contains(q, c) | F.contains(c, q))
     share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
-    nq, gq = named_tokens(topic_q), cjk_grams(topic_q)
-    names, grams = share(nq, named_tokens(topic_c)), share(gq, cjk_grams(topic_c))
-    mixed = F.when((F.size(nq) > 0) & (F.size(gq) > 0), 0.35 * names + 0.65 * grams).otherwise(F.when(F.size(nq) > 0, names).otherwise(grams))
-    return F.when((q == "") | (c == ""), 0.0).when(q == c, 1.0).when(inside, F.least(F.lit(1.0), 0.82 + 0.18 * short / long)).otherwise(F.round(mixed, 4))
+
+    def parts(t: Column) -> Column:
+        found = {"key": normalize_content, "names": named_tokens, "grams": cjk_grams}
+        return F.struct(*[f(t[side]).alias(f"{name}_{side}") for side in ("q", "c") for name, f in found.items()])
+
+    def score(p: Column) -> Column:
+        q, c = p["key_q"], p["key_c"]
+        short, long = F.least(F.length(q), F.length(c)), F.greatest(F.length(q), F.length(c))
+        inside = (short >= 2) & (F.contains(q, c) | F.contains(c, q))
+        names, grams = share(p["names_q"], p["names_c"]), share(p["grams_q"], p["grams_c"])
+        mixed = F.when((F.size(p["names_q"]) > 0) & (F.size(p["grams_q"]) > 0), 0.35 * names + 0.65 * grams).otherwise(F.when(F.size(p["names_q"]) > 0, names).otherwise(grams))
+        return F.when((q == "") | (c == ""), 0.0).when(q == c, 1.0).when(inside, F.least(F.lit(1.0), 0.82 + 0.18 * short / long)).otherwise(F.round(mixed, 4))
+
+    return let(F.struct(topic_text(query).alias("q"), topic_text(content).alias("c")), lambda t: let(parts(t), score))
 
 
 def clauses(text: Column, most: int | None = MAX_CLAUSES) -> Column:

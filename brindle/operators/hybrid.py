@@ -101,18 +101,23 @@ def memory_score(query: Column, asof: Column) -> Column:
     memory of another type than the question expects, not active, or done, counts less.
     """
     m = F.col
-    topic = F.greatest(*[T.overlap_score(query, F.coalesce(m(c), F.lit(""))) for c in ("content", "object_value", "subject", "predicate", "memory_key")])
-    expected = rules.expected_type(query)
-    intent = F.when(expected == m("memory_type"), 1.0).otherwise(0.0)
     is_preference = m("memory_type") == "preference"
-    wanted, held = rules.query_polarity(query), F.coalesce(m("polarity"), rules.polarity(m("content")))
-    against = is_preference & (((wanted == "positive") & (held == "negative")) | ((wanted == "negative") & (held == "positive")))
-    topic = F.when(is_preference & wanted.isin("positive", "negative") & (wanted == held) & (intent > 0), F.greatest(topic, F.lit(0.45))).otherwise(topic)
-    mistyped = F.when(expected.isNotNull() & (m("memory_type") != expected), 0.35).otherwise(1.0)
-    factor = F.when(m("status") == "conflicted", 0.5).when(m("status") != "active", 0.2).otherwise(mistyped)
+    topics = F.array(*[T.overlap_score(query, F.coalesce(m(c), F.lit(""))) for c in ("content", "object_value", "subject", "predicate", "memory_key")])
+    known = F.struct(
+        F.array_max(topics).alias("topic"), rules.expected_type(query).alias("expected"), F.when(is_preference, rules.query_polarity(query)).alias("wanted"),
+        F.when(is_preference, F.coalesce(m("polarity"), rules.polarity(m("content")))).alias("held"), recency(m("updated_at"), asof).alias("recent"),
+    )
     done = (m("memory_type") == "task") & (m("task_status") == "done") & rules.any_of(query, rules.OPEN_TASK_WORDS) & ~rules.any_of(query, rules.CLOSED_TASK_WORDS)
-    factor = factor * F.when(F.coalesce(done, F.lit(False)), 0.7).otherwise(1.0)
-    return F.when(F.coalesce(against, F.lit(False)), 0.0).otherwise(policy_score(topic, intent, m("importance"), recency(m("updated_at"), asof), m("confidence"), m("access_count"), factor))
+
+    def score(k: Column) -> Column:
+        intent = F.when(k["expected"] == m("memory_type"), 1.0).otherwise(0.0)
+        against = ((k["wanted"] == "positive") & (k["held"] == "negative")) | ((k["wanted"] == "negative") & (k["held"] == "positive"))
+        topic = F.when(k["wanted"].isin("positive", "negative") & (k["wanted"] == k["held"]) & (intent > 0), F.greatest(k["topic"], F.lit(0.45))).otherwise(k["topic"])
+        mistyped = F.when(k["expected"].isNotNull() & (m("memory_type") != k["expected"]), 0.35).otherwise(1.0)
+        factor = F.when(m("status") == "conflicted", 0.5).when(m("status") != "active", 0.2).otherwise(mistyped) * F.when(F.coalesce(done, F.lit(False)), 0.7).otherwise(1.0)
+        return F.when(F.coalesce(against, F.lit(False)), 0.0).otherwise(policy_score(topic, intent, m("importance"), k["recent"], m("confidence"), m("access_count"), factor))
+
+    return T.let(known, score)
 
 
 def search_memories(queries: DataFrame, memories: DataFrame, asof: Column, limit: int = 10, min_score: float | None = MIN_SCORE) -> DataFrame:

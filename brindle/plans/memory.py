@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle.operators import hybrid as H
 from brindle.operators import lists as L
 from brindle.plans.relational import SENSITIVE_SQL
-from brindle.plans.rules import norm_sql
+from brindle.plans.rules import norm_sql, overlap_sql
 from brindle.sources.tables import table
 
 QUERIES: dict = {}
@@ -73,13 +73,25 @@ def memory_channels(spark: SparkSession, d: str) -> DataFrame:
     return H.memory_hits(_asked(spark), memories(spark, d)).select("query_id", "id", "rrf", "channels", F.coalesce("exact_rank", F.lit(0)).alias("exact_rank"))
 
 
-@query()
+_FIELDS = "SELECT query_id, query, id, unnest([content, subject, predicate, memory_key]) AS field FROM"
+_AGE = f"greatest(0, (epoch_us(TIMESTAMP '{ASOF}') - epoch_us(updated_at)) / 86400000000.0::DOUBLE)"
+_RECENT = f"CASE WHEN {_AGE} <= 7 THEN 1.0 WHEN {_AGE} >= 365 THEN 0.1 ELSE greatest(0.1, 1 - {_AGE} / 365) END::DOUBLE"
+_POLICY = f"""CASE WHEN topic <= 0 THEN 0 ELSE round((0.72::DOUBLE * topic + 0.08::DOUBLE * 0 + 0.07::DOUBLE * importance + 0.05::DOUBLE * {_RECENT} + 0.05::DOUBLE * confidence + 0.03::DOUBLE * least(access_count / 10.0::DOUBLE, 1.0))
+    * CASE status WHEN 'active' THEN 1.0 WHEN 'conflicted' THEN 0.5 ELSE 0.2 END::DOUBLE, 4) END::DOUBLE"""
+
+
+@query(f"""WITH {_PAIRS}, x AS (SELECT h.*, query, m.* EXCLUDE (id) FROM h JOIN m USING (id) JOIN q USING (query_id)), y AS ({_FIELDS} x), {overlap_sql("y", "query", "field")}, z AS (SELECT query_id, id, max(overlap) AS topic FROM ov GROUP BY 1, 2),
+    b AS (SELECT x.*, 0.52::DOUBLE * {_POLICY} + 0.48::DOUBLE * least(1.0, rrf / max(rrf) OVER (PARTITION BY query_id) + 0.04::DOUBLE * greatest(0, channels - 1)) AS blend FROM x JOIN z USING (query_id, id)),
+    g AS (SELECT *, round(least(1.0, CASE WHEN exact_rank IS NOT NULL THEN greatest(blend, 0.98::DOUBLE - 0.005::DOUBLE * greatest(0, exact_rank - 1)) ELSE blend END), 4)::DOUBLE AS final FROM b)
+    SELECT query_id, id, final, row_number() OVER (PARTITION BY query_id ORDER BY exact_rank IS NOT NULL DESC, final DESC, rrf DESC, updated_at DESC, id DESC)::INTEGER AS rank FROM g WHERE final >= 0.45
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY exact_rank IS NOT NULL DESC, final DESC, rrf DESC, updated_at DESC, id DESC) <= 10""")
 def memory_search(spark: SparkSession, d: str) -> DataFrame:
     """Fusion, policy re-rank and exact hits first, over active and other memories."""
     return H.search_memories(_asked(spark), memories(spark, d), F.to_timestamp(F.lit(ASOF)), 10)
 
 
-@query()
+@query(f"""WITH {_M}, {_Q}, x AS (SELECT query_id, query, n.* FROM (SELECT * FROM m ORDER BY updated_at DESC, id DESC LIMIT 100) n, q), y AS ({_FIELDS} x), {overlap_sql("y", "query", "field")}, z AS (SELECT query_id, id, max(overlap) AS topic FROM ov GROUP BY 1, 2),
+    g AS (SELECT x.*, {_POLICY} AS score FROM x JOIN z USING (query_id, id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_at DESC, id DESC)::INTEGER AS rank FROM g WHERE score >= 0.05) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def memory_score_linear(spark: SparkSession, d: str) -> DataFrame:
     """The policy score alone over the hundred newest memories."""
     return H.score_linear(_asked(spark), memories(spark, d), F.to_timestamp(F.lit(ASOF)), 10, min_score=0.05)

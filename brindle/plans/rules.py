@@ -128,6 +128,15 @@ _GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all({x}, '[\\x{{4e
 _SHARE = "CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b})) / len({a})::DOUBLE ELSE 0 END"
 
 
+def overlap_sql(pairs: str, q: str, t: str) -> str:
+    """Common table expressions that end in `ov`: the rows of `pairs` with the overlap of two columns."""
+    return f"""ov1 AS (SELECT *, {topic_sql(q)} AS tq, {topic_sql(t)} AS tc FROM {pairs}),
+    ov2 AS (SELECT *, {norm_sql("tq")} AS nq, {norm_sql("tc")} AS nc, {_NAMED.format(x="tq")} AS aq, {_NAMED.format(x="tc")} AS ac, {_GRAMS.format(x="tq")} AS gq, {_GRAMS.format(x="tc")} AS gc FROM ov1),
+    ov3 AS (SELECT *, {_SHARE.format(a="aq", b="ac")} AS sn, {_SHARE.format(a="gq", b="gc")} AS sg, least(length(nq), length(nc)) AS la, greatest(length(nq), length(nc)) AS lb FROM ov2),
+    ov AS (SELECT *, CASE WHEN nq = '' OR nc = '' THEN 0 WHEN nq = nc THEN 1 WHEN la >= 2 AND (contains(nq, nc) OR contains(nc, nq)) THEN least(1.0::DOUBLE, 0.82::DOUBLE + 0.18::DOUBLE * la / lb::DOUBLE)
+      WHEN len(aq) > 0 AND len(gq) > 0 THEN round(0.35::DOUBLE * sn + 0.65::DOUBLE * sg, 4) WHEN len(aq) > 0 THEN round(sn, 4) ELSE round(sg, 4) END::DOUBLE AS overlap FROM ov3)"""
+
+
 @query(f"""WITH {_S}, q AS (SELECT i, {_list(STATEMENTS)}[i] AS q FROM range(1, {len(STATEMENTS) + 1}) r(i)), p AS (SELECT DISTINCT i, q, t FROM q, (SELECT DISTINCT t FROM s)),
     x AS (SELECT *, {topic_sql("q")} AS tq, {topic_sql("t")} AS tc FROM p), y AS (SELECT *, {norm_sql("tq")} AS nq, {norm_sql("tc")} AS nc, {_NAMED.format(x="tq")} AS aq, {_NAMED.format(x="tc")} AS ac, {_GRAMS.format(x="tq")} AS gq, {_GRAMS.format(x="tc")} AS gc FROM x),
     z AS (SELECT *, {_SHARE.format(a="aq", b="ac")} AS sn, {_SHARE.format(a="gq", b="gc")} AS sg, least(length(nq), length(nc)) AS a, greatest(length(nq), length(nc)) AS b FROM y)
