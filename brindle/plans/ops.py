@@ -186,9 +186,13 @@ def lock_waits(spark: SparkSession, d: str) -> DataFrame:
     return order_statistics(rows, ["k"], "wait", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "nearest").select("p50", "p95", "p99")
 
 
-@query("""SELECT event_type AS statement, count(*) AS n, count(*) FILTER (WHERE event_id % 50 = 0) AS failed, round(sum(value::DECIMAL(18, 6))::DOUBLE, 3) AS total FROM events GROUP BY 1""")
+@query("""WITH v AS (SELECT event_type AS statement, list_sort(list(round(value, 3))) AS v, count(*) AS n, count(*) FILTER (WHERE event_id % 50 = 0) AS failed, round(sum(value::DECIMAL(18, 6))::DOUBLE, 3) AS total FROM events WHERE value IS NOT NULL GROUP BY 1)
+    SELECT statement, n, failed, total, v[(round_even((n - 1) * 0.5, 0))::BIGINT + 1] AS p50, v[(round_even((n - 1) * 0.95, 0))::BIGINT + 1] AS p95, v[(round_even((n - 1) * 0.99, 0))::BIGINT + 1] AS p99 FROM v""")
 def statement_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("statement")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_id") % 50 == 0).alias("failed"), F.round(F.sum(F.col("value").cast("decimal(18,6)")).cast("double"), 3).alias("total"))
+    rows = table(spark, d, "events").where("value IS NOT NULL").select(F.col("event_type").alias("statement"), (F.col("event_id") % 50 == 0).alias("bad"), "value")
+    counts = rows.groupBy("statement").agg(F.count_if("bad").alias("failed"), F.round(F.sum(F.col("value").cast("decimal(18,6)")).cast("double"), 3).alias("total"))
+    spread = order_statistics(rows.withColumn("ms", F.round("value", 3)), ["statement"], "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "nearest")
+    return spread.join(counts, "statement")
 
 
 @query(f"""WITH {_T}, c AS (SELECT count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status IN ('blocked', 'queued', 'running', 'retry')) AS pending, count(*) FILTER (WHERE status IN ('cancelled', 'dead_letter')) AS bad, count(*) AS n FROM t),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions import facets as A
 from brindle.functions import keys as K
 from brindle.functions import routes as G
 from brindle.functions import rules as R
@@ -195,6 +196,20 @@ def identity_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", K.memory_key(*parts).alias("memory_key"), K.content_hash(K.embedding_text(*parts), "m", 8, "v1").alias("content_hash"))
 
 
+def _contains_case(rules) -> str:
+    return "CASE " + " ".join(f"WHEN {any_sql('t', (words,) if isinstance(words, str) else words)} THEN '{name}'" for words, name in rules) + " END"
+
+
+_OPS = [(w, n) for w, n in sorted(A.OPERATIONS.items(), key=lambda x: -len(x[0])) if w not in A.ENDED] + [("完成", "执行")]
+
+
+@query(f"""WITH {_S} SELECT doc_id, coalesce({_contains_case(A.CLOSING)}, '') AS closure, coalesce({_contains_case(_OPS)}, '') AS operation, coalesce({_contains_case(A.FACTS)}, '') AS attribute FROM s""")
+def task_facets(spark: SparkSession, d: str) -> DataFrame:
+    none, t = F.lit(None).cast("string"), F.col("t")
+    found = {"closure": A.closure_reason(none, t), "operation": A.operation(none, t), "attribute": A.semantic_attribute(none, t)}
+    return _statements(spark, d).select("doc_id", *[F.coalesce(c, F.lit("")).alias(n) for n, c in found.items()])
+
+
 @query()
 def question_routes(spark: SparkSession, d: str) -> DataFrame:
     found = _statements(spark, d).select("t").distinct().select("t", G.route(F.col("t")).alias("r"))

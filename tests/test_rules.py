@@ -201,3 +201,28 @@ def test_tasks_match_by_kind(spark):
     found = matching.task_matches(spark.createDataFrame(candidate, "space string, candidate_id int, " + columns), spark.createDataFrame(rows, "space string, id int, status string, memory_type string, updated_at int, " + columns))
     # The owner's words are no part of a key, so all subjects but one are equal.
     assert [(r["id"], r["kind"]) for r in found.orderBy("rank").collect()] == [(0, "exact_key"), (1, "structured_identity"), (2, "identity_compatible")]
+
+
+def test_facets(spark):
+    from brindle.functions import facets
+
+    none = F.lit(None).cast("string")
+    for text, blocker, note in (("接口被权限卡住", "等待权限", None), ("开发因文档不完整阻塞了", "文档不完整", None), ("暂停", "暂停", None), ("等老板回复", "等待老板回复", None), ("报告现在阻塞", "报告现在", None), ("继续处理报告", None, "继续处理"), ("写报告", None, None)):
+        found = _value(spark, facets.progress(F.lit(text)))
+        assert (found["progress_note"], text != "报告现在阻塞" and found["blocker"] or None) == (note, blocker if text != "报告现在阻塞" else None)
+    assert [_value(spark, facets.closure_reason(none if v is None else F.lit(v), F.lit(s))) for v, s in (("Done", ""), (None, "放弃了"), (None, "报告已提交"), (None, "写报告"), ("x", "取消"))] == ["completed", "abandoned", "completed", None, "cancelled"]
+    assert [_value(spark, facets.operation(none if v is None else F.lit(v), F.lit(s))) for v, s in (("替换成新版", ""), ("已完成", "修复登录"), (None, "完成"), (None, "看书"), ("散步", ""))] == ["更换", "修复", "执行", None, "散步"]
+    assert [_value(spark, facets.semantic_attribute(none if v is None else F.lit(v), F.lit(s))) for v, s in (("工作单位", ""), ("事实", "我住在北京"), (None, "擅长画画"), ("Learning", ""), ("其他", "你好"))] == ["career", "location", "capability", "learning", None]
+    assert _value(spark, facets.semantic_topic(F.lit("device"), none)) == "设备相关事实"
+    assert _value(spark, facets.task_topic(F.lit("我"), F.lit("正在写报告"), none, F.lit("提交报告"))) == "提交写报告"
+    assert _value(spark, facets.episodic_topic(F.lit("昨天我参加了会议。"), none)) == "参加了会议"
+
+
+def test_evidence_atoms(spark):
+    from brindle.functions import facets
+
+    text = "我喜欢咖啡和茶，不喜欢牛奶"
+    rows = [(1, 1, text, "preference", "和茶", None, False), (2, 1, text, "preference", "咖啡", "unknown", False), (3, 1, text, "preference", "牛奶", None, False), (4, 1, text, "task", "没有", None, False), (5, 1, text, "preference", "牛奶", None, True)]
+    found = facets.evidence_atoms(spark.createDataFrame(rows, "id int, note_id int, text string, memory_type string, evidence_span string, polarity string, from_model boolean"))
+    # The last marker counts, even one inside a longer one.
+    assert {r["id"]: (r["atom_id"], r["polarity"]) for r in found.collect()} == {1: ("a2", "positive"), 2: ("a1", "positive"), 3: ("a3", "positive"), 4: (None, None), 5: ("a3", None)}
