@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from brindle.llm.common import shared_table, ship_by_value
 from brindle.llm.hashing import mix, text_bytes, word_hashes, word_spans
 
-HEAD, BUCKETS = 1 << 15, 1 << 15
+HEAD, BUCKETS = 1 << 16, 1 << 14
 STATES = 8
 ROUNDS = 2
-SAMPLE, PIECE, SAMPLE_ROUNDS = 600, 4096, 12
+SAMPLE, PIECE, STARTS, START_ROUNDS, SAMPLE_ROUNDS = 600, 4096, 6, 4, 10
 #: Bytes of text, and words, handled at a time; words of one sequence in training.
 BLOCK, WORDS, SEGMENT = 1 << 21, 1 << 19, 1 << 18
 #: Words that a task of a Baum-Welch round has at least, so that the counts it emits stay small beside them.
@@ -205,28 +205,43 @@ def _sequences(column: pa.Array, end: int, most: int | None) -> Iterator[tuple[i
         at = to
 
 
-def _updated(first: np.ndarray, moves: np.ndarray, symbols: np.ndarray, overall: np.ndarray) -> Hmm:
+def _updated(first: np.ndarray, moves: np.ndarray, symbols: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> Hmm:
+    """The model of some expected counts.  `prior` is the overall distribution of symbols and which of
+    them are buckets.  Buckets are smoothed as a whole, as one symbol would be; how a state divides
+    that among them is half its own counts, half the overall distribution."""
+    overall, bucket = prior
     emit = symbols + PRIOR * overall[:, None]
+    whole, own = emit[bucket].sum(axis=0), symbols[bucket]
+    share = overall[bucket][:, None] / max(overall[bucket].sum(), 1e-300)
+    emit[bucket] = whole * (0.5 * np.where(own.sum(axis=0) > 0, own / np.maximum(own.sum(axis=0), 1e-300), share) + 0.5 * share)
     return Hmm((first + 1) / (first + 1).sum(), (moves + 0.1) / (moves + 0.1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _first_model(sample: list[np.ndarray], overall: np.ndarray, end: int, states: int) -> Hmm:
-    """A model from a bounded sample: states begin as single texts, then a few rounds."""
+def _first_model(sample: list[np.ndarray], prior: tuple[np.ndarray, np.ndarray], end: int, states: int) -> Hmm:
+    """A model from a bounded sample: states begin as single pieces; of several such starts the one that
+    is likeliest after a few rounds goes on."""
     rng = np.random.default_rng(11)
-    symbols = np.zeros((len(overall), states))
-    for s in range(states):
-        if sample:
+    if not sample:
+        return _updated(np.zeros(states), np.eye(states) * 5 + 0.1, np.zeros((len(prior[0]), states)), prior)
+    flat = np.concatenate([np.append(x, end) for x in sample])
+    lanes = _Lanes(flat, np.concatenate([[0], np.cumsum([len(x) + 1 for x in sample])]))
+    best, reached = None, -np.inf
+    for _ in range(STARTS):
+        symbols = np.zeros((len(prior[0]), states))
+        for s in range(states):
             np.add.at(symbols[:, s], sample[int(rng.integers(len(sample)))], 1.0)
-    model = _updated(np.zeros(states), np.eye(states) * 5 + 0.1, symbols, overall)
-    if sample:
-        flat = np.concatenate([np.append(x, end) for x in sample])
-        lanes = _Lanes(flat, np.concatenate([[0], np.cumsum([len(x) + 1 for x in sample])]))
-        for _ in range(SAMPLE_ROUNDS):
-            model = _updated(*_expected(model, lanes), overall)
-    return model
-
-
-def _round(encoded: DataFrame, model: Hmm, overall: np.ndarray, n_tokens: int) -> Hmm:
+        model = _updated(np.zeros(states), np.eye(states) * 5 + 0.1, symbols, prior)
+        for _ in range(START_ROUNDS):
+            model = _updated(*_expected(model, lanes), prior)
+        likely = _forward(model, lanes, keep=False)[0].sum()
+        if likely > reached:
+            best, reached = model, likely
+    for _ in range(SAMPLE_ROUNDS):
+        best = _updated(*_expected(best, lanes), prior)
+    return best
+
+
+def _round(encoded: DataFrame, model: Hmm, prior: tuple[np.ndarray, np.ndarray], n_tokens: int) -> Hmm:
     """One Baum-Welch round over all training rows."""
     shared = encoded.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple: workers need not know its class
     k, size = model.emit.shape[1], len(model.emit)
@@ -248,12 +263,12 @@ def _round(encoded: DataFrame, model: Hmm, overall: np.ndarray, n_tokens: int) -
     got = rows.groupBy("place").agg(F.sum("x").alias("x")).toArrow()
     flat = np.zeros(size * k + k * k + k)
     flat[got["place"].to_numpy()] = got["x"].to_numpy()
-    return _updated(flat[size * k + k * k :], flat[size * k : size * k + k * k].reshape(k, k), flat[: size * k].reshape(size, k), overall)
+    return _updated(flat[size * k + k * k :], flat[size * k : size * k + k * k].reshape(k, k), flat[: size * k].reshape(size, k), prior)
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
     overall = vocab.counts + np.where(vocab.rest > 0, vocab.rest, 1.0)
-    overall /= overall.sum()
+    prior = overall / overall.sum(), vocab.rest > 0
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,9 +281,9 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
 
     picked = encoded.where("training").select("symbols").mapInArrow(pieces, "hash bigint, symbols array<int>").orderBy("hash", "symbols").limit(SAMPLE).toArrow()
     sample = [np.array(x, dtype=np.int64) for x in picked["symbols"].to_pylist()]
-    model = _first_model(sample, overall, len(overall) - 1, states)
+    model = _first_model(sample, prior, len(overall) - 1, states)
     for _ in range(rounds):
-        model = _round(encoded, model, overall, vocab.n_tokens)
+        model = _round(encoded, model, prior, vocab.n_tokens)
     return model
 
 
