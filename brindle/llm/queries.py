@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import crc_mod, table
+from brindle.llm.byte_pairs import decode as decode_pairs
+from brindle.llm.byte_pairs import encode as encode_pairs
+from brindle.llm.centroids import cluster
 from brindle.llm.chat_format import format_chats, read_back
 from brindle.llm.exact_dedup import exact_groups
 from brindle.llm.jaccard_join import jaccard_groups
 from brindle.llm.language_id import identify, train
 from brindle.llm.lm_scoring import score as lm_score
 from brindle.llm.mixing import Targets, mix
+from brindle.llm.prefix_trie import prefix_trie
 from brindle.llm.quality_model import fit, labelled_sample, score
 from brindle.llm.quality_rules import judged
 from brindle.llm.sentence_pieces import encode
@@ -102,6 +106,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=16, dims=64, scale=64, rounds=3)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the bytes that they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, packed=True)
+    coded = coded.select("doc_id", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"))
+    return decode_pairs(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_model": op2_quality_model,
@@ -113,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 
 ORACLE_SQL: dict[str, str] = {
