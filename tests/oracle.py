@@ -17,7 +17,8 @@ def connect(sf_dir):
 def _cell(value):
     if value is None or (not isinstance(value, (list, tuple, dict)) and not hasattr(value, "shape") and pd.isna(value)):
         return "NULL"
-    return repr(float(value)) if isinstance(value, float) else str(value)
+    # A column of integers with nulls is one of floats in pandas, of nullable integers in DuckDB's frames.
+    return str(int(value)) if isinstance(value, float) and value.is_integer() else repr(float(value)) if isinstance(value, float) else str(value)
 
 
 def rows(frame):
