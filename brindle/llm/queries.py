@@ -223,6 +223,34 @@ ORACLE_SQL: dict[str, str] = {
               FROM r JOIN s3 ON r.domain = s3.domain AND r.lang = s3.lang AND r.source = s3.source),
         p AS (SELECT *, whole + CASE WHEN sum(t) OVER (PARTITION BY domain, lang, source ORDER BY hash) <= rest THEN 1 ELSE 0 END AS times FROM h)
         SELECT doc_id, domain, lang, source, unnest(range(1, times + 1))::INTEGER AS epoch, t AS n_tokens, leaf_budget FROM p WHERE times > 0""",
+    "op11_centroid_clustering": """
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept) WHERE c < 16),
+""" + "".join(f"""
+        a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d * 16 + c) AS m
+                              FROM (SELECT r, vec_id, k.v AS v, c, list_sum(list_transform(list_zip(k.v, o.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept k, c{i} o) GROUP BY r),
+        s{i} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT m % 16 AS c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{i}) GROUP BY c, i),
+        c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(u.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c) u USING (c)),""" for i in range(4)) + """
+        f AS (SELECT vec_id, m % 16 AS c, (m // 16)::BIGINT AS distance FROM a3)
+        SELECT vec_id, f.c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY f.c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+        FROM f JOIN c3 ON c3.c = f.c""",
+    "op12_prefix_trie": r"""
+        WITH tab AS MATERIALIZED (SELECT list(list_reduce(range(4), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS tab FROM range(16) r(i)),
+        t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, sha256(length(role) || ':' || role || text) AS letter, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t),
+        own AS MATERIALIZED (SELECT conv_id, list(letter ORDER BY i) AS ls, list(w ORDER BY i) AS ws, hex(encode(conv_id::VARCHAR)) AS x FROM l GROUP BY conv_id),
+        hd AS (SELECT conv_id, ls, ws, conv_id - conv_id % 20 AS base,
+                      xor(list_reduce(list_transform(range(length(x)), lambda i: ('0x' || substr(x, i + 2 - 2 * (i % 2), 1))::BIGINT), lambda s, b: xor(s // 16, tab[xor(s % 16, b) + 1]), 4294967295::BIGINT), 4294967295) % 4 AS h FROM own, tab),
+        reb AS MATERIALIZED (SELECT a.conv_id, list_concat(coalesce(b.ls[1:a.h], []), a.ls[a.h + 1:]) AS ls, list_concat(coalesce(b.ws[1:a.h], []), a.ws[a.h + 1:]) AS ws FROM hd a LEFT JOIN own b ON b.conv_id = a.base),
+        pf AS MATERIALIZED (SELECT conv_id, d, md5(array_to_string(ls[1:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(ls[1:d - 1], ',')) END AS pk, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(ls) AS e
+                            FROM (SELECT *, unnest(range(0, len(ls) + 1)) AS d FROM reb)),
+        nd AS MATERIALIZED (SELECT d, k, any_value(pk) AS pk, min(conv_id) AS low, count(*) AS n, (count(*) - 1) * any_value(w) AS saved, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE e), '') AS ends FROM pf GROUP BY d, k),
+        ch AS (SELECT d - 1 AS d, pk AS k, count(*) AS c FROM nd WHERE d > 0 GROUP BY 1, 2),
+        lf AS (SELECT nd.*, coalesce(c, 0) AS c FROM nd LEFT JOIN ch USING (d, k)),
+        up AS (SELECT pf.d, pf.k, sum((c = 0)::INT)::BIGINT AS leaves, sum(saved)::BIGINT AS saved FROM lf JOIN pf ON pf.conv_id = lf.low AND pf.d <= lf.d GROUP BY 1, 2)
+        SELECT lf.low AS conv_id, lf.d AS depth, p.low AS parent_conv_id, lf.n AS n_convs, lf.c AS n_children, up.leaves AS n_leaves, up.saved AS saved_tokens, sha256(lf.ends) AS ends_sha256
+        FROM lf JOIN up USING (d, k) LEFT JOIN nd p ON p.k = lf.pk AND p.d = lf.d - 1""",
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         r AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
