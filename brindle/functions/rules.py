@@ -188,6 +188,13 @@ def identifiers_compatible(left: Column, right: Column) -> Column:
     return (F.size(a) == 0) | (F.size(b) == 0) | (a == b)
 
 
+def _by_names(value: Column, names: dict[str, str]) -> Column:
+    found = F.lit(None).cast("string")
+    for name, to in names.items():
+        found = F.when(value == name, F.lit(to)).otherwise(found)
+    return found
+
+
 def _by_rules(text: Column, rules: tuple) -> Column:
     found = F.lit(None).cast("string")
     for markers, also, state in reversed(rules):

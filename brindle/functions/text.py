@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -130,6 +131,27 @@ def clauses(text: Column, most: int | None = MAX_CLAUSES) -> Column:
     return kept if most is None else F.slice(kept, 1, most)
 
 
+def mentions(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text has one of many words: one pattern, where a test for each would outgrow a compiled method."""
+    return F.coalesce(text, F.lit("")).rlike("|".join(re.escape(w) for w in words))
+
+
+def clause_spans(text: Column, most: int = MAX_CLAUSES) -> Column:
+    """The clauses of `clauses` with their place: an array of index, text, start and end (from 0, before trimming)."""
+    clean = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), CONNECTORS, ""))
+    kind = "struct<kept:array<struct<index:int,text:string,start:int,end:int>>,pos:int>"
+
+    def step(acc: Column, part: Column) -> Column:
+        def with_text(c: Column) -> Column:
+            found = F.array(F.struct(F.size(acc["kept"]).alias("index"), c.alias("text"), acc["pos"].alias("start"), (acc["pos"] + F.length(part)).alias("end")))
+            return F.when((F.size(acc["kept"]) < most) & (F.length(c) > 2), F.concat(acc["kept"], found)).otherwise(acc["kept"])
+
+        return F.struct(let(clean(part), with_text).alias("kept"), (acc["pos"] + F.length(part) + 1).alias("pos")).cast(kind)
+
+    start = F.struct(F.array().alias("kept"), F.lit(0).alias("pos")).cast(kind)
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), CLAUSE_END), start, step)["kept"]
+
+
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of the words of a text, each word with two blanks before and one after."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
