@@ -83,7 +83,7 @@ def test_alternatives(spark):
 
 
 def test_task_identities(spark):
-    texts = ["我需要完成数据库迁移", "正在完成数据库迁移", "记得完善 README", "第一轮测试正在处理", "需要学习 Rust 语言", "发布思维导图版本这个任务已经完成", "把模型供应商从 a 换成 b 了", "待办"]
+    texts = ["我需要完成数据库迁移", "正在完成数据库迁移", "记得完善 README", "第一轮测试正在处理", "需要学习 Rust 语言", "发布思维导图版本这个任务已经完成", "把模型供应商从 a 换成 b了", "待办"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = frame.select("i", identity.task(F.col("t"), F.lit("task"), F.lit("global")).alias("k"), identity.replaced_values(F.col("t")).alias("v")).collect()
     keys = {r["i"]: r["k"]["memory_key"] for r in rows}
