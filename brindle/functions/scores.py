@@ -55,10 +55,10 @@ def ranges(rows: DataFrame, value: str, n: int = 64) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= x))
 
 
-def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], method: str) -> DataFrame:
+def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], method: str | dict[str, str]) -> DataFrame:
     """Per group, an exact element of the sorted values for each share; nulls are left out.
 
-    `nearest` takes index round((n-1)q), halves to even; `floor` takes index floor((n-1)q).  Equal
+    `nearest` takes index round((n-1)q), halves to even; `floor` and `ceil` take the index below and above.  Equal
     values are counted before the shuffle.  The counts of ranges of values tell in which range an
     element lies; only there are the values gone through, so no task sees a whole group.
     """
@@ -70,7 +70,7 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: dict[
     names = []
     for name, q in shares.items():
         at = (F.col("n") - 1) * F.lit(float(q))
-        index = F.least(F.col("n") - 1, F.greatest(F.lit(0), F.bround(at, 0).cast("long"))) if method == "nearest" else F.floor(at)
+        index = {"nearest": F.least(F.col("n") - 1, F.greatest(F.lit(0), F.bround(at, 0).cast("long"))), "floor": F.floor(at), "ceil": F.ceil(at)}[method if isinstance(method, str) else method[name]]
         names.append(F.struct(F.lit(name).alias("name"), index.cast("long").alias("index")))
     wanted = parts.select("*", F.explode(F.array(*names)).alias("w")).where((F.col("before") <= F.col("w.index")) & (F.col("w.index") < F.col("before") + F.col("n_range")))
     wanted = wanted.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("range").alias("_range"), F.col("before").alias("_before"), F.col("n").alias("_n"), F.col("w.name").alias("_name"), F.col("w.index").alias("_index"))
@@ -83,5 +83,12 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: dict[
 
 
 def linear_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Per group, linearly interpolated exact percentiles."""
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), *[F.percentile(value, F.lit(q)).alias(name) for name, q in shares.items()])
+    """Per group, linearly interpolated exact percentiles, from the elements below and above; nulls are left out."""
+    both = {f"{name}|{way}": q for name, q in shares.items() for way in ("floor", "ceil")}
+    found = order_statistics(rows, keys, value, both, {name: name.rsplit("|", 1)[1] for name in both})
+
+    def between(name: str, q: float) -> Column:
+        low, high, at = F.col(f"`{name}|floor`").cast("double"), F.col(f"`{name}|ceil`").cast("double"), (F.col("n") - 1) * F.lit(float(q))
+        return (low + (high - low) * (at - F.floor(at))).alias(name)
+
+    return found.select(*keys, "n", *[between(name, q) for name, q in shares.items()])

@@ -83,10 +83,20 @@ def cjk_grams(text: Column, widths: tuple[int, ...] = (4, 3, 2)) -> Column:
 
 
 def lexical_terms(text: Column) -> Column:
-    """Search terms: latin runs, pairs of CJK characters and CJK characters that stand alone, fillers removed."""
-    value = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), NOTE_FILLERS, casefold(text))
-    runs = F.regexp_extract_all(value, F.lit(WIDE_CJK_PATTERN), F.lit(0))
-    return F.array_distinct(F.concat(F.regexp_extract_all(value, F.lit(TERM_PATTERN), F.lit(0)), F.filter(runs, lambda r: F.length(r) == 1), grams_of_runs(runs, (2,))))
+    """Search terms: latin runs, pairs of CJK characters and CJK characters that stand alone, fillers removed.
+
+    Fillers and runs are all CJK; a text without such a character is only searched for latin runs.
+    """
+
+    def latin(value: Column) -> Column:
+        return F.regexp_extract_all(value, F.lit(TERM_PATTERN), F.lit(0))
+
+    def mixed(value: Column) -> Column:
+        value = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), NOTE_FILLERS, value)
+        runs = F.regexp_extract_all(value, F.lit(WIDE_CJK_PATTERN), F.lit(0))
+        return F.concat(latin(value), F.filter(runs, lambda r: F.length(r) == 1), grams_of_runs(runs, (2,)))
+
+    return F.array_distinct(let(casefold(text), lambda v: F.when(v.rlike(WIDE_CJK_PATTERN), mixed(v)).otherwise(latin(v))))
 
 
 def char_set(text: Column) -> Column:

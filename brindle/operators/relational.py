@@ -146,7 +146,7 @@ def released(tasks: DataFrame, watermarks: DataFrame, key: str, required: str) -
 
 def budget_prefix(rows: DataFrame, keys: list[str], by: str, size: Column, budget: int, descending: bool = True) -> DataFrame:
     """The first rows of each group, in the order of a number, whose sizes add up to no more than the
-    budget; rows of equal number are in or out one by one, in no given order.
+    budget; rows of equal number follow each other in the order of their other columns.
 
     Sums of ranges of the number come first, so a large group is added up by several tasks.
     """
@@ -159,8 +159,8 @@ def budget_prefix(rows: DataFrame, keys: list[str], by: str, size: Column, budge
     same = F.col("_range") == F.col("of_range")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    order = F.desc(by) if descending else F.asc(by)
-    running = F.sum("_size").over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ties = [F.col(c) for c, kind in rows.dtypes if c not in (*keys, by) and not kind.startswith("map")]
+    running = F.sum("_size").over(Window.partitionBy(*keys, "_range").orderBy(F.desc(by) if descending else F.asc(by), *ties).rowsBetween(Window.unboundedPreceding, 0))
     met = sized.join(starts, same).withColumn("used", F.col("_before") + running)
     return met.where(F.col("used") <= budget).drop("_size", "_range", "_before", "of_range", *[f"of_{k}" for k in keys])
 

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.scores import RRF_K, cosine
+from brindle.functions.scores import RRF_K
 
 #: Numbers of all queries together that are sent to every task.
 MOST_NUMBERS = 1 << 22
+#: Query terms that are sent to every task.
+MOST_TERMS = 1 << 17
 
 
 def channel(rows: DataFrame, name: str, order: list[Column], n: int, query: str | None = None, item: str = "id") -> DataFrame:
@@ -59,17 +61,26 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, at_least: float
     """The k most similar vectors of each query but itself: query_id, id, score, rank.
 
     `queries` and `vectors` have id and embedding; vectors of another length are an error, and one
-    without length scores 0.  Queries of up to `most_numbers` numbers are counted first, then sent to
-    all tasks, which multiply them with blocks of vectors and keep the best of each block; beyond
-    that, queries and vectors meet in a join.
+    without length scores 0.  Null vectors, and vectors with a null number, are left out on both sides.
+    Queries of up to `most_numbers` numbers are counted first, then sent to all tasks, which multiply
+    them with blocks of vectors and keep the best of each block; more queries go in blocks of that size.
     """
+    whole = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
+    queries, vectors = queries.where(whole), vectors.where(whole)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    held = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    held, longest = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     if held > most_numbers:
-        q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-        scored = vectors.crossJoin(q).where(F.col("id") != F.col("query_id")).select("query_id", "id", cosine(F.col("query_embedding"), F.col("embedding")).alias("score"))
+        # Blocks of queries by hash; each block is sent and multiplied by itself.
+        blocks = -(-2 * held // max(most_numbers, longest))
+        parts = [cosine_topk(queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), vectors, k, at_least, max(held, 1)) for i in range(blocks)]
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        return found
+    asked = queries.select("id", "embedding").toPandas().sort_values("id")
+    if asked.empty:
+        scored = vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
     else:
-        asked = queries.select("id", "embedding").toPandas().sort_values("id")
         matrix = np.array(asked["embedding"].to_list(), dtype=float).reshape(len(asked), -1)
         lengths = np.sqrt((matrix * matrix).sum(axis=1))
         unit = np.divide(matrix, lengths[:, None], out=np.zeros_like(matrix), where=lengths[:, None] > 0)
@@ -101,20 +112,28 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, at_least: float
 def term_overlap_topk(queries: DataFrame, documents: DataFrame, k: int, at_least: float) -> DataFrame:
     """Documents by the share of a query's terms that they have: query_id, id, overlap, rank.
 
-    `queries` and `documents` have id and terms (distinct).  A document with enough of a query's n
-    terms has one of its n - need + 1 rarest, so they meet on those alone; common terms, which would
-    bring nearly everything together, are only counted for the pairs that met.
+    `queries` and `documents` have id and terms (distinct).  The texts are read once: of a document only
+    the terms that some query has are kept (up to MOST_TERMS query terms are sent to all tasks, more meet
+    in a join).  A document with enough of a query's n terms has one of its n - need + 1 rarest, so pairs
+    come from those alone; common terms are only counted for the pairs that a rarer one made.
     """
-    d = documents.select("id", F.explode("terms").alias("term"))
-    counts = d.groupBy("term").agg(F.count(F.lit(1)).alias("n_documents"))
-    q = queries.select(F.col("id").alias("query_id"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).join(counts, "term")
+    # Query terms by number: pairs compare small arrays of integers.
+    asked = queries.select(F.explode("terms").alias("term")).distinct().withColumn("code", F.row_number().over(Window.orderBy("term"))).persist()
+    sent = F.broadcast(asked) if asked.count() <= MOST_TERMS else asked
+    coded = queries.select(F.col("id").alias("query_id"), F.explode("terms").alias("term")).join(sent, "term").groupBy("query_id").agg(F.collect_list("code").alias("codes")).persist()
+    # The outer form adds no test of the terms' number below, which would work them out twice.
+    held = documents.select("id", F.explode_outer("terms").alias("term")).join(sent, "term").groupBy("id").agg(F.collect_list("code").alias("known")).persist()
+    d = held.select("id", F.explode("known").alias("code"))
+    counts = d.groupBy("code").agg(F.count(F.lit(1)).alias("n_documents"))
+    q = coded.select("query_id", F.size("codes").alias("n_terms"), F.explode("codes").alias("code")).join(counts, "code")
     # Terms that no document has would come first in the order.
-    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("n_documents", "term")) + F.col("n_terms") - F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("n_documents", "code")) + F.col("n_terms") - F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     need = F.greatest(F.lit(1), F.ceil(F.lit(at_least) * F.col("n_terms") - 1e-9))
-    q = q.withColumn("place", rarest).where(F.col("place") <= F.col("n_terms") - need + 1).select("query_id", "term")
-    met = d.join(q, "term").select("query_id", "id").distinct()
-    pairs = met.join(documents.select("id", "terms"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("terms").alias("query_terms")), "query_id")
-    hits = pairs.select("query_id", "id", F.round(F.size(F.array_intersect("terms", "query_terms")) / F.size("query_terms"), 6).alias("overlap")).where(F.col("overlap") >= at_least)
+    q = q.withColumn("place", rarest).where(F.col("place") <= F.col("n_terms") - need + 1).select("query_id", "code")
+    # Pairs of a document are made where its terms lie; they are distinct before anything is joined back.
+    met = d.join(q, "code").select("id", "query_id").distinct()
+    pairs = met.join(held, "id").join(coded, "query_id")
+    hits = pairs.select("query_id", "id", F.round(F.size(F.array_intersect("known", "codes")) / F.size("codes"), 6).alias("overlap")).where(F.col("overlap") >= at_least)
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "id"))).where(F.col("rank") <= k)
 
 

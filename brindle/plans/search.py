@@ -50,8 +50,9 @@ def hybrid_note_search(spark: SparkSession, d: str) -> DataFrame:
     exact = S.channel(docs.where(F.contains("low", F.lit(PHRASE))), "exact", [F.desc("id")], 30)
     lexical = S.channel(docs.withColumn("m", matched).where("m > 0"), "lexical", [F.desc("m"), F.desc("id")], 30)
     top = S.fuse([exact, lexical], NOTE_CHANNELS).orderBy(F.desc("rrf"), F.desc("id")).limit(20)
-    found = docs.join(F.broadcast(top), "id").where(~is_sensitive(F.col("text")))
-    return found.select("id", "rrf").orderBy(F.desc("rrf"), F.desc("id")).limit(10)
+    # Cut before the filter: below a limit the patterns cannot move down to the scan of all texts.
+    found = docs.join(F.broadcast(top), "id").orderBy(F.desc("rrf"), F.desc("id")).limit(20)
+    return found.where(~is_sensitive(F.col("text"))).select("id", "rrf").orderBy(F.desc("rrf"), F.desc("id")).limit(10)
 
 
 @query(f"SELECT doc_id, md5({_NORM_SQL}) AS norm, 'fact:' || substr(sha256({_NORM_SQL}), 1, 16) AS key FROM documents")

@@ -42,9 +42,15 @@ def note_markdown(notes: DataFrame) -> DataFrame:
     return notes.select(F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce("title", F.lit(""))), F.concat(F.lit("tags: "), tags), F.lit(""), F.coalesce("text", F.lit("")), F.lit("")).alias("value"))
 
 
-def append_once(log: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `incoming` whose key the log does not have, each key once: the row to append."""
-    return incoming.dropDuplicates(keys).join(log.select(*keys), keys, "left_anti")
+def append_once(log: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of `incoming` whose key the log does not have, each key once: the row to append.
+
+    Of rows with one key the first by `order` is taken, then by the row as JSON, so that a repeated run
+    appends the same row.  Keys compare as values: rows with a null key are new, once each.
+    """
+    place = F.struct(*[F.col(c) for c in order or []], F.to_json(F.struct(*incoming.columns), {"ignoreNullFields": "false"}).alias("_row"))
+    firsts = incoming.groupBy(*keys).agg(F.min_by(F.struct(*incoming.columns), place).alias("_first")).select(*[F.col(f"_first.`{c}`").alias(c) for c in incoming.columns])
+    return firsts.join(log.select(*keys), keys, "left_anti")
 
 
 def dead_letters(failed: DataFrame, source: str, error: str = "error", width: int = 500) -> DataFrame:

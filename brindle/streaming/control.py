@@ -166,10 +166,11 @@ def skipped_ingress(inbox: DataFrame, tasks: DataFrame, n: int) -> DataFrame:
 
 def retained(tasks: DataFrame, asof: Column, newest: int, failure_ttl_seconds: int) -> DataFrame:
     """Tasks that a registry keeps: all that are active, the newest finished ones, and failures for a time."""
-    active = F.col("status").isin("queued", "running")
-    place = F.row_number().over(Window.partitionBy(active).orderBy(F.desc("finished_at"), F.desc("id")))
-    fresh = (F.col("status") == "failed") & (F.unix_seconds(asof) - F.unix_seconds("finished_at") < failure_ttl_seconds)
-    return tasks.withColumn("place", F.when(~active, place)).where(active | (F.col("place") <= newest) | fresh).drop("place")
+    active = F.coalesce(F.col("status").isin("queued", "running"), F.lit(False))
+    fresh = F.coalesce((F.col("status") == "failed") & (F.unix_seconds(asof) - F.unix_seconds("finished_at") < failure_ttl_seconds), F.lit(False))
+    order = [F.desc("finished_at"), F.desc("id")]
+    # The newest are cut by a limit, so no task sees all finished rows; those that stay anyway are told apart after it.
+    return tasks.where(active | fresh).unionByName(tasks.where(~active).orderBy(*order).limit(newest).where(~fresh))
 
 
 def due_summaries(subscriptions: DataFrame, deliveries: DataFrame, asof: Column, max_attempts: int = 3) -> DataFrame:
