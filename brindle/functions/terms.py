@@ -26,17 +26,19 @@ def memory_terms(text: Column, entities: Column | None = None) -> Column:
     """Terms of a query for memories: of its topic, of itself and of given entities the words, the
     runs and the substrings of CJK runs, then its key; the first twelve."""
     none = F.array().cast("array<string>")
-    topic, text = T.topic_text(text), F.coalesce(text, F.lit(""))
 
     def of(value: Column) -> Column:
         words = F.split(T.squeeze(F.replace(F.replace(value, F.lit("："), F.lit(" ")), F.lit(":"), F.lit(" "))), " ")
         runs = F.regexp_extract_all(value, F.lit(MEMORY_RUN_PATTERN), F.lit(0))
-        return F.concat(words, runs, T.grams_of_runs(F.filter(runs, lambda r: r.rlike(r"^[一-鿿]+$")), (4, 3, 2)))
+        return F.concat(words, T.let(runs, lambda found: F.concat(found, T.grams_of_runs(F.filter(found, lambda r: r.rlike(r"^[一-鿿]+$")), (4, 3, 2)))))
 
-    parts = [F.when((topic != "") & (topic != text), of(topic)).otherwise(none), of(text)]
-    if entities is not None:
-        parts.append(F.flatten(F.transform(F.coalesce(entities, none), of)))
-    return _terms(F.concat(*parts, F.array(T.normalize_content(text))), MEMORY_TERMS)
+    def built(t: Column) -> Column:
+        parts = [F.when((t["topic"] != "") & (t["topic"] != t["text"]), of(t["topic"])).otherwise(none), of(t["text"])]
+        if entities is not None:
+            parts.append(F.flatten(F.transform(F.coalesce(entities, none), of)))
+        return _terms(F.concat(*parts, F.array(T.normalize_content(t["text"]))), MEMORY_TERMS)
+
+    return T.let(F.struct(T.topic_text(text).alias("topic"), F.coalesce(text, F.lit("")).alias("text")), built)
 
 
 def note_terms(text: Column) -> Column:
@@ -79,7 +81,7 @@ def lexemes(text: Column) -> Column:
 
 def plain_match(words: Column, query_words: Column) -> Column:
     """Whether a document has every word of a plain query; false for a query without words."""
-    return (F.size(query_words) > 0) & (F.size(F.array_except(query_words, words)) == 0)
+    return (F.size(query_words) > 0) & F.forall(query_words, lambda w: F.array_contains(words, w))
 
 
 def rank_simple(words: Column, query_words: Column) -> Column:

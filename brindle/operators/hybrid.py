@@ -28,19 +28,29 @@ KEY_BONUS, SLOT_BONUS = 0.08, 0.03
 QUERY_WORDS, MIN_SCORE = 500, 0.45
 
 
-def _listed(pairs: DataFrame, lists: list[tuple[str, Column, list[Column], int]], keys: list[str]) -> DataFrame:
-    """From pairs of query and row, the ranked lists (channel, test, order, length): keys, id, channel, rank."""
-    found = None
-    for channel, test, order, n in lists:
-        taken = pairs.where(test).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
-        taken = taken.select(*keys, "id", F.lit(channel).alias("channel"), "rank")
-        found = taken if found is None else found.unionByName(taken)
-    return found
+def _listed(pairs: DataFrame, lists: list[tuple[str, Column, Column | None, int]], keys: list[str], newest: list[str]) -> DataFrame:
+    """From pairs of query and row, the ranked lists (channel, test, lead, length): keys, id, channel, rank.
+
+    A list holds the rows that pass its test, by its lead (the larger first), then the newest first.  Each
+    pair is tested once for all lists, and one window ranks them all.
+    """
+    entry = lambda i, name, test, lead, n: F.when(test, F.struct(F.lit(i).alias("list"), F.lit(name).alias("channel"), (F.lit(0.0) if lead is None else lead.cast("double")).alias("lead"), F.lit(n).alias("length")))
+    entries = F.filter(F.array(*[entry(i, *x) for i, x in enumerate(lists)]), lambda e: e.isNotNull())
+    taken = pairs.select(*keys, "id", *newest, F.explode_outer(entries).alias("e")).where(F.col("e").isNotNull())
+    best = Window.partitionBy(*keys, "e.list").orderBy(F.desc("e.lead"), *[F.desc(c) for c in newest], F.desc("id"))
+    taken = taken.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n for *_, n in lists))
+    return taken.where(F.col("rank") <= F.col("e.length")).select(*keys, "id", F.col("e.channel").alias("channel"), "rank")
+
+
+def _rank_number(rank: Column) -> Column:
+    """A full-text rank as one number: distinct words first, then occurrences; exact for 2^22 words."""
+    return rank["distinct"] * F.lit(float(1 << 31)) + rank["occurrences"]
 
 
 def memory_pairs(queries: DataFrame, memories: DataFrame, trigram: bool = False) -> DataFrame:
-    """Queries (query_id, query) against memories: the pairs that a channel takes, with a flag for each
-    and the full-text rank.
+    """Queries (query_id, query) against memories: all pairs, with a flag for each channel and the full-text
+    rank.  What is worked out of a text for all queries is a column of the memory, made before they meet;
+    flags are not filtered here, so that whoever reads them tests each pair once.
 
     `memories` has id, memory_type, content, memory_key, subject, predicate, object_value and updated_at.
     """
@@ -49,37 +59,33 @@ def memory_pairs(queries: DataFrame, memories: DataFrame, trigram: bool = False)
     asked = queries.select("query_id", "query", T.normalize_content(q).alias("q_key"), F.trim("query").alias("q_plain"), terms.identifiers(q).alias("q_ids"), terms.memory_terms(q).alias("q_terms"), hints.alias("q_types"))
     asked = asked.withColumn("q_words", F.array_distinct(terms.lexemes(F.substring(F.when(F.size("q_terms") > 0, F.array_join("q_terms", " ")).otherwise(q), 1, QUERY_WORDS))))
     slots = ("content", "subject", "predicate", "object_value")
-    rows = memories.withColumns({"words": terms.lexemes(F.concat_ws(" ", *slots)), "m_key": T.normalize_content(F.col("content"))})
+    low = {f"low_{c}": F.lower(F.coalesce(c, F.lit(""))) for c in slots}
+    rows = memories.withColumns({**low, "words": terms.lexemes(F.concat_ws(" ", *slots)), "m_key": T.normalize_content(F.col("content"))})
     either = lambda tests: reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
+    has_term = lambda text: F.exists("q_terms", lambda t: F.contains(text, F.lower(F.substring(t, 1, 120))))
     plain = F.col("q_plain") != ""
     exact = either([
-        F.col("m_key") == F.col("q_key"), plain & (F.col("memory_key") == F.col("q_plain")), plain & F.contains(F.lower("content"), F.lower(F.substring("q_plain", 1, 160))),
-        *[terms.has_identifier(F.col(c), F.col("q_ids")) for c in ("content", "subject", "object_value", "memory_key")],
+        F.col("m_key") == F.col("q_key"), plain & (F.col("memory_key") == F.col("q_plain")), plain & F.contains(F.col("low_content"), F.lower(F.substring("q_plain", 1, 160))),
+        *[terms.has_identifier(F.col(c), F.col("q_ids")) for c in ("low_content", "low_subject", "low_object_value", "memory_key")],
     ])
     flags = {
-        "is_exact": exact, "is_hinted": F.array_contains("q_types", F.col("memory_type")), "is_lexical": either([terms.like_any(F.col(c), F.col("q_terms"), 120) for c in slots]),
+        "is_exact": exact, "is_hinted": F.array_contains("q_types", F.col("memory_type")), "is_lexical": either([has_term(F.col(f"low_{c}")) for c in slots]),
         "is_matched": terms.plain_match(F.col("words"), F.col("q_words")),
     }
     if trigram:
         near = lambda c: F.aggregate(F.transform(F.slice("q_terms", 1, 8), lambda t: T.jaccard(T.trigrams(c), T.trigrams(F.substring(t, 1, 120)))), F.lit(0.0), lambda s, x: F.greatest(s, x))
         flags["similarity"] = F.greatest(near(F.col("content")), near(F.col("object_value")))
-    pairs = rows.crossJoin(asked).withColumns(flags).withColumn("fts_rank", terms.rank_simple(F.col("words"), F.col("q_words")))
-    some = F.col("is_exact") | F.col("is_hinted") | F.col("is_lexical") | F.col("is_matched")
-    return pairs.where(some | (F.col("similarity") >= 0.3) if trigram else some).drop("words", "q_words", "m_key")
+    return rows.crossJoin(asked).withColumns(flags).withColumn("fts_rank", terms.rank_simple(F.col("words"), F.col("q_words"))).drop(*low)
 
 
 def memory_hits(queries: DataFrame, memories: DataFrame, top: int = 40, trigram: bool = False) -> DataFrame:
     """The best `top` memories of each query by weighted fusion of the exact, type-hint, lexical, full-text
     and (if asked for) trigram lists: query_id, id, rrf, channels, exact_rank."""
     n = max(30, min(120, top * 3))
-    newest = [F.desc("updated_at"), F.desc("id")]
-    lists = [
-        ("exact", F.col("is_exact"), newest, min(n, 30)), ("structured", F.col("is_hinted"), newest, n), ("structured", F.col("is_lexical"), newest, n),
-        ("fts", F.col("is_matched"), [F.desc("fts_rank"), *newest], n),
-    ]
+    lists = [("exact", F.col("is_exact"), None, min(n, 30)), ("structured", F.col("is_hinted"), None, n), ("structured", F.col("is_lexical"), None, n), ("fts", F.col("is_matched"), _rank_number(F.col("fts_rank")), n)]
     if trigram:
-        lists.append(("trigram", F.col("similarity") >= 0.3, [F.desc("similarity"), *newest], n))
-    hits = fuse([_listed(memory_pairs(queries, memories, trigram), lists, ["query_id"])], MEMORY_CHANNELS, "query_id")
+        lists.append(("trigram", F.col("similarity") >= 0.3, F.col("similarity"), n))
+    hits = fuse([_listed(memory_pairs(queries, memories, trigram), lists, ["query_id"], ["updated_at"])], MEMORY_CHANNELS, "query_id")
     hits = hits.join(memories.select("id", "updated_at"), "id")
     best = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.desc("updated_at"), F.desc("id"))
     return hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).drop("place", "updated_at")
@@ -157,10 +163,9 @@ def search_notes(query: str, notes: DataFrame, limit: int = 8) -> DataFrame:
         "is_exact": F.contains(F.lower("document"), F.lit(cleaned[:120].lower())), "is_matched": terms.plain_match(F.col("words"), F.col("q_words")),
         "is_lexical": terms.like_any(F.col("document"), F.col("q_terms"), 80), "fts_rank": terms.rank_simple(F.col("words"), F.col("q_words")), "query_id": F.lit(0),
     })
-    newest = [F.desc("created_at"), F.desc("id")]
     rows = rows.where("is_exact OR is_matched OR is_lexical").select("query_id", "id", "created_at", "is_exact", "is_matched", "is_lexical", "fts_rank")
-    lists = [("exact", F.col("is_exact"), newest, n), ("fts", F.col("is_matched"), [F.desc("fts_rank"), *newest], n), ("lexical", F.col("is_lexical"), newest, n)]
-    hits = fuse([_listed(rows, lists, ["query_id"])], NOTE_CHANNELS, "query_id").join(notes.select("id", "text", "created_at"), "id")
+    lists = [("exact", F.col("is_exact"), None, n), ("fts", F.col("is_matched"), _rank_number(F.col("fts_rank")), n), ("lexical", F.col("is_lexical"), None, n)]
+    hits = fuse([_listed(rows, lists, ["query_id"], ["created_at"])], NOTE_CHANNELS, "query_id").join(notes.select("id", "text", "created_at"), "id")
     order = [F.desc("rrf"), F.desc("created_at"), F.desc("id")]
     return hits.orderBy(*order).limit(2 * limit).where(~is_sensitive(F.col("text"))).orderBy(*order).limit(limit).select("id", F.col("rrf").alias("score"))
 
@@ -198,12 +203,8 @@ def slot_channels(candidates: DataFrame, memories: DataFrame, top: int = 20) ->
     slots = F.coalesce(by_predicate, F.lit(False)) | F.coalesce(object_like, F.lit(False)) | F.coalesce(named, F.lit(False))
     family = reduce(lambda a, b: a | b, [F.coalesce((F.col("c_memory_type") == kind) & (F.get_json_object("c_scope", f"$.{kind}_family_key") == F.get_json_object("scope", f"$.{kind}_family_key")), F.lit(False)) for kind in ("task", "preference")])
     same_key = F.coalesce(F.col("memory_key") == F.col("c_memory_key"), F.lit(False))
-    newest = [F.desc("updated_at"), F.desc("id")]
-    lists = [
-        ("exact", same_key, newest, 20), ("structured", slots, [F.when(same_key, 0).otherwise(1), *newest], n), ("family", family, newest, min(20, n)),
-        ("structured", F.col("c_memory_type") == "task", newest, n),
-    ]
-    hits = fuse([_listed(pairs, lists, ["candidate_id"])], MEMORY_CHANNELS, "candidate_id")
+    lists = [("exact", same_key, None, 20), ("structured", slots, F.when(same_key, 1).otherwise(0), n), ("family", family, None, min(20, n)), ("structured", F.col("c_memory_type") == "task", None, n)]
+    hits = fuse([_listed(pairs, lists, ["candidate_id"], ["updated_at"])], MEMORY_CHANNELS, "candidate_id")
     scored = with_bonuses(hits, memories, candidates, "candidate_id").join(memories.select("id", "updated_at"), "id")
     best = Window.partitionBy("candidate_id").orderBy(F.desc("score"), F.desc("updated_at"), F.desc("id"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= min(top, 50)).select("candidate_id", "id", "score", "channels", "rank")
