@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import matching as X
+from brindle.operators.alignment import aligned
 from brindle.plans.memory import KINDS, STATES, memories
 from brindle.sources.tables import table
 
@@ -63,3 +64,20 @@ def relevant_evidence(spark: SparkSession, d: str) -> DataFrame:
     hits = docs.join(asked, F.col("id") % 50 == F.col("query_id") % 50).withColumn("score", F.round((F.col("id") * 7 + F.col("query_id")) % 100 / 100.0, 2))
     hits = hits.withColumns({"object_value": F.lit(None).cast("string"), "memory_key": F.lit(None).cast("string"), "task_status": F.lit(None).cast("string"), "memory_type": F.lit("semantic")})
     return X.relevant_evidence(hits).select("query_id", "id", F.round("overlap", 6).alias("overlap"))
+
+
+_ALIGN = """WITH RECURSIVE i AS (SELECT conv_id, turn, coalesce(substr(text, 1, 2), '') AS span, coalesce(role, '') AS topic, coalesce(substr(text, length(text) - 1), '') AS key FROM conversations),
+    p AS (SELECT conv_id, list(struct_pack(t := turn, span := span, topic := topic, key := key) ORDER BY turn) AS rem FROM i WHERE turn % 2 = 1 GROUP BY 1),
+    g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM i WHERE turn % 2 = 0),
+    w AS (SELECT conv_id, 0::BIGINT AS n, rem, NULL::BIGINT AS gold, NULL::BIGINT AS predicted, 0 AS score FROM p
+      UNION ALL SELECT w.conv_id, g.n, CASE WHEN w.b[1] < 0 THEN list_filter(w.rem, lambda x: x.t <> w.b[2]) ELSE w.rem END, g.turn, CASE WHEN w.b[1] < 0 THEN w.b[2] END, -w.b[1]
+      FROM (SELECT w.conv_id, w.rem, g.n, g.turn, list_sort(list_transform(w.rem, lambda x: [CASE WHEN x.span = g.span AND g.span <> '' THEN -3 WHEN x.topic = g.topic AND g.topic <> '' THEN -2 WHEN x.key = g.key AND g.key <> '' THEN -1 ELSE 0 END, x.t]))[1] AS b FROM w JOIN g ON g.conv_id = w.conv_id AND g.n = w.n + 1) AS w JOIN g ON g.conv_id = w.conv_id AND g.n = w.n)
+    SELECT conv_id AS "case", gold, predicted, score::INTEGER AS score FROM w WHERE predicted IS NOT NULL"""
+
+
+@query(_ALIGN)
+def aligned_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Even turns of each conversation aligned with its odd ones: by how they begin, by role, by how they end."""
+    text = F.coalesce("text", F.lit(""))
+    items = table(spark, d, "conversations").select("conv_id", "turn", F.substring(text, 1, 2).alias("span"), F.coalesce("role", F.lit("")).alias("topic"), F.expr("right(coalesce(text, ''), 2)").alias("key"))
+    return aligned(items.where("turn % 2 = 0"), items.where("turn % 2 = 1"), "conv_id", "turn", {"span": 3, "topic": 2, "key": 1})
