@@ -40,6 +40,11 @@ MOST_OBJECTS, OBJECT_LENGTH, EPISODE_LENGTH, MOST_ENTITIES = 6, 32, 12, 8
 # Names of things, and things named by their words.
 ENTITY, ENTITY_WORDS = r"[A-Za-z][A-Za-z0-9+#.-]*", ("咖啡", "牛奶", "苹果", "北京", "上海", "Java", "Python", "Agent", "RAG", "README", "CI")
 LIVING, LEARNING, PROJECTS, CITIES = ("住在", "搬到", "居住"), ("学习", "只学", "重点", "研究"), ("开发", "负责", "项目"), ("北京", "上海")
+# Words that refer to something said before, texts that are nothing but that, and what a task said before has and has not.
+REFERS = "(?:这个|那个|它|这件事|上面那个|继续做|也(?:做完|完成)|取消它|就按这个|又|再次|仍然|后续|后来)"
+ONLY_REFERS = "^(?:这个|那个|它|这件事|上面那个)(?:继续做?|继续|做下去|完成它|也(?:做完|完成)了?|取消它|就按这个)(?:吧)?$"
+TASK_SAID, NO_TASK_SAID = ("任务", "待办", "完成", "做完", "继续", "处理", "评测", "开发", "修改", "修复", "实现", "准备", "计划"), "(?:整理学习计划|讨论了其他任务)"
+LOOK_BACK, REFERENCE_CONFIDENCE = 3, 0.82
 # Importance and confidence of each type.
 WEIGHTS = {"preference": (0.75, 0.86), "task": (0.8, 0.82), "semantic": (0.78, 0.84), "episodic": (0.55, 0.72)}
 REASONS = {"preference": "preference_marker", "task": "task_marker", "semantic": "semantic_marker", "episodic": "episodic_event"}
@@ -195,3 +200,42 @@ def canonical(candidates: DataFrame) -> DataFrame:
             "memory_key": F.coalesce("t.memory_key", "p.memory_key", "s.memory_key", "e.memory_key"), "task_status": status, "closure_reason": closed,
         }
     ).drop("t", "v", "p", "s", "e", "said")
+
+
+def antecedents(messages: DataFrame) -> DataFrame:
+    """What each message of `messages` (note_id, space, at, role, text) refers to: note_id, reference_status,
+    antecedent_note_id, antecedent_offset, antecedent_text, only_refers.
+
+    A message with a referring word looks back on the LOOK_BACK newest messages before it in its space
+    that a user wrote, not empty and not sensitive.  If exactly one of them speaks of a task, that is what
+    it refers to (resolved); with several or none it is unresolved, without such messages or such a word
+    not_applicable.  Messages and those they look back on meet by number: each carries the count of usable
+    messages before it, so the join is on equal places in a space.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = messages.select("note_id", "space", "at", text.alias("text"), ((F.lower(F.coalesce("role", F.lit("user"))) == "user") & ~is_sensitive(text) & (strip(text) != "")).alias("usable"))
+    earlier = Window.partitionBy("space").orderBy("at", "note_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("n", F.coalesce(F.sum(F.col("usable").cast("int")).over(earlier), F.lit(0)))
+    said = rows.where("usable").select("space", (F.col("n") + 1).alias("place"), F.col("note_id").alias("said_id"), strip(F.col("text")).alias("said"))
+    task = T.mentions(F.col("said"), TASK_SAID) & ~F.col("said").rlike(NO_TASK_SAID)
+    asking = rows.where(F.col("text").rlike(REFERS) & (F.col("n") > 0)).select("note_id", "space", "n", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(LOOK_BACK)).cast("int"))).alias("back"))
+    met = asking.withColumn("place", F.col("n") - F.col("back") + 1).join(said, ["space", "place"]).groupBy("note_id").agg(F.count_if(task).alias("tasks"), F.max(F.when(task, F.struct("said_id", (-F.col("back")).alias("offset"), "said"))).alias("one"))
+    one = F.col("tasks") == 1
+    status = F.when(one, "resolved").when(F.col("tasks").isNotNull(), "unresolved").otherwise("not_applicable")
+    bare = F.regexp_replace("text", r"[\s。！？!?；;，,]+", "")
+    return rows.join(met, "note_id", "left").select(
+        "note_id", status.alias("reference_status"), F.when(one, F.col("one.said_id")).alias("antecedent_note_id"), F.when(one, F.col("one.offset")).alias("antecedent_offset"), F.when(one, F.col("one.said")).alias("antecedent_text"), bare.rlike(ONLY_REFERS).alias("only_refers")
+    )
+
+
+def with_references(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """Canonical candidates after their `antecedents`: a task that refers to one said before takes its key,
+    topic, family and names; a task of a text that only refers, to nothing certain, goes."""
+    task = F.col("memory_type") == "task"
+    rows = candidates.join(found, "note_id", "left")
+    rows = rows.where(~task | ~(F.coalesce("only_refers", F.lit(False)) & (F.col("reference_status") == "unresolved")) | F.col("reference_status").isNull())
+    known = task & F.coalesce(F.col("reference_status") == "resolved", F.lit(False))
+    rows = rows.withColumn("i", F.when(known, identity.task(F.col("antecedent_text"), F.lit("task"), F.lit("global"))))
+    taken = {"subject": "i.subject", "predicate": "i.predicate", "object_value": "i.predicate", "operation": "i.operation", "topic": "i.topic", "family_key": "i.family_key", "memory_key": "i.memory_key"}
+    rows = rows.withColumns({c: F.when(known, F.col(x)).otherwise(F.col(c)) for c, x in taken.items()})
+    return rows.withColumn("resolution_confidence", F.when(known, F.lit(REFERENCE_CONFIDENCE))).drop("i", "only_refers")

@@ -123,3 +123,23 @@ def preference_topics(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.select("conv_id", "turn", F.concat(F.lit("我喜欢"), word(F.lit(0)), word(F.lit(1))).alias("a"), F.concat(F.lit("更喜欢"), word(F.lit(1)), word((F.col("turn") % 2 + 1).cast("int"))).alias("b"))
     rows = rows.withColumns({"sa": P.signature(F.col("a")), "sb": P.signature(F.col("b"))})
     return rows.select("conv_id", "turn", F.col("sa.key").alias("topic_key"), P.compatibility(F.col("sa"), F.col("sb")).cast("double").alias("compatible"), P.is_alternative(F.col("b"), F.col("sb"), F.col("sa")).alias("alternative"))
+
+
+#: Statements that refer to tasks said before, and such tasks.
+REFERENCES = ("需要完成{a}迁移", "今天看了{b}", "这个也做完了", "继续处理{a}", "这个继续做吧", "{a}后来怎么样", "整理学习计划{b}")
+
+
+@query(f"""WITH ms AS (SELECT conv_id * 1000 + turn AS note_id, conv_id, turn, role, regexp_extract_all(coalesce(text, ''), '\\p{{L}}{{3,12}}') AS ws, {_list(REFERENCES)}[((conv_id * 5 + turn * 3) % {len(REFERENCES)})::INT + 1] AS st, coalesce(text, '') AS body FROM conversations),
+    m AS (SELECT note_id, conv_id, turn, replace(replace(st, '{{a}}', coalesce(ws[1], 'abc')), '{{b}}', coalesce(ws[2], 'abc')) || '。' || body AS text, lower(coalesce(role, 'user')) = 'user' AS by_user FROM ms),
+    u AS (SELECT *, by_user AND NOT {SENSITIVE_SQL} AS usable FROM m), n AS (SELECT *, coalesce(sum(usable::INT) OVER (PARTITION BY conv_id ORDER BY turn, note_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM u),
+    j AS (SELECT a.note_id, b.note_id AS said_id, b.n + 1 - a.n - 1 AS back, {any_sql("b.text", X.TASK_SAID)} AND NOT regexp_matches(b.text, '{X.NO_TASK_SAID}') AS task FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.usable AND b.n + 1 <= a.n AND b.n + 1 > a.n - {X.LOOK_BACK} WHERE regexp_matches(a.text, '{X.REFERS}')),
+    g AS (SELECT note_id, count(*) FILTER (WHERE task) AS tasks, max(said_id) FILTER (WHERE task) AS one, max(back) FILTER (WHERE task) AS back FROM j GROUP BY 1)
+    SELECT n.note_id, CASE WHEN tasks = 1 THEN 'resolved' WHEN tasks IS NOT NULL THEN 'unresolved' ELSE 'not_applicable' END AS reference_status, CASE WHEN tasks = 1 THEN one ELSE -1 END AS antecedent_note_id, CASE WHEN tasks = 1 THEN back ELSE 0 END::INTEGER AS antecedent_offset FROM n LEFT JOIN g USING (note_id)""")
+def resolved_references(spark: SparkSession, d: str) -> DataFrame:
+    """What each message refers to."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("body"))
+    rows = rows.withColumn("ws", F.regexp_extract_all("body", F.lit(r"(\p{L}{3,12})"), F.lit(1)))
+    said = F.element_at(F.array(*[F.lit(s) for s in REFERENCES]), ((F.col("conv_id") * 5 + F.col("turn") * 3) % len(REFERENCES) + 1).cast("int"))
+    said = F.replace(F.replace(said, F.lit("{a}"), F.coalesce(F.get("ws", F.lit(0)), F.lit("abc"))), F.lit("{b}"), F.coalesce(F.get("ws", F.lit(1)), F.lit("abc")))
+    found = X.antecedents(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"), F.col("conv_id").alias("space"), F.col("turn").alias("at"), "role", F.concat(said, F.lit("。"), "body").alias("text")))
+    return found.select("note_id", "reference_status", F.coalesce("antecedent_note_id", F.lit(-1)).alias("antecedent_note_id"), F.coalesce("antecedent_offset", F.lit(0)).cast("int").alias("antecedent_offset"))

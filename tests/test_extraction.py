@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import identity, preference
 from brindle.functions import text as T
-from brindle.operators.extraction import canonical, extract
+from brindle.operators.extraction import antecedents, canonical, extract, with_references
 
 MESSAGES = [
     (1, "你好"), (2, "可能以后会学 Java"), (3, "我现在不想继续学习 Java，短期重点放在 Python Agent。"), (4, "记得完善项目 README。"), (5, "我苹果过敏"), (6, "我喜欢咖啡，主要使用MacBook Pro，这周要完成评测。"), (7, "我喜欢咖啡和绿茶。"),
@@ -105,3 +105,20 @@ def test_clause_places(spark):
     assert all(s["text"] in text[s["start"] : s["end"]] for s in spans)
     many = "。".join(f"clause number {i}" for i in range(100))
     assert [s["index"] for s in spark.createDataFrame([(many,)], "t string").select(T.clause_spans(F.col("t"))).first()[0]] == list(range(64))
+
+
+def test_references(spark):
+    rows = [
+        ("a1", 1, 1, "user", "需要完成数据库迁移"), ("a2", 1, 2, "assistant", "好的，完成"), ("a3", 1, 3, "user", "这个也做完了"),
+        ("b1", 2, 1, "user", "需要完成数据库迁移"), ("b2", 2, 2, "user", "准备修复登录"), ("b3", 2, 3, "user", "这个继续做吧"), ("c1", 3, 1, "user", "这个继续做吧"), ("c2", 3, 2, "user", "它的密码是 abcd1234 完成"), ("c3", 3, 3, None, "那个继续处理"),
+        ("d0", 4, 0, "user", "开发接口"), ("d1", 4, 1, "user", "看书"), ("d2", 4, 2, "user", "喝茶"), ("d3", 4, 3, "user", "散步"), ("d4", 4, 4, "user", "这个完成了"),
+    ]
+    messages = spark.createDataFrame(rows, "note_id string, space int, at int, role string, text string")
+    found = {r["note_id"]: r for r in antecedents(messages).collect()}
+    assert (found["a3"]["reference_status"], found["a3"]["antecedent_note_id"], found["a3"]["antecedent_offset"]) == ("resolved", "a1", -1)
+    assert found["b3"]["reference_status"] == "unresolved" and found["b3"]["only_refers"] and found["c1"]["reference_status"] == "not_applicable"
+    assert (found["c3"]["reference_status"], found["c3"]["antecedent_note_id"]) == ("resolved", "c1") and found["d4"]["reference_status"] == "unresolved"
+    made = with_references(canonical(extract(messages.select("note_id", "text"))), antecedents(messages)).collect()
+    by = {r["note_id"]: r for r in made if r["memory_type"] == "task"}
+    assert by["a3"]["memory_key"] == by["a1"]["memory_key"] and by["a3"]["resolution_confidence"] == 0.82 and by["a3"]["task_status"] == "done"
+    assert "b3" not in by and {"b1", "b2", "d4"} <= set(by)
