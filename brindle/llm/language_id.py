@@ -106,9 +106,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
     """One row per row of `docs`: id, lang_pred, score.
 
     The prediction is the language of the largest posterior.  N-grams of a text are far from
-    independent, so the posterior itself is 1 for nearly every text; the score is the posterior with
-    the n-grams' log likelihoods divided by the root of their number, which says more about a short
-    text's doubt.
+    independent, so the posterior itself is 1 for nearly every text; the score is that of one average
+    n-gram, the posterior's logarithms divided by the number of n-grams: it is largest for the
+    prediction, and near one over the number of languages for a text that speaks for none.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(model))  # a plain tuple: workers need not know its class
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
                     for k in range(len(languages)):
                         sums[owner[cuts], k] += np.add.reduceat(weights[k][buckets].astype(float), cuts)
                 best = (sums + prior).argmax(axis=1)
-                even = sums / np.sqrt(np.maximum(grams, 1.0))[:, None] + prior
+                even = (sums + prior) / np.maximum(grams, 1.0)[:, None]
                 top = 1.0 / np.exp(np.minimum(even - even[np.arange(len(texts)), best][:, None], 700.0)).sum(axis=1)
             else:
                 best, top, named = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)

@@ -14,7 +14,7 @@ import pytest
 import regex
 import tiktoken
 
-from brindle.llm import byte_pairs, centroids, prefix_trie
+from brindle.llm import byte_pairs, centroids, language_id, prefix_trie
 from brindle.llm.queries import QUERIES
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -212,3 +212,40 @@ def test_byte_pairs_of_the_table(spark, sf_dir):
         ids = np.array(encoding.encode_ordinary(texts[r["doc_id"]]), "<u4")
         want = len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+
+
+def test_languages_by_brute_force(spark):
+    """Counts, smoothing, posterior and score worked out n-gram by n-gram."""
+    rng = random.Random(8)
+    sounds = {"aa": "abcde ", "bb": "cdefgh ", "cc": "éèçab "}
+    make = lambda lang, n: "".join(rng.choice(sounds[lang]) for _ in range(n))
+    learnt = [(i, make(lang, rng.randrange(5, 90)), lang) for i, lang in enumerate(["aa", "bb", "cc", "aa"] * 6)] + [(90, None, "aa"), (91, "xyz", None)]
+    asked = [(i, make(rng.choice(list(sounds)), n)) for i, n in enumerate([1, 2, 5, 30, 300, 9000])] + [(50, "123 !?"), (51, None), (52, "ÉA"), (53, "")]
+
+    def grams(text):
+        padded = f" {text.lower()} "
+        for k, n in enumerate(language_id.LENGTHS):
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for c in padded[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+                yield k, (h * 0x9E3779B97F4A7C15 % (1 << 64) >> 40) % language_id.BUCKETS
+
+    counts, totals, rows = defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, text, lang in learnt:
+        if text is not None and lang is not None:
+            rows[lang] += 1
+            for k, b in grams(text):
+                counts[lang, k, b] += 1
+                totals[lang, k] += 1
+    model = language_id.train(spark.createDataFrame(learnt, "doc_id long, text string, lang string"))
+    found = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, text in asked:
+        if text is None or not any(c.isalpha() for c in text):
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+            continue
+        every = list(grams(text))
+        logs = {lang: math.log(n / sum(rows.values())) + sum(math.log((counts[lang, k, b] + 0.5) / (totals[lang, k] + 0.5 * language_id.BUCKETS)) for k, b in every) for lang, n in rows.items()}
+        best = max(sorted(logs), key=logs.get)
+        score = 1 / sum(math.exp((x - logs[best]) / len(every)) for x in logs.values())
+        assert found[i]["lang_pred"] == best and abs(found[i]["score"] - score) < 1e-4
