@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import deque
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +12,38 @@ from pyspark.sql import functions as F
 def aligned(gold: DataFrame, predicted: DataFrame, case: str, order: str, by: dict[str, int]) -> DataFrame:
     """Pairs (case, gold, predicted, score): each gold item in its order takes the best item still free.
 
-    Both frames have `case`, `order` (distinct within a case) and the columns of `by`, which score a pair
-    by the best of the columns that are given and equal; of equal scores the earlier item is better.
+    Both frames have `case`, `order` (distinct within a case) and the text columns of `by`, which score a
+    pair by the best of the columns that are given and equal; of equal scores the earlier item is better.
 
-    Items meet on equal columns only.  In a round a pair is final if its prediction is the best that is
-    free for the gold item and no earlier gold item still free could take it: that is what going through
-    the items one by one gives, but all cases, and the unrelated items of one, advance together.  A round
-    settles at least the first free item of every case, so there are as many rounds as items that
-    compete for the same predictions, not as cases.
+    What one item takes depends on those before, so the items of a case meet in one task.  They are gone
+    through once: per column and value the predictions wait in a queue in their order, so time and memory
+    grow with the items of a case, not with its pairs.
     """
-    side = lambda frame, name, column: frame.where(F.coalesce(column, F.lit("")) != "").select(F.col(case).alias("case"), F.col(order).alias(name), F.col(column).alias("value"))
-    met = [side(gold, "gold", c).join(side(predicted, "predicted", c), ["case", "value"]).select("case", "gold", "predicted", F.lit(score).alias("score")) for c, score in by.items()]
-    pairs = reduce(DataFrame.unionByName, met).groupBy("case", "gold", "predicted").agg(F.max("score").alias("score")).persist()
-    settled = []
-    while not pairs.isEmpty():
-        best = pairs.groupBy("case", "gold").agg(F.min_by(F.struct("predicted", "score"), F.struct(-F.col("score"), "predicted")).alias("b")).select("case", "gold", "b.predicted", "b.score")
-        first = pairs.groupBy("case", "predicted").agg(F.min("gold").alias("gold"))
-        final = best.join(first, ["case", "predicted", "gold"]).persist()
-        settled.append(final)
-        pairs = pairs.join(final.select("case", "gold"), ["case", "gold"], "left_anti").join(final.select("case", "predicted"), ["case", "predicted"], "left_anti").persist()
-    return reduce(DataFrame.unionByName, [f.select("case", "gold", "predicted", "score") for f in settled]) if settled else pairs
+    names = sorted(by, key=lambda c: -by[c])
+    row = lambda frame, is_gold: frame.select(F.col(case).alias("case"), F.lit(is_gold).alias("is_gold"), F.col(order).alias("place"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"v{i}") for i, c in enumerate(names)])
+    scores = [by[c] for c in names]
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        queues, taken, out = {}, set(), []
+        ordered = group.sort_values("place")
+        values = [f"v{i}" for i in range(len(scores))]
+        for item in ordered[~ordered["is_gold"]].to_dict("records"):
+            for i, v in enumerate(values):
+                if item[v]:
+                    queues.setdefault((i, item[v]), deque()).append(item["place"])
+        for item in ordered[ordered["is_gold"]].to_dict("records"):
+            for i, v in enumerate(values):
+                queue = queues.get((i, item[v]), ())
+                while queue and queue[0] in taken:
+                    queue.popleft()
+                if queue:
+                    taken.add(queue[0])
+                    out.append((item["case"], item["place"], queue.popleft(), scores[i]))
+                    break
+        return pd.DataFrame(out, columns=["case", "gold", "predicted", "score"])
+
+    kind, at = gold.schema[case].dataType.simpleString(), gold.schema[order].dataType.simpleString()
+    return row(gold, True).unionByName(row(predicted, False)).groupBy("case").applyInPandas(pick, f"case {kind}, gold {at}, predicted {at}, score int")
 
 
 def confusion(pairs: DataFrame, gold: DataFrame, predicted: DataFrame, case: str, order: str, kind: str) -> DataFrame:
