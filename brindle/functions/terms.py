@@ -84,9 +84,40 @@ def plain_match(words: Column, query_words: Column) -> Column:
     return (F.size(query_words) > 0) & F.forall(query_words, lambda w: F.array_contains(words, w))
 
 
-def rank_simple(words: Column, query_words: Column) -> Column:
-    """A full-text rank: distinct words of the query that the document has, then all their occurrences."""
-    return F.struct(F.size(F.array_intersect(words, query_words)).alias("distinct"), F.size(F.filter(words, lambda w: F.array_contains(query_words, w))).alias("occurrences"))
+# Fixed value: what a word counts that has no weight of its own.
+PLAIN_WEIGHT = 0.1
+
+
+def rank_cover(words: Column, query_words: Column) -> Column:
+    """The cover-density rank of a document (its words in order) for distinct words of a query.
+
+    A cover is a shortest run of the document with every word of the query: no shorter run within it has
+    them all.  Each adds a weight divided by one more than the other words inside it, so words that stand
+    together count more than words far apart.  Rounded to nine places; 0 where a word is lacking, for empty texts and for queries
+    without words.  One pass over the places of the query's words; of it only the last place of each word
+    and the sum so far are kept.
+    """
+    places = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(query_words, w).cast("int").alias("term"), i.alias("at"))), lambda p: p["term"] > 0)
+    numbered = F.transform(places, lambda p, n: F.struct(p["term"].alias("term"), p["at"].alias("at"), n.alias("n")))
+    unseen = F.transform(query_words, lambda w: F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("n")))
+    start = F.struct(unseen.alias("last"), F.lit(-1).alias("opened"), F.lit(0.0).alias("rank"))
+
+    def step(state: Column, p: Column) -> Column:
+        last = F.transform(state["last"], lambda seen, i: F.when(i + 1 == p["term"], F.struct(p["at"].alias("at"), p["n"].alias("n"))).otherwise(seen))
+
+        def closed(k: Column) -> Column:
+            # The run that ends here begins at the word seen longest ago; one that ended before may have begun there too.
+            begin = F.array_min(k)
+            others = (p["at"] - begin["at"]) - (p["n"] - begin["n"])
+            is_cover = (begin["at"] >= 0) & (begin["at"] > state["opened"])
+            return F.struct(
+                k.alias("last"), F.when(is_cover, begin["at"]).otherwise(state["opened"]).alias("opened"),
+                (state["rank"] + F.when(is_cover, F.lit(PLAIN_WEIGHT) / (F.lit(1) + others)).otherwise(F.lit(0.0))).alias("rank"),
+            )
+
+        return F.element_at(F.transform(F.array(last), closed), 1)
+
+    return F.when(F.size(query_words) > 0, F.aggregate(numbered, start, step, lambda s: F.round(s["rank"], 9))).otherwise(F.lit(0.0))
 
 
 def web_query(query: str) -> list[dict[str, list]]:

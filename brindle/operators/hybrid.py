@@ -42,11 +42,6 @@ def _listed(pairs: DataFrame, lists: list[tuple[str, Column, Column | None, int]
     return taken.where(F.col("rank") <= F.col("e.length")).select(*keys, "id", F.col("e.channel").alias("channel"), "rank")
 
 
-def _rank_number(rank: Column) -> Column:
-    """A full-text rank as one number: distinct words first, then occurrences; exact for 2^22 words."""
-    return rank["distinct"] * F.lit(float(1 << 31)) + rank["occurrences"]
-
-
 def memory_pairs(queries: DataFrame, memories: DataFrame, trigram: bool = False) -> DataFrame:
     """Queries (query_id, query) against memories: all pairs, with a flag for each channel and the full-text
     rank.  What is worked out of a text for all queries is a column of the memory, made before they meet;
@@ -75,14 +70,14 @@ def memory_pairs(queries: DataFrame, memories: DataFrame, trigram: bool = False)
     if trigram:
         near = lambda c: F.aggregate(F.transform(F.slice("q_terms", 1, 8), lambda t: T.jaccard(T.trigrams(c), T.trigrams(F.substring(t, 1, 120)))), F.lit(0.0), lambda s, x: F.greatest(s, x))
         flags["similarity"] = F.greatest(near(F.col("content")), near(F.col("object_value")))
-    return rows.crossJoin(asked).withColumns(flags).withColumn("fts_rank", terms.rank_simple(F.col("words"), F.col("q_words"))).drop(*low)
+    return rows.crossJoin(asked).withColumns(flags).withColumn("fts_rank", F.when(F.col("is_matched"), terms.rank_cover(F.col("words"), F.col("q_words")))).drop(*low)
 
 
 def memory_hits(queries: DataFrame, memories: DataFrame, top: int = 40, trigram: bool = False) -> DataFrame:
     """The best `top` memories of each query by weighted fusion of the exact, type-hint, lexical, full-text
     and (if asked for) trigram lists: query_id, id, rrf, channels, exact_rank."""
     n = max(30, min(120, top * 3))
-    lists = [("exact", F.col("is_exact"), None, min(n, 30)), ("structured", F.col("is_hinted"), None, n), ("structured", F.col("is_lexical"), None, n), ("fts", F.col("is_matched"), _rank_number(F.col("fts_rank")), n)]
+    lists = [("exact", F.col("is_exact"), None, min(n, 30)), ("structured", F.col("is_hinted"), None, n), ("structured", F.col("is_lexical"), None, n), ("fts", F.col("is_matched"), F.col("fts_rank"), n)]
     if trigram:
         lists.append(("trigram", F.col("similarity") >= 0.3, F.col("similarity"), n))
     hits = fuse([_listed(memory_pairs(queries, memories, trigram), lists, ["query_id"], ["updated_at"])], MEMORY_CHANNELS, "query_id")
@@ -161,10 +156,10 @@ def search_notes(query: str, notes: DataFrame, limit: int = 8) -> DataFrame:
     rows = rows.withColumns({"words": terms.lexemes(F.col("document")), "q_words": q_words})
     rows = rows.withColumns({
         "is_exact": F.contains(F.lower("document"), F.lit(cleaned[:120].lower())), "is_matched": terms.plain_match(F.col("words"), F.col("q_words")),
-        "is_lexical": terms.like_any(F.col("document"), F.col("q_terms"), 80), "fts_rank": terms.rank_simple(F.col("words"), F.col("q_words")), "query_id": F.lit(0),
+        "is_lexical": terms.like_any(F.col("document"), F.col("q_terms"), 80), "query_id": F.lit(0),
     })
-    rows = rows.where("is_exact OR is_matched OR is_lexical").select("query_id", "id", "created_at", "is_exact", "is_matched", "is_lexical", "fts_rank")
-    lists = [("exact", F.col("is_exact"), None, n), ("fts", F.col("is_matched"), _rank_number(F.col("fts_rank")), n), ("lexical", F.col("is_lexical"), None, n)]
+    rows = rows.where("is_exact OR is_matched OR is_lexical").withColumn("fts_rank", F.when(F.col("is_matched"), terms.rank_cover(F.col("words"), F.col("q_words")))).select("query_id", "id", "created_at", "is_exact", "is_matched", "is_lexical", "fts_rank")
+    lists = [("exact", F.col("is_exact"), None, n), ("fts", F.col("is_matched"), F.col("fts_rank"), n), ("lexical", F.col("is_lexical"), None, n)]
     hits = fuse([_listed(rows, lists, ["query_id"], ["created_at"])], NOTE_CHANNELS, "query_id").join(notes.select("id", "text", "created_at"), "id")
     order = [F.desc("rrf"), F.desc("created_at"), F.desc("id")]
     return hits.orderBy(*order).limit(2 * limit).where(~is_sensitive(F.col("text"))).orderBy(*order).limit(limit).select("id", F.col("rrf").alias("score"))

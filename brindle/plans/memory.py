@@ -10,6 +10,7 @@ from brindle.operators import hybrid as H
 from brindle.operators import lists as L
 from brindle.plans.relational import SENSITIVE_SQL
 from brindle.plans.rules import norm_sql, overlap_sql
+from brindle.plans.search import cover_sql
 from brindle.sources.tables import table
 
 QUERIES: dict = {}
@@ -58,11 +59,11 @@ _ANY = "len(list_filter(terms, lambda t: contains(lower({c}), lower(t)))) > 0"
 _PAIRS = f"""{_M}, {_Q}, w AS (SELECT *, {_LEX} AS ws FROM m),
     p AS (SELECT query_id, query, w.*, words, {norm_sql("content")} = {norm_sql("query")} OR memory_key = trim(query) OR contains(lower(content), lower(trim(query)))
         OR (query_id = 3 AND (regexp_matches(lower(content), '(^|[^\\p{{L}}\\p{{N}}])key-17([^\\p{{L}}\\p{{N}}]|$)') OR memory_key = 'key-17')) AS ex,
-        ({_ANY.format(c="content")}) OR ({_ANY.format(c="coalesce(subject, '')")}) OR ({_ANY.format(c="coalesce(predicate, '')")}) AS lx, len(list_intersect(ws, words)) = len(words) AS ft,
-        len(list_intersect(ws, words)) AS f1, len(list_filter(ws, lambda x: list_contains(words, x))) AS f2 FROM w, q),
+        ({_ANY.format(c="content")}) OR ({_ANY.format(c="coalesce(subject, '')")}) OR ({_ANY.format(c="coalesce(predicate, '')")}) AS lx, len(list_intersect(ws, words)) = len(words) AS ft FROM w, q),
+    pw AS (SELECT query_id, id, updated_at, ws, words FROM p WHERE ft), {cover_sql("pw", "query_id, id")},
     l AS (SELECT query_id, id, 'exact' AS ch, 1.60::DOUBLE AS wt, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, id DESC) AS rk, 30 AS n FROM p WHERE ex
       UNION ALL SELECT query_id, id, 'structured', 1.35, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, id DESC), 120 FROM p WHERE lx
-      UNION ALL SELECT query_id, id, 'fts', 1.00, row_number() OVER (PARTITION BY query_id ORDER BY f1 DESC, f2 DESC, updated_at DESC, id DESC), 120 FROM p WHERE ft),
+      UNION ALL SELECT query_id, id, 'fts', 1.00, row_number() OVER (PARTITION BY query_id ORDER BY cd DESC, updated_at DESC, id DESC), 120 FROM cover JOIN pw USING (query_id, id)),
     f AS (SELECT query_id, id, round(sum(wt / (60 + rk)), 6) AS rrf, count(DISTINCT ch)::INTEGER AS channels, min(CASE WHEN ch = 'exact' THEN rk END)::INTEGER AS exact_rank FROM l WHERE rk <= n GROUP BY 1, 2),
     h AS (SELECT f.* FROM f JOIN m USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, updated_at DESC, id DESC) <= 40)"""
 
@@ -111,7 +112,8 @@ _NOTE_TERMS = ["license", "key", "licensekey"]
 
 
 @query(f"""WITH {_N}, w AS (SELECT *, {_WORDS} AS ws FROM n), t AS (SELECT *, contains(lower(doc), 'license key') AS ex, len(list_intersect(ws, {_NOTE_TERMS})) = 3 AS ft, len(list_filter({_NOTE_TERMS}, lambda x: contains(lower(doc), x))) > 0 AS lx FROM w),
-    l AS (SELECT id, 1.55::DOUBLE AS wt, row_number() OVER (ORDER BY id DESC) AS rk FROM t WHERE ex UNION ALL SELECT id, 1.0, row_number() OVER (ORDER BY len(list_filter(ws, lambda x: list_contains({_NOTE_TERMS}, x))) DESC, id DESC) FROM t WHERE ft
+    tw AS (SELECT id, ws, {_NOTE_TERMS} AS words FROM t WHERE ft), {cover_sql("tw", "id")},
+    l AS (SELECT id, 1.55::DOUBLE AS wt, row_number() OVER (ORDER BY id DESC) AS rk FROM t WHERE ex UNION ALL SELECT id, 1.0, row_number() OVER (ORDER BY cd DESC, id DESC) FROM cover
       UNION ALL SELECT id, 0.85, row_number() OVER (ORDER BY id DESC) FROM t WHERE lx),
     f AS (SELECT id, round(sum(wt / (60 + rk)), 6) AS score FROM l WHERE rk <= 40 GROUP BY 1 ORDER BY score DESC, id DESC LIMIT 20)
     SELECT id, score FROM f JOIN n USING (id) WHERE NOT {SENSITIVE_SQL} ORDER BY score DESC, id DESC LIMIT 10""")

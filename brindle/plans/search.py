@@ -173,10 +173,19 @@ def vector_channel_by_label(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))).where("rank <= 3").drop("rank")
 
 
-_THREE = """e AS (SELECT doc_id AS id, 'exact' AS ch, 1.60::DOUBLE AS w, row_number() OVER (ORDER BY doc_id DESC) AS rk FROM documents WHERE contains(lower(text), 'license')),
+def cover_sql(pairs: str, keys: str) -> str:
+    """CTE `cover` (the keys, cd): the cover-density rank of every row of `pairs` by its words `ws` in order for the distinct words `words`."""
+    return f"""hit AS (SELECT {keys}, words, word, at_, row_number() OVER (PARTITION BY {keys} ORDER BY at_) AS n_ FROM (SELECT {keys}, words, unnest(ws) AS word, generate_subscripts(ws, 1) AS at_ FROM {pairs}) WHERE list_contains(words, word)),
+    seen AS (SELECT {keys}, at_, n_, len(words) AS need, max(CASE WHEN word = term THEN at_ END) OVER o AS last_at, max(CASE WHEN word = term THEN n_ END) OVER o AS last_n FROM (SELECT *, unnest(words) AS term FROM hit) WINDOW o AS (PARTITION BY {keys}, term ORDER BY at_)),
+    run AS (SELECT {keys}, at_, n_, min(last_at) AS from_at, min(last_n) AS from_n FROM seen GROUP BY {keys}, at_, n_, need HAVING count(last_at) = need),
+    cover AS (SELECT {keys}, round(sum(0.1::DOUBLE / (1 + (to_at - from_at) - (to_n - from_n))), 9) AS cd FROM (SELECT {keys}, from_at, from_n, min(at_) AS to_at, min(n_) AS to_n FROM run GROUP BY ALL) GROUP BY {keys})"""
+
+
+_THREE = f"""e AS (SELECT doc_id AS id, 'exact' AS ch, 1.60::DOUBLE AS w, row_number() OVER (ORDER BY doc_id DESC) AS rk FROM documents WHERE contains(lower(text), 'license')),
     s AS (SELECT doc_id AS id, 'structured' AS ch, 1.35::DOUBLE AS w, row_number() OVER (ORDER BY doc_id DESC) AS rk FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
-    k AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
-    v AS (SELECT doc_id AS id, 'fts' AS ch, 1.00::DOUBLE AS w, row_number() OVER (ORDER BY len(list_filter(ws, lambda x: x IN ('that', 'the'))) DESC, doc_id DESC) AS rk FROM k WHERE list_contains(ws, 'that') AND list_contains(ws, 'the')),
+    k AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
+    kw AS (SELECT doc_id, ws, ['that', 'the'] AS words FROM k WHERE list_contains(ws, 'that') AND list_contains(ws, 'the')), {cover_sql("kw", "doc_id")},
+    v AS (SELECT doc_id AS id, 'fts' AS ch, 1.00::DOUBLE AS w, row_number() OVER (ORDER BY cd DESC, doc_id DESC) AS rk FROM cover),
     a AS (SELECT * FROM e WHERE rk <= 30 UNION ALL SELECT * FROM s WHERE rk <= 30 UNION ALL SELECT * FROM v WHERE rk <= 30),
     f AS (SELECT id, round(sum(w / (60 + rk)), 6) AS rrf, count(DISTINCT ch)::INTEGER AS channels, min(CASE WHEN ch = 'exact' THEN rk END)::INTEGER AS exact_rank FROM a GROUP BY 1)"""
 
@@ -189,10 +198,23 @@ def _three_channels(spark: SparkSession, d: str) -> DataFrame:
     exact = S.channel(docs.where(F.contains(F.lower("text"), F.lit("license"))), "exact", [F.desc("id")], 30)
     structured = S.channel(docs.join(toxic, "id", "left_semi"), "structured", [F.desc("id")], 30)
     asked = F.array(F.lit("that"), F.lit("the"))
-    matched = docs.withColumn("words", K.lexemes(F.col("text"))).where(K.plain_match(F.col("words"), asked)).withColumn("fts_rank", K.rank_simple(F.col("words"), asked))
+    matched = docs.withColumn("words", K.lexemes(F.col("text"))).where(K.plain_match(F.col("words"), asked)).withColumn("fts_rank", K.rank_cover(F.col("words"), asked))
     return S.fuse([exact, structured, S.channel(matched, "fts", [F.desc("fts_rank"), F.desc("id")], 30)], MEMORY_CHANNELS)
 
 
+_COVERED = (["that", "the"], ["the", "license", "notice"], ["der"])
+
+
+@query(f"""WITH k AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents), q AS (SELECT unnest({[list(w) for w in _COVERED]}) AS words),
+    m AS (SELECT *, array_to_string(words, ' ') AS query FROM k, q WHERE len(list_intersect(ws, words)) = len(words)), {cover_sql("m", "doc_id, query")} SELECT query, doc_id, cd AS rank FROM cover""")
+def cover_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The full-text rank of every document that has all words of a query, for three queries."""
+    rows = table(spark, d, "documents").select("doc_id", K.lexemes(F.col("text")).alias("words"))
+    asked = F.array(*[F.array(*[F.lit(w) for w in words]) for words in _COVERED])
+    pairs = rows.withColumn("asked", F.explode(asked)).where(K.plain_match(F.col("words"), F.col("asked")))
+    return pairs.select(F.array_join("asked", " ").alias("query"), "doc_id", K.rank_cover(F.col("words"), F.col("asked")).alias("rank"))
+
+
 @query(f"WITH {_THREE} SELECT id, rrf, channels, coalesce(exact_rank, 0) AS exact_rank FROM f")
 def rrf_three_channels(spark: SparkSession, d: str) -> DataFrame:
     return _three_channels(spark, d).withColumn("exact_rank", F.coalesce("exact_rank", F.lit(0)))
