@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from brindle.functions import rules as R
 from brindle.operators import hybrid as H
 from brindle.operators import lists as L
+from brindle.operators import task_status as S
 from brindle.plans.relational import SENSITIVE_SQL
-from brindle.plans.rules import norm_sql, overlap_sql
+from brindle.plans.rules import any_sql, norm_sql, overlap_sql
 from brindle.plans.search import cover_sql
 from brindle.sources.tables import table
 
@@ -91,6 +93,52 @@ def memory_search(spark: SparkSession, d: str) -> DataFrame:
     return H.search_memories(_asked(spark), memories(spark, d), F.to_timestamp(F.lit(ASOF)), 10)
 
 
+#: Questions about tasks, with the terms that they have by the rules of query terms.
+TASKS_ASKED = {
+    11: ("license 任务进展如何", ["license", "进展", "任务进展如何", "任务进展", "务进展如", "进展如何", "任务进", "务进展", "进展如", "展如何", "任务", "务进"]),
+    12: ("that the", ["that", "the", "thatthe"]), 13: ("任务怎么样了", ["任务怎么样了", "任务怎么", "务怎么样", "怎么样了", "任务怎", "务怎么", "怎么样", "么样了", "任务", "务怎", "怎么", "么样"]),
+}
+_TQ = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}', {t}, ['zzzzz'])" for i, (q, t) in TASKS_ASKED.items()) + ") v(query_id, query, terms, words))"
+# Both types hint at the task question by 任务, so all tasks are in its structured list; a question that expects a task lowers the score of events.
+_HINTED = "    l AS (SELECT query_id, id, 'structured' AS ch, 1.35::DOUBLE AS wt, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, id DESC) AS rk, 120 AS n FROM p WHERE memory_type = 'task' AND contains(query, '任务')\n      UNION ALL SELECT query_id, id, 'exact'"
+_TASK_POLICY = _POLICY.replace("0.08::DOUBLE * 0", "0.08::DOUBLE * intent").replace("topic <= 0", "topic <= 0 AND intent <= 0").replace("WHEN 'active' THEN 1.0", "WHEN 'active' THEN fit")
+
+
+def _hits_sql(kind: str, most: int) -> str:
+    """The hits of the questions among memories of one type, scored and ranked: query_id, id, rank, final and what the memory is about."""
+    pairs = _PAIRS.replace(_Q, _TQ).replace("    l AS (SELECT query_id, id, 'exact' AS ch, 1.60::DOUBLE AS wt,", _HINTED + ", 1.60,").replace("AS rk, 30 AS n FROM p WHERE ex", ", 30 FROM p WHERE ex").replace("DESC) <= 40)", f"DESC) <= {4 * most})")
+    pairs = pairs.replace("INTERVAL 20 MINUTE AS updated_at FROM documents)", f"INTERVAL 20 MINUTE AS updated_at FROM documents WHERE doc_id % 4 = {KINDS.index(kind)})")
+    return f"""(WITH {pairs}, x AS (SELECT h.*, query, m.* EXCLUDE (id) FROM h JOIN m USING (id) JOIN q USING (query_id)), y AS ({_FIELDS} x), {overlap_sql("y", "query", "field")}, z AS (SELECT query_id, id, max(overlap) AS topic FROM ov GROUP BY 1, 2),
+    e AS (SELECT x.*, topic, {any_sql("query", R.ASKS_TASK)} OR ({any_sql("query", R.ASKS_STATUS)} AND NOT {any_sql("query", R.NOT_STATUS)}) AS asks FROM x JOIN z USING (query_id, id)),
+    i AS (SELECT *, CASE WHEN asks AND memory_type = 'task' THEN 1 ELSE 0 END AS intent, CASE WHEN asks AND memory_type <> 'task' THEN 0.35 ELSE 1.0 END AS fit FROM e),
+    b AS (SELECT *, 0.52::DOUBLE * {_TASK_POLICY} + 0.48::DOUBLE * least(1.0, rrf / max(rrf) OVER (PARTITION BY query_id) + 0.04::DOUBLE * greatest(0, channels - 1)) AS blend FROM i),
+    g AS (SELECT *, round(least(1.0, CASE WHEN exact_rank IS NOT NULL THEN greatest(blend, 0.98::DOUBLE - 0.005::DOUBLE * greatest(0, exact_rank - 1)) ELSE blend END), 4)::DOUBLE AS final FROM b)
+    SELECT query_id, id, final, {norm_sql("content || ' ' || coalesce(subject, '') || ' ' || coalesce(predicate, '') || ' ' || memory_key || ' fam-' || (id % 50) || CASE WHEN id % 3 = 0 THEN ' fam-' || (id % 100 // 2) ELSE '' END")} AS about,
+      row_number() OVER (PARTITION BY query_id ORDER BY exact_rank IS NOT NULL DESC, final DESC, rrf DESC, updated_at DESC, id DESC) AS rank FROM g QUALIFY rank <= {most})"""
+
+
+def _status_sql(limit: int) -> str:
+    bare = norm_sql("part")
+    for w in S.NOISE:
+        bare = f"replace({bare}, '{w}', '')"
+    return f"""WITH {_TQ}, w AS (SELECT query_id, unnest(regexp_split_to_array(query, '\\s+')) AS part, generate_subscripts(regexp_split_to_array(query, '\\s+'), 1) AS at_ FROM q), v AS (SELECT query_id, {bare} AS bare, min(at_) AS at_ FROM w GROUP BY 1, 2),
+    a AS (SELECT query_id, coalesce(string_agg(bare, '' ORDER BY at_) FILTER (length(bare) >= 2), '') AS anchor FROM v GROUP BY 1),
+    t AS (SELECT * FROM {_hits_sql("task", max(3 * limit, 12))} JOIN a USING (query_id) WHERE CASE WHEN anchor <> '' THEN contains(about, anchor) ELSE final >= 0.62 END),
+    f AS (SELECT query_id, id % 50 AS fam FROM t UNION SELECT query_id, id % 100 // 2 FROM t WHERE id % 3 = 0),
+    e AS (SELECT * FROM {_hits_sql("episodic", max(2 * limit, 8))} JOIN a USING (query_id) WHERE CASE WHEN anchor <> '' THEN contains(about, anchor) ELSE final >= 0.62 END OR (id % 3 = 0 AND (query_id, id % 100 // 2) IN (SELECT (query_id, fam) FROM f))),
+    u AS (SELECT query_id, id, 'current_task' AS role, 0 AS part, rank FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {limit} UNION ALL SELECT query_id, id, 'historical_event', 1, rank FROM e QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 2)
+    SELECT query_id, id, role, row_number() OVER (PARTITION BY query_id ORDER BY part, rank)::INTEGER AS rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY part, rank) <= {limit}"""
+
+
+@query(_status_sql(6))
+def task_status(spark: SparkSession, d: str) -> DataFrame:
+    """The tasks that three questions name or mean, then the events of the same names or families."""
+    i = F.col("id")
+    scope = F.to_json(F.struct(F.concat(F.lit("fam-"), (i % 50).cast("string")).alias("task_family_key"), F.when(i % 3 == 0, F.concat(F.lit("fam-"), F.floor(i % 100 / 2).cast("string"))).alias("related_task_family_key")))
+    asked = spark.createDataFrame([(n, q) for n, (q, _) in TASKS_ASKED.items()], "query_id int, query string")
+    return S.task_status_search(asked, memories(spark, d).withColumn("scope", scope), F.to_timestamp(F.lit(ASOF)), 6)
+
+
 @query(f"""WITH {_M}, {_Q}, x AS (SELECT query_id, query, n.* FROM (SELECT * FROM m ORDER BY updated_at DESC, id DESC LIMIT 100) n, q), y AS ({_FIELDS} x), {overlap_sql("y", "query", "field")}, z AS (SELECT query_id, id, max(overlap) AS topic FROM ov GROUP BY 1, 2),
     g AS (SELECT x.*, {_POLICY} AS score FROM x JOIN z USING (query_id, id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_at DESC, id DESC)::INTEGER AS rank FROM g WHERE score >= 0.05) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def memory_score_linear(spark: SparkSession, d: str) -> DataFrame:
