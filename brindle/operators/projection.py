@@ -67,15 +67,16 @@ def due(projections: DataFrame, asof: Column, debounce: int = DEBOUNCE_SECONDS)
     return projections.where(behind & (wait_seconds(asof, debounce) <= 0)).select(*KEYS, F.col("target_revision").alias("expected_revision"))
 
 
-def packed(facts: DataFrame, keys: list[str], budget: int = BUDGET, most: int = MOST_FACTS) -> DataFrame:
+def packed(facts: DataFrame, keys: list[str], budget: int = BUDGET, most: int = MOST_FACTS, length: Column | None = None) -> DataFrame:
     """The newest facts of each key that fit into a number and a budget of characters, with their place.
 
-    A long fact counts as its cut form and a mark; the first that does not fit ends the list.  The
-    window is over the newest `most` alone, which the planner cuts before the shuffle.
+    A long fact counts as its cut form and a mark; the first that does not fit ends the list.  `length`
+    is that of a fact's content, where that was cut before.  The newest `most` of each key are cut
+    within each partition before the shuffle, so a key with a third of all facts sends no more than others.
     """
     newest = [F.desc_nulls_last(c) for c in ("updated_at", "importance", "confidence", "id")]
     top = facts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("place") <= most)
-    length = F.length(F.coalesce("content", F.lit("")))
+    length = F.length(F.coalesce("content", F.lit(""))) if length is None else length
     size = F.when(length > WIDTH, WIDTH + 1).otherwise(length).cast("long")
     upto = F.sum(size).over(Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     return top.withColumns({"size": size, "upto": upto}).where((F.col("upto") <= budget) & (F.col("upto") - F.col("size") < budget)).drop("size", "upto")
@@ -83,13 +84,16 @@ def packed(facts: DataFrame, keys: list[str], budget: int = BUDGET, most: int =
 
 def build(facts: DataFrame, asked: DataFrame, budget: int = BUDGET, most: int = MOST_FACTS) -> DataFrame:
     """What the asked facets (of `due`) hold now: expected_revision, summary, current_ids (with commas),
-    fact_count, truncated_count.  Facts of other facets are left out before anything is shuffled; a facet
-    that has lost all its facts is empty."""
-    own = facts.join(asked.select(*KEYS), KEYS, "left_semi")
-    counts = own.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("fact_count"))
-    plain = F.trim(F.coalesce("content", F.lit("")), F.lit(BLANKS))
-    item = F.struct("place", F.col("id").cast("string").alias("id"), F.when(F.col("place") <= SUMMED, F.substring(plain, 1, SUMMARY_WIDTH)).alias("line"))
-    lists = packed(own, KEYS, budget, most).groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    fact_count, truncated_count.  A facet that has lost all its facts is empty.
+
+    Facts are counted and cut within their partitions before they meet what is asked, so no fact beyond
+    the newest of a facet is shuffled, and of those only what a summary can show.
+    """
+    plain = F.substring(F.trim(F.coalesce("content", F.lit("")), F.lit(BLANKS)), 1, SUMMARY_WIDTH)
+    counts = facts.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("fact_count"))
+    shown = facts.select(*KEYS, "id", "importance", "confidence", "updated_at", F.length(F.coalesce("content", F.lit(""))).alias("length"), plain.alias("line"))
+    item = F.struct("place", F.col("id").cast("string").alias("id"), F.when(F.col("place") <= SUMMED, F.col("line")).alias("line"))
+    lists = packed(shown, KEYS, budget, most, F.col("length")).groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("items"))
     lines = F.filter(F.transform("items", lambda i: i["line"]), lambda x: F.coalesce(x, F.lit("")) != "")
     found = asked.join(counts, KEYS, "left").join(lists, KEYS, "left")
     return found.select(
