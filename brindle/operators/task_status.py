@@ -51,7 +51,7 @@ def task_status_search(queries: DataFrame, memories: DataFrame, asof: Column, li
 
     def hits(kind: str, most: int) -> DataFrame:
         own = memories.where(F.col("memory_type") == kind)
-        found = search_memories(queries, own, asof, most, 0.0).join(own, "id").join(asked, "query_id")
+        found = F.broadcast(search_memories(queries, own, asof, most, 0.0)).join(own, "id").join(F.broadcast(asked), "query_id")
         named = F.when(F.col("anchor") != "", F.contains(identity_text(), F.col("anchor"))).otherwise(F.col("final") >= UNNAMED_SCORE)
         return found.select("query_id", "id", "rank", named.alias("named"), families.alias("families"), F.coalesce(F.get_json_object("scope", "$.related_task_family_key"), F.lit("")).alias("related"))
 
