@@ -299,17 +299,19 @@ def apply_decisions(decisions: DataFrame, candidates: DataFrame, memories: DataF
     fields = ["memory_type", "memory_key", "content", "object_value", "task_status", "polarity", "importance", "confidence"]
     fresh = candidates.groupBy("candidate_id").agg(F.min_by(F.struct("note_id", "space", "at", *fields), "at").alias("c")).select("candidate_id", "c.*").join(applied.select("candidate_id"), "candidate_id", "left_anti")
     told = decisions.select("candidate_id", "action", "relation", "reason", "target_id", "snapshot_version", F.col("confidence").alias("sure"))
-    target = memories.select(F.col("id").alias("target_id"), F.struct("status", "current_version", *fields).alias("t"))
-    rows = fresh.join(told, "candidate_id").join(target, "target_id", "left")
+    # A decision without a target meets nothing; a place of its own keeps those from going to one task.
+    place = F.coalesce("target_id", F.concat(F.lit("\0"), F.col("candidate_id")))
+    target = memories.select(F.col("id").alias("place"), F.struct("status", "current_version", *fields).alias("t"))
+    rows = fresh.join(told, "candidate_id").withColumn("place", place).join(target, "place", "left").withColumn("t", F.when(F.col("target_id").isNotNull(), F.col("t")))
     missing = F.col("target_id").isNotNull() & F.col("t").isNull()
     rows = rows.withColumn("action", F.when(missing, F.raise_error(F.concat(F.lit("decision target memory not found: "), F.col("target_id"))).cast("string")).otherwise(F.col("action")))
     order, changing = F.struct("at", "candidate_id"), F.col("action").isin(*DESTRUCTIVE)
     current = F.coalesce(F.col("snapshot_version"), F.col("t.current_version")) == F.col("t.current_version")
     became = F.struct(F.when(F.col("action") == "update_task", F.col("task_status")).otherwise(F.col("t.task_status")).alias("task_status"), F.when(F.col("action").isin("supersede", "conflict"), F.col("t.object_value")).otherwise(F.coalesce("object_value", "t.object_value")).alias("object_value"), F.when(F.col("action").isin("supersede", "conflict"), F.col("t.memory_key")).otherwise(F.col("memory_key")).alias("memory_key"))
-    firsts = rows.where(changing & current).groupBy("target_id").agg(F.min(order).alias("first"), F.min_by(became, order).alias("now"))
+    firsts = rows.where(changing & current).groupBy("place").agg(F.min(order).alias("first"), F.min_by(became, order).alias("now"))
     own = F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat_ws("|", "space", "candidate_id").cast("binary"), 256), 1, 16))
     inserts = rows.where("action = 'insert'").groupBy("space", "memory_key").agg(F.min(order).alias("made"), F.min_by(F.struct(own.alias("id"), "task_status", "object_value", "memory_key", "confidence"), order).alias("new"))
-    rows = rows.withColumn("order", order).withColumn("own_id", own).join(firsts, "target_id", "left").join(inserts, ["space", "memory_key"], "left")
+    rows = rows.withColumn("order", order).withColumn("own_id", own).join(firsts, "place", "left").join(inserts, ["space", "memory_key"], "left")
     late = F.col("target_id").isNotNull() & F.when(F.col("first").isNotNull() & (F.col("order") > F.col("first")), True).otherwise(~current)
     twin = (F.col("action") == "insert") & (F.col("order") > F.col("made"))
     held = F.when(twin, F.struct("new.task_status", "new.object_value", "new.memory_key")).when(F.col("first").isNotNull() & (F.col("order") > F.col("first")), F.col("now")).otherwise(F.struct("t.task_status", "t.object_value", "t.memory_key"))
